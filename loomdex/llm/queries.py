@@ -11,6 +11,9 @@ QUERIES = {
     "op2_language_id": "language",
     "op3_html_extraction": "html",
     "op5_quality_rules": "quality",
+    "op6_byte_bpe": "bpe",
+    "op7_token_counts": "tokencount",
+    "op9_toxicity": "toxicity",
     "op10_source_mixing": "mixing",
 }
 
