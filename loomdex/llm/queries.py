@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op2_language_id": "language",
     "op3_html_extraction": "html",
+    "op4_ngram_jaccard": "jaccard",
     "op5_quality_rules": "quality",
     "op6_byte_bpe": "bpe",
     "op7_token_counts": "tokencount",
+    "op8_suffix_dedup": "suffixes",
     "op9_toxicity": "toxicity",
     "op10_source_mixing": "mixing",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -137,11 +138,18 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomdex/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    settle(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the driver forget plans that nothing refers to, so their shuffle files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*dfs: DataFrame) -> None:
     """Remove tables of ``stored`` that no later plan reads."""
     for df in dfs:
