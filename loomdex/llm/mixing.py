@@ -16,7 +16,7 @@ running sum over the buckets gives each its place. No task gets a whole source.
 Null texts and texts without words have size 0 and take 0. A null source comes
 last. Empty tables give empty results; extra columns are ignored. Equal input
 gives equal output: order is by hash of doc_id and doc_id; rows that repeat a
-doc_id are told apart by their size only.
+doc_id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return tk.per_batch(docs.select("text", "doc_id", "source"), count_words, "doc_id long, source string, size long")
+    src = docs.select("text", "doc_id", "source", F.xxhash64("text").alias("th"))
+    return tk.per_batch(src, count_words, "doc_id long, source string, th long, size long")
 
 
 def targets(source_sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, most=MOST) -> dict[str | None, Fraction]:
@@ -145,12 +146,12 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, seed: int
 
     slots = plan.mapInArrow(fill, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
     placed = sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", "buckets"))
-    inside = placed.withColumn("within", F.sum("size").over(W.partitionBy("k", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)))
+    inside = placed.withColumn("within", F.sum("size").over(W.partitionBy("k", "bucket").orderBy("h", "doc_id", "size", "th").rowsBetween(W.unboundedPreceding, -1)))
     tops = placed.groupBy("k", "bucket").agg(F.sum("size").alias("words"))
     tops = tops.withColumn("base", F.sum("words").over(W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
     laid = inside.join(tops.drop("words"), ["k", "bucket"]).withColumn("begin", F.coalesce("base", F.lit(0)) + F.coalesce("within", F.lit(0)))
     laid = laid.withColumn("row", F.monotonically_increasing_id())
-    laid = tk.stored(laid.select("row", "doc_id", "source", "size", "source_size", "target", "k", "begin"), "laid")
+    laid = tk.stored(laid.select("row", "doc_id", "th", "source", "size", "source_size", "target", "k", "begin"), "laid")
     touch = laid.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
     hit = touch.join(slots, ["k", "block"])
     words = F.expr(f"least(begin + size, (block + 1) * {block}) - greatest(begin, block * {block})")
@@ -158,6 +159,40 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, seed: int
     return laid.join(used, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("row", "k")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: each gives a row of its words that are taken, and one more of those that are taken again.
+
+    Runs of taken words keep the white space between them; runs are joined by one space. Documents without words go."""
+    used = mix(tk.only(docs, doc_id="bigint", text="string", source="string")).where("taken > 0")
+    used = used.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "begin", F.transform("uses", lambda u: u.block).alias("b__"), F.transform("uses", lambda u: u.times).alias("t__"))
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    src = docs.join(used, (F.col("doc_id") == F.col("id__")) & (F.xxhash64("text") == F.col("th__"))).select(F.col("text").alias("text__"), "begin", "b__", "t__", *rest)
+
+    def run(batch):
+        data, offsets = tk.string_buffer(batch.column(0))
+        words = tk.Words(data, offsets, lower=False)
+        row, texts = [], []
+        for i, (begin, blocks, times) in enumerate(zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)])):
+            a, b = words.first[i], words.first[i + 1]
+            block = (begin + np.arange(b - a)) // BLOCK
+            often = np.zeros(int(block[-1] - block[0]) + 1, np.int64)
+            often[np.array(blocks) - block[0]] = times
+            often = often[block - block[0]]
+            for c in range(1, int(often.max()) + 1):
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], (often >= c).astype(np.int8), [0]))))
+                parts = [data[words.start[a + x] : words.end[a + y - 1]].tobytes().decode() for x, y in zip(edge[::2], edge[1::2])]
+                row.append(i)
+                texts.append(" ".join(parts))
+        at = pa.array(row, pa.int64())
+        return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[4:]], pa.array(texts, pa.string())], [*batch.schema.names[4:], "text"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[4:])
+    out = tk.per_batch(src, run, f"{fields}, text string", text="text__")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tk.only(tk.table(spark, sf_dir, "documents"), doc_id="bigint", text="string", source="string")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")

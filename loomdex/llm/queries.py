@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {
+    "op1_topk_search": "search",
     "op2_language_id": "language",
     "op3_html_extraction": "html",
     "op4_ngram_jaccard": "jaccard",

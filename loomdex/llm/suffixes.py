@@ -324,4 +324,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = cut_docs(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), keep=rest, digest=False)
     out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("kept").cast("string")))
-    return out.withColumn("text", F.when(F.col("n_removed") > 0, F.regexp_replace("text", "�", "")).otherwise(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.regexp_replace("text", "�", "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

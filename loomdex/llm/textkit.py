@@ -69,12 +69,12 @@ def slices(offsets: np.ndarray, limit: int = 4 << 20):
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of consecutive rows: start, end, 64-bit hash and row of each."""
+    """Words of consecutive rows, by default ``[^\\x20\\x09-\\x0D]+``: start, end and 64-bit hash of each, and each row's first."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = WHITE):
         self.rows = len(offsets) - 1
         n = len(data)
-        white = WHITE[data]
+        white = between[data]
         begin = np.empty(n + 1, bool)
         if n:
             begin[0], begin[1:n] = True, white[:-1]
