@@ -153,12 +153,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, protos).select("doc_id", tk.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-#: Below this cosine with the nearest prototype a text is in no learned language.
-REJECT_BELOW = 0.02
+#: At or below this cosine with the nearest prototype a text is in no learned language.
+REJECT_BELOW = 0.0
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose text is in a learned language; learns from the rows of ``docs`` with a lang."""
     protos = prototypes(tk.only(docs, doc_id="bigint", text="string", lang="string").where(~tk.held_out("doc_id")))
     found = identify(docs, protos, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where(f"lang_pred <> 'und' and score >= {REJECT_BELOW}").select(*docs.columns)
+    return found.where(f"lang_pred <> 'und' and score > {REJECT_BELOW}").select(*docs.columns)
