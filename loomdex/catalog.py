@@ -1,11 +1,752 @@
-"""All queries of the engine by name, and SQL for the same results."""
+"""All queries of the engine by name, and DuckDB SQL for the same results.
+
+A query takes (spark, sf_dir) and runs over whole tables; a limit is there only
+where it is the feature. ``@query(sql)`` registers the function below it.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from . import tables as T
+from .functions import paths as P
+from .functions import text as X
+from .functions import vectors as V
+from .operators import clustering as C
+from .operators import library as L
+from .operators import retrieval as R
+from .operators import taxonomy as G
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+PHRASE = "to the"
+TAGS = ("fr", "src3")
+
+
+def query(sql: str | None = None):
+    def keep(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return keep
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return T.embeddings(spark, sf_dir).where(F.col("vec_id") == vec_id).first().v
+
+
+def _tagged(spark, sf_dir) -> DataFrame:
+    return T.embeddings(spark, sf_dir).join(T.documents(spark, sf_dir).select("doc_id", "tags"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "v", "tags")
+
+
+# ---- vector search -------------------------------------------------------------------------------------------------
+
+_COS = "round(1 - (1 - list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v)))) / 2, 6)"
+_SCORED = f"scored AS (SELECT a.vec_id, {_COS} AS score FROM vecs a, (SELECT v FROM vecs WHERE vec_id = 0) q)"
+_TAGGED = "tagged AS (SELECT s.vec_id, s.score, d.lang, d.source FROM scored s JOIN documents d ON d.doc_id = s.vec_id)"
+
+
+@query(f"{T.with_sql('vecs')}, {_SCORED} SELECT vec_id, score FROM scored ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    return R.vector_top_k(T.embeddings(spark, sf_dir), _vector(spark, sf_dir)).select("vec_id", "score")
+
+
+@query(f"{T.with_sql('vecs')}, {_SCORED} SELECT vec_id, score FROM scored WHERE score >= 0.6 ORDER BY score DESC, vec_id LIMIT 25")
+def vector_topk_threshold(spark, sf_dir):
+    return R.vector_top_k(T.embeddings(spark, sf_dir), _vector(spark, sf_dir), k=25, threshold=0.6).select("vec_id", "score")
+
+
+@query(f"{T.with_sql('vecs')}, {_SCORED}, {_TAGGED} SELECT vec_id, score FROM tagged WHERE lang IN {TAGS} OR source IN {TAGS} ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_tags(spark, sf_dir):
+    return R.vector_top_k(_tagged(spark, sf_dir), _vector(spark, sf_dir), tags=TAGS).select("vec_id", "score")
+
+
+@query(f"{T.with_sql('vecs')}, {_SCORED}, {_TAGGED}, first AS (SELECT * FROM tagged ORDER BY score DESC, vec_id LIMIT 30) SELECT vec_id, score FROM first WHERE lang IN {TAGS} OR source IN {TAGS} ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_tags_compat(spark, sf_dir):
+    return R.vector_top_k(_tagged(spark, sf_dir), _vector(spark, sf_dir), tags=TAGS, compat=True).select("vec_id", "score")
+
+
+_EACH = f"each AS (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS score FROM vecs a, (SELECT vec_id, v FROM vecs WHERE vec_id < 5) q), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM each)"
+
+
+def _each(spark, sf_dir):
+    v = T.embeddings(spark, sf_dir)
+    return R.vector_top_k_each(v.select("vec_id", "v"), v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+
+
+@query(f"{T.with_sql('vecs')}, {_EACH} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10")
+def vector_multi_query_topk(spark, sf_dir):
+    return _each(spark, sf_dir)
+
+
+@query(f"{T.with_sql('vecs')}, {_EACH} SELECT vec_id, max(score) AS score, string_agg(CAST(query_id AS VARCHAR), ',' ORDER BY CAST(query_id AS VARCHAR)) AS queries FROM ranked WHERE rank <= 10 GROUP BY vec_id")
+def search_pack_dedupe(spark, sf_dir):
+    return R.dedupe_queries(_each(spark, sf_dir))
+
+
+@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AS valid FROM embeddings")
+def embedding_validity(spark, sf_dir):
+    return T.embeddings(spark, sf_dir).select("vec_id", V.valid(F.col("v"), 64).alias("valid"))
+
+
+# ---- full text -----------------------------------------------------------------------------------------------------
+
+_FTS = """toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM documents WHERE lang = 'en'),
+measured AS (SELECT doc_id, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'to' AND t[i + 1] = 'the')) AS tf FROM toks),
+corpus AS (SELECT count(*) AS n_rows, avg(dl) AS avgdl, count(*) FILTER (WHERE tf > 0) AS df FROM measured),
+hits AS (SELECT m.doc_id, round(-(CASE WHEN ln((c.n_rows - c.df + 0.5) / (c.df + 0.5)) <= 0 THEN 1e-6 ELSE ln((c.n_rows - c.df + 0.5) / (c.df + 0.5)) END
+  * (m.tf * 2.2 / (m.tf + 1.2 * (0.25 + 0.75 * m.dl / c.avgdl)))), 6) AS bm25_rank FROM measured m, corpus c WHERE m.tf > 0)"""
+
+
+def _fts(spark, sf_dir):
+    return R.fts_phrase(T.documents(spark, sf_dir).where("lang = 'en'").select("doc_id", "text", "tags"), "text", PHRASE)
+
+
+@query(f"WITH {_FTS} SELECT doc_id, bm25_rank FROM hits ORDER BY bm25_rank, doc_id LIMIT 30")
+def fts_phrase_bm25(spark, sf_dir):
+    return _fts(spark, sf_dir).orderBy("bm25_rank", "doc_id").limit(30).select("doc_id", "bm25_rank")
+
+
+@query(f"WITH {_FTS} SELECT h.doc_id, h.bm25_rank FROM hits h JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3', 'src4') ORDER BY bm25_rank, doc_id LIMIT 10")
+def fts_phrase_tags(spark, sf_dir):
+    return L.by_tag(_fts(spark, sf_dir), "src1", "src2", "src3", "src4").orderBy("bm25_rank", "doc_id").limit(10).select("doc_id", "bm25_rank")
+
+
+@query(f"WITH {_FTS} SELECT doc_id, round(abs(bm25_rank) / (1 + abs(bm25_rank)), 6) AS score FROM hits")
+def fts_score_normalised(spark, sf_dir):
+    return _fts(spark, sf_dir).select("doc_id", "score")
+
+
+_HYBRID = f"""{T.SQL['vecs']}, {_SCORED}, {_FTS},
+vec_hits AS (SELECT vec_id AS doc_id, score FROM scored ORDER BY score DESC, vec_id LIMIT 200),
+text_hits AS (SELECT doc_id, round(abs(bm25_rank) / (1 + abs(bm25_rank)), 6) AS score FROM hits ORDER BY bm25_rank, doc_id LIMIT 30),
+merged AS (SELECT coalesce(v.doc_id, f.doc_id) AS doc_id,
+  round(CASE WHEN v.score IS NOT NULL AND f.score IS NOT NULL THEN least(1.0, greatest(v.score, f.score) * CAST(1.05 AS DOUBLE)) ELSE coalesce(v.score, f.score) END, 6) AS score,
+  CASE WHEN v.score IS NOT NULL AND f.score IS NOT NULL THEN 'hybrid' WHEN v.score IS NOT NULL THEN 'vector' ELSE 'fts' END AS match_type
+  FROM vec_hits v FULL JOIN text_hits f ON v.doc_id = f.doc_id)"""
+
+
+def _hybrid(spark, sf_dir):
+    vec = R.vector_top_k(T.embeddings(spark, sf_dir), _vector(spark, sf_dir), k=200).select(F.col("vec_id").alias("doc_id"), "score")
+    text = _fts(spark, sf_dir).orderBy("bm25_rank", "doc_id").limit(30).select("doc_id", "score")
+    return R.hybrid_merge(vec, text, "doc_id")
+
+
+@query(f"WITH {_HYBRID} SELECT doc_id, score, match_type FROM merged")
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir)
+
+
+@query(
+    f"WITH {_HYBRID}, dims AS (SELECT label, unnest(range(1, 65)) AS i, v FROM vecs), cent AS (SELECT label, i, avg(v[i]) AS x FROM dims GROUP BY label, i), "
+    "cv AS (SELECT label, list(x ORDER BY i) AS v FROM cent GROUP BY label), "
+    "cl AS (SELECT a.label, round(1 - (1 - list_dot_product(a.v, q.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(q.v, q.v)))) / 2, 6) AS score FROM cv a, (SELECT v FROM vecs WHERE vec_id = 0) q ORDER BY score DESC, label LIMIT 5) "
+    "SELECT doc_id, score, match_type FROM merged UNION ALL SELECT -1 - label, score, 'cluster' FROM cl"
+)
+def hybrid_with_clusters(spark, sf_dir):
+    v = T.embeddings(spark, sf_dir)
+    centres = C.mean_vectors(v, v.select("vec_id", F.col("label").alias("cluster_id"))).select(F.col("cluster_id").alias("vec_id"), F.col("c").alias("v"))
+    best = R.vector_top_k(centres, _vector(spark, sf_dir), k=5).select((-1 - F.col("vec_id")).cast("long").alias("doc_id"), "score", F.lit("cluster").alias("match_type"))
+    return _hybrid(spark, sf_dir).unionByName(best)
+
+
+# ---- context, pages, documents -------------------------------------------------------------------------------------
+
+_CTX = f"""{T.with_sql('chunks')}, c AS (SELECT doc_id, chunk_index AS i, length(content) AS len FROM chunks),
+t AS (SELECT doc_id, i AS t_index, len AS t_len FROM c WHERE i = 3),
+b0 AS (SELECT t.doc_id, t_index, t_len, c.i, c.len, row_number() OVER w AS rn, sum(c.len) OVER w AS s FROM t JOIN c ON c.doc_id = t.doc_id AND c.i < t_index WINDOW w AS (PARTITION BY t.doc_id ORDER BY c.i DESC)),
+b AS (SELECT doc_id, min(i) AS start_index, max(t_len + s + rn) AS cum FROM b0 WHERE rn <= 20 AND t_len + s + rn <= 1.2 * 900 GROUP BY doc_id),
+tb AS (SELECT t.doc_id, t_index, coalesce(start_index, t_index) AS start_index, coalesce(cum, t_len) AS total FROM t LEFT JOIN b USING (doc_id)),
+a0 AS (SELECT tb.doc_id, c.i, total + sum(c.len) OVER w + row_number() OVER w AS cum, row_number() OVER w AS rn FROM tb JOIN c ON c.doc_id = tb.doc_id AND c.i > t_index WINDOW w AS (PARTITION BY tb.doc_id ORDER BY c.i)),
+a AS (SELECT doc_id, max(i) AS end_index, max(cum) AS cum FROM a0 WHERE rn <= 20 AND cum <= 1.2 * 900 GROUP BY doc_id)"""
+
+
+def _targets(spark, sf_dir):
+    c = T.chunks(spark, sf_dir)
+    return c, c.where("chunk_index = 3").select("doc_id", F.col("chunk_index").alias("t_index"))
+
+
+@query(f"{_CTX} SELECT doc_id, t_index, start_index, CAST(total AS BIGINT) AS n_chars FROM tb")
+def context_before(spark, sf_dir):
+    return R.expand_context(*_targets(spark, sf_dir), 900, both=False)
+
+
+@query(f"{_CTX} SELECT doc_id, t_index, start_index, coalesce(end_index, t_index) AS end_index, CAST(coalesce(cum, total) AS BIGINT) AS n_chars FROM tb LEFT JOIN a USING (doc_id)")
+def context_both(spark, sf_dir):
+    return R.expand_context(*_targets(spark, sf_dir), 900)
+
+
+@query(f"{T.with_sql('chunks')} SELECT doc_id, page, md5(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS text_md5 FROM chunks GROUP BY doc_id, page")
+def page_reassembly(spark, sf_dir):
+    return L.page_text(T.chunks(spark, sf_dir)).select("doc_id", "page", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+@query(f"{T.with_sql('chunks')} SELECT chunk_id, page, chunk_index FROM chunks WHERE doc_id = 8 AND page = 1 ORDER BY page, chunk_index")
+def doc_chunks_ordered(spark, sf_dir):
+    return L.chunks_of(T.chunks(spark, sf_dir), 8, 1).select("chunk_id", "page", "chunk_index")
+
+
+@query(f"{T.with_sql('chunks')} SELECT chunk_id, CAST(doc_id AS VARCHAR) || '-' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, chunk_index) - 1 AS VARCHAR) AS record_id FROM chunks")
+def chunk_record_ids(spark, sf_dir):
+    c = T.chunks(spark, sf_dir)
+    return L.number_chunks(c.withColumnRenamed("chunk_id", "old_id")).select(F.col("old_id").alias("chunk_id"), F.col("chunk_id").alias("record_id"))
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id, path FROM docs WHERE lang = 'de' OR source = 'src7'")
+def documents_by_tag(spark, sf_dir):
+    return L.by_tag(T.documents(spark, sf_dir), "de", "src7").select("doc_id", "path")
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id FROM docs WHERE contains(lower(title), 'the') OR starts_with(id, 'the') ORDER BY size_bytes DESC, id LIMIT 1")
+def document_lookup(spark, sf_dir):
+    return L.lookup(T.documents(spark, sf_dir), "the", newest="size_bytes").select("doc_id")
+
+
+@query(f"{T.with_sql('docs')} SELECT id, title, 1 AS page_count, lang || ',' || source AS tags, 'txt' AS file_type FROM docs")
+def document_summary(spark, sf_dir):
+    d = T.documents(spark, sf_dir)
+    return d.select("id", "title", F.lit(1).alias("page_count"), F.array_join("tags", ",").alias("tags"), P.file_type(F.col("path")).alias("file_type"))
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id, size_bytes FROM docs WHERE source = 'src5' ORDER BY size_bytes DESC, doc_id")
+def documents_newest_first(spark, sf_dir):
+    return L.by_tag(T.documents(spark, sf_dir), "src5").orderBy(F.desc("size_bytes"), "doc_id").select("doc_id", "size_bytes")
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id, title FROM docs WHERE path = '/src0/en/20.txt' OR doc_id = 17")
+def scan_by_key(spark, sf_dir):
+    return T.documents(spark, sf_dir).where("path = '/src0/en/20.txt' or doc_id = 17").select("doc_id", "title")
+
+
+# ---- library -------------------------------------------------------------------------------------------------------
+
+
+@query(f"{T.with_sql('chunks')} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings) AS embeddings")
+def library_stats(spark, sf_dir):
+    return L.stats(T.documents(spark, sf_dir), T.chunks(spark, sf_dir), T.embeddings(spark, sf_dir))
+
+
+@query(f"{T.with_sql('chunks')} SELECT d.doc_id, count(c.chunk_id) AS n_chunks FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id")
+def chunks_per_document(spark, sf_dir):
+    return L.chunks_per_document(T.documents(spark, sf_dir), T.chunks(spark, sf_dir))
+
+
+@query(f"{T.with_sql('chunks')} SELECT chunk_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphan_chunks(spark, sf_dir):
+    return L.orphans(T.chunks(spark, sf_dir), T.read(spark, sf_dir, "labels"), "doc_id", "doc_id").select("chunk_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
+def orphan_embeddings(spark, sf_dir):
+    return L.orphans(T.embeddings(spark, sf_dir), T.documents(spark, sf_dir).where("lang <> 'en'"), "vec_id", "doc_id").select("vec_id")
+
+
+@query(f"{T.with_sql('chunks')} SELECT (SELECT count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS orphan_chunks, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)) AS orphan_embeddings")
+def orphan_counts(spark, sf_dir):
+    lab = T.read(spark, sf_dir, "labels")
+    a = L.orphans(T.chunks(spark, sf_dir), lab, "doc_id", "doc_id").agg(F.count("*").alias("orphan_chunks"))
+    return a.join(L.orphans(T.embeddings(spark, sf_dir), lab, "vec_id", "doc_id").agg(F.count("*").alias("orphan_embeddings")), F.lit(True))
+
+
+@query(f"{T.with_sql('chunks')} SELECT (SELECT count(*) FROM documents WHERE source <> 'src2') AS documents, (SELECT count(*) FROM chunks c JOIN documents d USING (doc_id) WHERE d.source <> 'src2') AS chunks")
+def delete_cascade(spark, sf_dir):
+    d, c = T.documents(spark, sf_dir), T.chunks(spark, sf_dir)
+    left = L.delete_documents({"documents": d, "chunks": c}, d.where("source = 'src2'").select("doc_id"))
+    return L.stats(left["documents"], left["chunks"], None).drop("embeddings")
+
+
+@query("SELECT vec_id, round(CASE WHEN vec_id % 10 = 0 THEN -CAST(embedding[1] AS DOUBLE) ELSE CAST(embedding[1] AS DOUBLE) END, 6) AS first FROM embeddings UNION ALL SELECT 1000000, 0.5")
+def upsert_embeddings(spark, sf_dir):
+    old = T.embeddings(spark, sf_dir).select("vec_id", "v")
+    new = old.where("vec_id % 10 = 0").select("vec_id", F.transform("v", lambda x: -x).alias("v")).unionByName(spark.range(1).select(F.lit(1000000).cast("long").alias("vec_id"), F.array(F.lit(0.5)).alias("v")))
+    return G.upsert(old, new, ["vec_id"]).select("vec_id", F.round(F.col("v")[0], 6).alias("first"))
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id, title, path, CASE WHEN source = 'src1' THEN size_bytes * 2 ELSE size_bytes END AS size_bytes FROM docs")
+def refresh_document(spark, sf_dir):
+    d = T.documents(spark, sf_dir).select("doc_id", "title", "path", "size_bytes", "source")
+    return L.refresh(d, d.where("source = 'src1'").select("doc_id", (F.col("size_bytes") * 2).alias("size_bytes"))).drop("source")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id = 3 THEN 'x,y' ELSE lang || ',' || source END AS tags FROM documents")
+def update_tags(spark, sf_dir):
+    return L.set_tags(T.documents(spark, sf_dir), 3, ["x", "y"]).select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id, path AS old_path, '/new/3.txt' AS new_path, true AS changed FROM docs WHERE doc_id = 3")
+def relocate_document(spark, sf_dir):
+    return L.relocate(T.documents(spark, sf_dir), 3, "/new/3.txt")[1]
+
+
+@query(f"{T.with_sql('chunks')}, t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(CASE WHEN doc_id % 7 = 0 THEN 'again ' || content ELSE content END), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM chunks) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY term")
+def postings_maintenance(spark, sf_dir):
+    c = T.chunks(spark, sf_dir)
+    new = c.withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("again "), "content")).otherwise(F.col("content")))
+    index = L.maintain_postings(L.postings(c), new, c.where("doc_id % 7 = 0").select("doc_id").distinct())
+    return index.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(f"{T.with_sql('chunks')}, last AS (SELECT doc_id, max(chunk_index) AS last FROM chunks GROUP BY doc_id) SELECT c.conv_id AS doc_id, c.turn AS seq, CAST(coalesce(last + 1, 0) + row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS INTEGER) AS chunk_index FROM conversations c LEFT JOIN last l ON l.doc_id = c.conv_id")
+def append_chunks(spark, sf_dir):
+    more = T.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return L.append_after(T.chunks(spark, sf_dir), more).select("doc_id", "seq", F.col("chunk_index").cast("int").alias("chunk_index"))
+
+
+# synthetic identities: by doc_id, some missing, some malformed, some changed
+_IDENT = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'sha256' END AS algorithm, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'XYZ' ELSE sha256(text) END AS digest"
+_ISSUE = "CASE WHEN doc_id % 17 = 0 THEN 'unreadable' WHEN doc_id % 11 = 0 THEN 'identity_missing' WHEN doc_id % 13 = 0 THEN 'identity_invalid' WHEN doc_id % 19 = 0 THEN 'hash_mismatch' WHEN doc_id % 23 = 0 THEN 'size_mismatch' ELSE 'ok' END"
+_CHUNKER = "CASE WHEN doc_id % 5 = 0 THEN 'missing_metadata' WHEN doc_id % 7 = 0 THEN 'id_version_mismatch' WHEN doc_id % 3 = 0 THEN 'config_mismatch' ELSE 'ok' END"
+_IDENTITY = "CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 13 = 0 THEN 'invalid' ELSE 'valid' END"
+
+
+def _identities(spark, sf_dir):
+    d = T.documents(spark, sf_dir)
+    m = lambda n: F.col("doc_id") % n == 0
+    sha = F.sha2("text", 256)
+    stored = d.select("doc_id", F.when(~m(11), "sha256").alias("algorithm"), F.when(m(11), None).when(m(13), "XYZ").otherwise(sha).alias("digest"), "size_bytes")
+    now = d.where(~m(17)).select("doc_id", F.when(m(19), F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(sha).alias("digest"), (F.col("size_bytes") + F.when(m(23), 1).otherwise(0)).alias("size_bytes"))
+    return stored, now
+
+
+def _chunkers(spark, sf_dir):
+    m = lambda n: F.col("doc_id") % n == 0
+    meta = F.when(m(5), F.lit(None)).when(m(7), F.lit('{"id":"x","version":1,"config":{"unit":"chars","chunkSize":2000,"chunkOverlap":200}}')).when(m(3), F.lit('{"id":"txt","version":1,"config":{"unit":"chars","chunkSize":1000,"chunkOverlap":200}}')).otherwise(F.lit('{"id":"txt","version":1,"config":{"unit":"chars","chunkSize":2000,"chunkOverlap":200}}'))
+    return T.documents(spark, sf_dir).select("doc_id", L.assess_chunker(meta, "txt", 1, 2000, 200).alias("chunker"))
+
+
+@query(f"SELECT doc_id, {_IDENTITY} AS status FROM documents")
+def source_identity_status(spark, sf_dir):
+    s, _ = _identities(spark, sf_dir)
+    return s.select("doc_id", L.identity_status(F.col("algorithm"), F.col("digest")).alias("status"))
+
+
+@query(f"SELECT doc_id, {_ISSUE} AS issue FROM documents")
+def source_identity_audit(spark, sf_dir):
+    return L.audit_sources(*_identities(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, {_CHUNKER} AS chunker FROM documents")
+def chunker_assessment(spark, sf_dir):
+    return _chunkers(spark, sf_dir)
+
+
+_PLAN = f"""WITH d AS (SELECT doc_id, {_ISSUE} AS issue, {_IDENTITY} AS ident, {_CHUNKER} AS chunker, doc_id % 29 = 0 AS stale FROM documents),
+p AS (SELECT doc_id, CASE WHEN issue IN ('hash_mismatch', 'size_mismatch') THEN 'source_changed' WHEN ident = 'invalid' THEN 'identity_invalid' WHEN ident = 'missing' THEN 'identity_missing' WHEN stale THEN 'visuals_stale' WHEN chunker <> 'ok' THEN chunker END AS r FROM d)"""
+
+
+def _plan(spark, sf_dir):
+    s, now = _identities(spark, sf_dir)
+    audit = L.audit_sources(s, now).join(s.select("doc_id", L.identity_status(F.col("algorithm"), F.col("digest")).alias("identity")), "doc_id")
+    return L.rechunk_plan(audit.join(_chunkers(spark, sf_dir), "doc_id").withColumn("visuals_stale", F.col("doc_id") % 29 == 0), include_missing=True)
+
+
+@query(f"{_PLAN} SELECT doc_id, r IS NOT NULL AS include, coalesce(r, 'up_to_date') AS reason FROM p")
+def rechunk_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+@query(f"{_PLAN} SELECT coalesce(r, 'up_to_date') AS reason, count(*) AS n FROM p GROUP BY 1")
+def rechunk_totals(spark, sf_dir):
+    return _plan(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {_ISSUE} AS issue, count(*) AS n FROM documents GROUP BY 1")
+def source_health(spark, sf_dir):
+    return L.audit_sources(*_identities(spark, sf_dir)).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 3 AS checks, CAST((SELECT count(*) > 0 FROM documents WHERE {_ISSUE} <> 'ok') AS INTEGER) + CAST((SELECT count(*) > 0 FROM documents WHERE {_CHUNKER} <> 'ok') AS INTEGER) AS failed, false AS healthy")
+def health_rollup(spark, sf_dir):
+    a = L.audit_sources(*_identities(spark, sf_dir)).agg(F.lit("sources").alias("name"), F.every(F.col("issue") == "ok").alias("ok"))
+    b = _chunkers(spark, sf_dir).agg(F.lit("chunker").alias("name"), F.every(F.col("chunker") == "ok").alias("ok"))
+    c = T.documents(spark, sf_dir).agg(F.lit("documents").alias("name"), (F.count("*") > 0).alias("ok"))
+    return L.health(a.unionByName(b).unionByName(c)).select(F.col("checks").cast("int").alias("checks"), F.col("failed").cast("int").alias("failed"), "healthy")
+
+
+_PATHS = "found AS (SELECT path FROM docs WHERE doc_id % 3 = 0 UNION SELECT path FROM docs WHERE doc_id % 5 = 0), gone AS (SELECT path FROM docs WHERE lang = 'es')"
+
+
+def _selection(spark, sf_dir):
+    d = T.documents(spark, sf_dir)
+    return d.where("doc_id % 3 = 0").select("path").unionByName(d.where("doc_id % 5 = 0").select("path")), d.where("lang = 'es'").select("path"), d.where("doc_id % 2 = 0").select("path")
+
+
+@query(f"{T.with_sql('docs')}, {_PATHS} SELECT path FROM found EXCEPT SELECT path FROM gone")
+def discovery_selection(spark, sf_dir):
+    found, gone, _ = _selection(spark, sf_dir)
+    return L.select_paths(found, gone)
+
+
+@query(f"{T.with_sql('docs')}, {_PATHS} SELECT path FROM found EXCEPT (SELECT path FROM gone UNION SELECT path FROM docs WHERE doc_id % 2 = 0)")
+def skip_existing(spark, sf_dir):
+    return L.select_paths(*_selection(spark, sf_dir))
+
+
+@query(f"{T.with_sql('docs')}, {_PATHS} SELECT path FROM (SELECT path FROM found EXCEPT SELECT path FROM gone) ORDER BY path LIMIT 20")
+def discovery_sample(spark, sf_dir):
+    found, gone, _ = _selection(spark, sf_dir)
+    return L.select_paths(found, gone).orderBy("path").limit(20)
+
+
+@query(f"{T.with_sql('docs')}, {_PATHS} SELECT (SELECT count(*) FROM found) AS discovered, (SELECT count(*) FROM gone) AS excluded, (SELECT count(*) FROM (SELECT path FROM found EXCEPT SELECT path FROM gone)) AS selected")
+def selection_counts(spark, sf_dir):
+    found, gone, _ = _selection(spark, sf_dir)
+    return L.selection_counts(found, gone, L.select_paths(found, gone))
+
+
+@query(f"{T.with_sql('chunks')}, i AS (SELECT doc_id, chunk_index AS seq, md5(content) AS hash, length(content) AS n FROM chunks), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, hash ORDER BY seq) AS k FROM i WHERE n <= 300), g AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM f WHERE k = 1) SELECT doc_id, seq FROM g WHERE k <= 2")
+def image_dedupe_cap(spark, sf_dir):
+    i = T.chunks(spark, sf_dir).select("doc_id", F.col("chunk_index").alias("seq"), F.md5(F.encode("content", "UTF-8")).alias("hash"), F.char_length("content").alias("byte_size"))
+    return L.cap_images(i, 300, 2).select("doc_id", "seq")
+
+
+# ---- taxonomy ------------------------------------------------------------------------------------------------------
+
+_UP = """up AS (SELECT concept_id AS start, broader_id AS id FROM hierarchy UNION SELECT u.start, h.broader_id FROM up u JOIN hierarchy h ON h.concept_id = u.id)"""
+
+
+@query(f"{T.with_sql('hierarchy')} SELECT DISTINCT broader_id AS id FROM hierarchy WHERE concept_id = 'n0'")
+def concept_broader(spark, sf_dir):
+    return G.broader(T.hierarchy(spark, sf_dir), "n0")
+
+
+@query(f"{T.with_sql('hierarchy')} SELECT DISTINCT concept_id AS id FROM hierarchy WHERE broader_id = 'r1'")
+def concept_narrower(spark, sf_dir):
+    return G.narrower(T.hierarchy(spark, sf_dir), "r1")
+
+
+@query("WITH r AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS a, 'n' || CAST((n_nationkey * 7 + 1) % 25 AS VARCHAR) AS b FROM nation), s AS (SELECT a, b FROM r UNION SELECT b, a FROM r) SELECT DISTINCT b AS id FROM s WHERE a = 'n1'")
+def concept_related(spark, sf_dir):
+    r = T.read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("concept_id"), F.concat(F.lit("n"), ((F.col("n_nationkey") * 7 + 1) % 25).cast("int").cast("string")).alias("related_id"), F.lit("related").alias("relation_type"))
+    return G.related(r, "n1")
+
+
+@query(f"{T.with_sql('hierarchy', recursive=True)}, {_UP} SELECT start, id FROM up")
+def concept_ancestors(spark, sf_dir):
+    e = T.hierarchy(spark, sf_dir)
+    return G.closure(e, e.select(F.col("concept_id").alias("id")).distinct()).select("start", "id")
+
+
+@query(f"{T.with_sql('hierarchy', recursive=True)}, {_UP} SELECT id AS start, start AS id FROM up")
+def concept_descendants(spark, sf_dir):
+    e = T.hierarchy(spark, sf_dir)
+    return G.closure(e, e.select(F.col("broader_id").alias("id")).distinct(), up=False).select("start", "id")
+
+
+@query(f"{T.with_sql('concepts', 'hierarchy', recursive=True)}, ids AS (SELECT id FROM concepts UNION SELECT concept_id FROM hierarchy UNION SELECT broader_id FROM hierarchy), tree AS (SELECT id, id AS path, 1 AS depth FROM ids WHERE id NOT IN (SELECT concept_id FROM hierarchy) UNION ALL SELECT h.concept_id, t.path || ' > ' || h.concept_id, t.depth + 1 FROM tree t JOIN (SELECT DISTINCT * FROM hierarchy) h ON h.broader_id = t.id WHERE t.depth < 12) SELECT id, path, depth FROM tree")
+def concept_tree_paths(spark, sf_dir):
+    return G.tree_paths(T.hierarchy(spark, sf_dir), T.concepts(spark, sf_dir))
+
+
+@query(f"{T.with_sql('concepts')} SELECT id FROM concepts WHERE contains(low, 'an') OR contains(definition, 'an')")
+def concept_text_search(spark, sf_dir):
+    return G.search_text(T.concepts(spark, sf_dir), "AN").select("id")
+
+
+@query(f"{T.with_sql('concepts')} SELECT id FROM concepts ORDER BY low, id")
+def concepts_by_label(spark, sf_dir):
+    return T.concepts(spark, sf_dir).orderBy(F.lower("pref_label"), "id").select("id")
+
+
+@query(f"{T.with_sql('vecs')}, {_SCORED}, c AS (SELECT 'n' || CAST(vec_id AS VARCHAR) AS id, score FROM scored WHERE vec_id < 25 ORDER BY score DESC, id LIMIT 10) SELECT id, score FROM c WHERE score >= 0.45")
+def concept_vector_search(spark, sf_dir):
+    c = T.embeddings(spark, sf_dir).where("vec_id < 25").select(F.concat(F.lit("n"), "vec_id").alias("id"), "v")
+    return G.search_vector(c, _vector(spark, sf_dir), threshold=0.45, k=5).select("id", "score")
+
+
+def _assigned(spark, sf_dir):
+    return T.read(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("n"), (F.col("doc_id") % 25).cast("string")).alias("concept_id"), F.col("quality").cast("double").alias("confidence"), F.lit("llm").alias("source"))
+
+
+@query("SELECT doc_id, 'n' || CAST(doc_id % 25 AS VARCHAR) AS concept_id, CASE WHEN toxic = 1 THEN 0.5 ELSE CAST(quality AS DOUBLE) END AS confidence, CASE WHEN toxic = 1 THEN 'manual' ELSE 'llm' END AS source FROM labels")
+def assignment_upsert(spark, sf_dir):
+    new = T.read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.concat(F.lit("n"), (F.col("doc_id") % 25).cast("string")).alias("concept_id"), F.lit(0.5).alias("confidence"), F.lit("manual").alias("source"))
+    return G.upsert(_assigned(spark, sf_dir), new, ["doc_id", "concept_id"])
+
+
+@query("SELECT 'n' || CAST(doc_id % 25 AS VARCHAR) AS concept_id, count(*) AS n FROM labels WHERE doc_id % 4 <> 0 GROUP BY 1")
+def assignment_reads(spark, sf_dir):
+    a = _assigned(spark, sf_dir)
+    return G.remove(a, a.where("doc_id % 4 = 0").select("doc_id", "concept_id"), ["doc_id", "concept_id"]).groupBy("concept_id").agg(F.count("*").alias("n"))
+
+
+@query(f"{T.with_sql('concepts')} SELECT id, definition FROM concepts UNION ALL SELECT 'thing', 'extra'")
+def seed_insert_if_absent(spark, sf_dir):
+    c = T.concepts(spark, sf_dir).select("id", "definition")
+    return G.insert_absent(c, spark.createDataFrame([("r0", "extra"), ("thing", "extra"), ("n3", "extra")], "id string, definition string"), ["id"])
+
+
+@query(f"{T.with_sql('concepts')} SELECT id, CASE WHEN id = 'r2' THEN 'changed' ELSE definition END AS definition FROM concepts")
+def concept_update(spark, sf_dir):
+    return G.update_concept(T.concepts(spark, sf_dir), "r2", definition="changed", pref_label=None).select("id", "definition")
+
+
+# ---- clustering ----------------------------------------------------------------------------------------------------
+
+_CENT = "cent AS (SELECT CAST(vec_id AS INTEGER) AS cluster_id, v AS c FROM vecs WHERE vec_id < 8)"
+_NEAR = f"{T.with_sql('vecs')}, {_CENT}, near AS (SELECT a.vec_id, cluster_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - c[i]) * (a.v[i] - c[i])))) AS d FROM vecs a, cent), asg AS (SELECT vec_id, cluster_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cluster_id) AS k FROM near) WHERE k = 1)"
+
+
+def _centroids(spark, sf_dir):
+    return T.embeddings(spark, sf_dir).where("vec_id < 8").select(F.col("vec_id").cast("int").alias("cluster_id"), F.col("v").alias("c"))
+
+
+def _asg(spark, sf_dir):
+    v = T.embeddings(spark, sf_dir)
+    return v, _centroids(spark, sf_dir), C.assign(v, _centroids(spark, sf_dir))
+
+
+@query(f"{_NEAR} SELECT * FROM asg")
+def kmeans_assign_step(spark, sf_dir):
+    return _asg(spark, sf_dir)[2]
+
+
+@query(f"{_NEAR}, x AS (SELECT cluster_id, unnest(range(0, 64)) AS dim, v FROM asg JOIN vecs USING (vec_id)) SELECT cluster_id, CAST(dim AS INTEGER) AS dim, round(avg(v[dim + 1]), 6) + 0.0 AS mean FROM x GROUP BY cluster_id, dim")
+def kmeans_update_step(spark, sf_dir):
+    v, _, a = _asg(spark, sf_dir)
+    return C.means(v, a).select("cluster_id", "dim", (F.round("mean", 6) + 0.0).alias("mean"))
+
+
+@query(f"{_NEAR} SELECT cent.cluster_id, count(asg.vec_id) AS n FROM cent LEFT JOIN asg ON asg.cluster_id = cent.cluster_id GROUP BY cent.cluster_id")
+def cluster_sizes(spark, sf_dir):
+    _, c, a = _asg(spark, sf_dir)
+    return C.sizes(a, c)
+
+
+@query(f"{_NEAR}, e AS (SELECT vec_id, cluster_id, exp(-(d - min(d) OVER (PARTITION BY vec_id)) / 0.5) AS e FROM near), p AS (SELECT vec_id, cluster_id, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS probability FROM e) SELECT * FROM p WHERE probability >= 0.01")
+def softmax_membership(spark, sf_dir):
+    return C.memberships(T.embeddings(spark, sf_dir), _centroids(spark, sf_dir))
+
+
+@query(f"{_NEAR}, r AS (SELECT count(*) AS n, sum(d * d) AS rss FROM asg JOIN near USING (vec_id, cluster_id)) SELECT round(n * ln((rss + 1e-10) / n) + (8 * 64 + 7) * ln(n), 4) AS bic FROM r")
+def bic_score(spark, sf_dir):
+    v, c, a = _asg(spark, sf_dir)
+    return C.residual(v, c, a).select(F.round(C.bic(F.col("n"), F.col("rss"), 8, 64), 4).alias("bic"))
+
+
+@query(f"{T.with_sql('vecs')}, cl AS (SELECT vec_id AS cluster_id, v AS a FROM vecs WHERE vec_id < 6), co AS (SELECT vec_id, v AS b FROM vecs WHERE vec_id >= 6 AND vec_id < 60), s AS (SELECT cluster_id, vec_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS confidence FROM cl, co), k AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence DESC, vec_id) AS r FROM s WHERE confidence >= 0.25) SELECT CAST(cl.cluster_id AS INTEGER) AS cluster_id, 'c' || CAST(k.vec_id AS VARCHAR) AS concept_id, confidence, CASE WHEN k.vec_id IS NULL THEN 'Summary of ' || CAST(cl.cluster_id AS VARCHAR) END AS suggested_label FROM cl LEFT JOIN k ON k.cluster_id = cl.cluster_id AND k.r = 1")
+def cluster_concept_match(spark, sf_dir):
+    v = T.embeddings(spark, sf_dir)
+    cl = v.where("vec_id < 6").select(F.col("vec_id").cast("int").alias("cluster_id"), F.col("v").alias("centroid"), F.concat(F.lit("Summary of "), "vec_id", F.lit(". More")).alias("summary"))
+    co = v.where("vec_id >= 6 and vec_id < 60").select(F.concat(F.lit("c"), "vec_id").alias("concept_id"), F.col("vec_id").alias("ordinal"), "v")
+    return C.concept_match(cl, co, 0.25)
+
+
+# ---- text ----------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@query(f"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS word, generate_subscripts(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), 1) AS at FROM documents), f AS (SELECT * FROM w WHERE length(word) >= 4 AND word NOT IN ({_STOP}) AND NOT regexp_full_match(word, '[0-9]+')), c AS (SELECT doc_id, word, count(*) AS n, min(at) AS at FROM f GROUP BY doc_id, word), s AS (SELECT *, round(n * (CASE WHEN CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY doc_id) > 0.1 THEN 0.5 ELSE 1.0 END) * least(length(word) / 8.0, 1.5), 6) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, at) AS rank FROM s) SELECT doc_id, CAST(rank AS INTEGER) AS rank, word AS keyword, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 5")
+def content_keywords(spark, sf_dir):
+    return X.keywords(T.read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_TAG = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+
+
+@query(f"SELECT p_partkey, {_TAG.format('p_name')} AS tag FROM part")
+def normalise_tags(spark, sf_dir):
+    return T.read(spark, sf_dir, "part").select("p_partkey", X.normal_tag(F.col("p_name")).alias("tag"))
+
+
+@query(f"WITH p AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(regexp_replace(p_name || ' (x) the 2024 ' || p_type, '\\([^)]*\\)', ' ', 'g')), '\\s+'), lambda w: length(w) >= 3 AND NOT list_contains([{_STOP}], w) AND NOT regexp_full_match(w, '[0-9]+')) AS w FROM part), u AS (SELECT p_partkey, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM p), t AS (SELECT p_partkey, {_TAG.format('x')} AS t, min(i) AS i FROM u GROUP BY 1, 2 HAVING length({_TAG.format('x')}) >= 3 OR true), k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS r FROM t WHERE length(t) >= 3) SELECT p_partkey, string_agg(t, ',' ORDER BY i) AS tags FROM k WHERE r <= 3 GROUP BY p_partkey")
+def filename_tags(spark, sf_dir):
+    p = T.read(spark, sf_dir, "part")
+    return p.select("p_partkey", F.array_join(X.filename_tags(F.concat("p_name", F.lit(" (x) the 2024_"), "p_type", F.lit(".PDF"))), ",").alias("tags"))
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id, source || ',' || lang AS tags FROM docs")
+def path_tags(spark, sf_dir):
+    return T.documents(spark, sf_dir).select("doc_id", F.array_join(X.path_tags(F.concat(F.lit("/Users/12/.git/Downloads"), "path")), ",").alias("tags"))
+
+
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w = upper(w) AND length(w) <= 4 THEN w WHEN length(w) <= 2 THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), 'string_agg', ' ') AS title FROM part")
+def clean_title(spark, sf_dir):
+    p = T.read(spark, sf_dir, "part")
+    return p.select("p_partkey", X.clean_title(F.concat(F.replace("p_name", F.lit(" "), F.lit("_-")), F.lit(" (2nd edition).pdf"))).alias("title"))
+
+
+@query("SELECT doc_id, 'Smith' AS author FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 1")
+def filename_author(spark, sf_dir):
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.lit(" - Smith.pdf"))).otherwise(F.concat("source", F.lit(".pdf")))
+    return T.read(spark, sf_dir, "documents").select("doc_id", X.author(name).alias("author"))
+
+
+@query("WITH d AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 500)) AS i FROM documents) SELECT doc_id, CAST(i // 500 AS INTEGER) AS idx, md5(trim(substring(text, i + 1, 500), ' ')) AS piece FROM d WHERE length(text) > 0")
+def hard_split_chunks(spark, sf_dir):
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.hard_split(F.col("text"), 500)).alias("idx", "p")).select("doc_id", "idx", F.md5(F.encode("p", "UTF-8")).alias("piece"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[^.!?]+[.!?]+["'')\\]]*\\s*|[^.!?]+$')) AS n_sentences FROM documents""")
+def sentence_split(spark, sf_dir):
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(text || '  ' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || 'end ', chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM documents")
+def plain_text_normalise(spark, sf_dir):
+    t = F.concat(F.lit("﻿\x00"), "text", F.lit("  \r\n\n\n\nend "))
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(X.plain(t), "UTF-8")).alias("text_md5"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE NOT regexp_matches(text, '[A-Za-z]-\\n[A-Za-z]')")
+def dehyphenate(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[A-Za-z]-\n[A-Za-z]"))
+    broken = F.regexp_replace("text", "([A-Za-z])([A-Za-z])", "$1-\n$2")
+    return d.select("doc_id", F.md5(F.encode(X.dehyphenate(X.dehyphenate(broken)), "UTF-8")).alias("text_md5"))
+
+
+# pages of a document: its lines in threes, with a running head and a page number
+_PAGES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE source = 'src1'),
+p AS (SELECT doc_id, i // 3 AS page, string_agg(line, chr(10) ORDER BY i) AS body FROM l GROUP BY doc_id, i // 3)"""
+
+
+def _pages(spark, sf_dir):
+    l = T.read(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    p = l.groupBy("doc_id", F.floor(F.col("i") / 3).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), "\n").alias("body"))
+    return p.select("doc_id", "page", F.concat(F.lit("Quarterly  Report\n"), "body", F.lit("\nPage "), "page", F.lit(" of 9")).alias("text"))
+
+
+@query(f"{_PAGES}, n AS (SELECT doc_id, count(*) AS n_pages FROM p GROUP BY doc_id) SELECT doc_id, 'quarterly report' AS line, n_pages FROM n WHERE n_pages >= 2")
+def repeated_edge_lines(spark, sf_dir):
+    return X.repeated_edge_lines(_pages(spark, sf_dir)).where("line = 'quarterly report'")
+
+
+@query(f"{_PAGES} SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(page AS VARCHAR) AS number FROM p")
+def page_number_lines(spark, sf_dir):
+    e = X.edge_lines(_pages(spark, sf_dir)).where(X.is_page_number(F.col("line")) & (F.col("down") == 1))
+    return e.select("doc_id", "page", F.regexp_extract("line", r"^page (\d+) of", 1).alias("number"))
+
+
+@query("SELECT doc_id, doc_id % 5 = 0 AS binary FROM documents")
+def binary_text_flag(spark, sf_dir):
+    return T.read(spark, sf_dir, "documents").select("doc_id", X.looks_binary(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("\x00"), "text")).otherwise(F.col("text"))).alias("binary"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(^|\\n)(#{1,6}\\s|[-*+]\\s|\\d+\\.\\s|```|\\|[^\\n]+\\|)|\\[[^\\n]+\\]\\([^\\n]+\\)') AS markdown FROM documents")
+def markdown_sniff(spark, sf_dir):
+    return T.read(spark, sf_dir, "documents").select("doc_id", X.looks_like_markdown(F.col("text")).alias("markdown"))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'markdown' WHEN 1 THEN 'docx' WHEN 2 THEN 'odt' WHEN 3 THEN 'odt' WHEN 4 THEN 'txt' ELSE 'pdf' END AS file_type FROM documents")
+def file_type_from_path(spark, sf_dir):
+    ext = F.element_at(X.words_in((".md", ".DOCX", ".odt", ".fodt", ".txt", ".bin")), (F.col("doc_id") % 6 + 1).cast("int"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", P.file_type(F.concat("source", ext)).alias("file_type"))
+
+
+@query(f"{T.with_sql('docs')} SELECT doc_id, substring(sha256(path), 1, 12) AS id FROM docs")
+def document_id_hash(spark, sf_dir):
+    return T.documents(spark, sf_dir).select("doc_id", P.document_id(F.col("path")).alias("id"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM documents")
+def source_fingerprint(spark, sf_dir):
+    return T.documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"), "size_bytes")
+
+
+@query("SELECT p_partkey, CAST(p_size * 1024 + 512 AS BIGINT) AS bytes, CAST(p_size * 1000 AS BIGINT) AS ms FROM part")
+def size_parse(spark, sf_dir):
+    p = T.read(spark, sf_dir, "part")
+    return p.select("p_partkey", P.size_bytes(F.concat(F.col("p_size").cast("string"), F.lit(".5 KB"))).alias("bytes"), P.duration_ms(F.concat(F.col("p_size").cast("string"), F.lit("s"))).alias("ms"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size + 3 <= 50 THEN CAST(p_size AS VARCHAR) || ',' || CAST(p_size + 1 AS VARCHAR) || ',' || CAST(p_size + 2 AS VARCHAR) || ',' || CAST(p_size + 3 AS VARCHAR) END AS pages FROM part")
+def page_selector(spark, sf_dir):
+    s = F.col("p_size")
+    sel = F.concat((s + 3).cast("string"), F.lit("-"), s.cast("string"), F.lit(", "), (s + 1).cast("string"))
+    return T.read(spark, sf_dir, "part").select("p_partkey", F.array_join(P.pages_of(sel, F.lit(50)), ",").alias("pages"))
+
+
+@query("SELECT c_custkey, c_custkey % 256 IN (0, 10, 127) OR c_custkey % 256 >= 224 OR (c_custkey % 256 = 172 AND c_custkey % 64 BETWEEN 16 AND 31) OR (c_custkey % 256 = 100 AND c_custkey % 64 >= 64) AS private FROM customer")
+def private_address(spark, sf_dir):
+    k = F.col("c_custkey")
+    ip = F.concat_ws(".", (k % 256).cast("string"), (k % 64).cast("string"), (k % 7).cast("string"), F.lit("9"))
+    return T.read(spark, sf_dir, "customer").select("c_custkey", P.is_private_ipv4(ip).alias("private"))
+
+
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'txt' WHEN 3 THEN 'odt' ELSE 'markdown' END AS file_type FROM documents")
+def download_type(spark, sf_dir):
+    pick = lambda *v: F.element_at(X.words_in(v), (F.col("doc_id") % 5 + 1).cast("int"))
+    u = pick("http://h/x", "http://h/a.MD?x=1", "http://h/n.txt", "http://h/d.fodt", "http://h/y")
+    m = pick("application/pdf", "text/plain", "application/octet-stream", "text/xml", "text/plain; charset=utf-8")
+    return T.read(spark, sf_dir, "documents").select("doc_id", P.download_type(u, m, F.lit("# Title\ntext")).alias("file_type"))
+
+
+@query("SELECT doc_id, doc_id % 4 <> 0 AS safe FROM documents")
+def safe_document_id(spark, sf_dir):
+    i = F.when(F.col("doc_id") % 4 == 0, F.element_at(X.words_in(("a/b", "con.txt", "x.", "a:b")), (F.col("doc_id") % 4 + 1 + (F.col("doc_id") / 4).cast("int") % 4).cast("int"))).otherwise(F.concat("source", F.lit("-"), "doc_id"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", P.safe_id(i).alias("safe"))
+
+
+@query("SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS n FROM documents")
+def llm_json_repair(spark, sf_dir):
+    raw = F.concat(F.lit("Here:\n```json\n{lang: '"), "lang", F.lit("', 'tags': ['a','b',], n: "), "doc_id", F.lit(",}\n```"))
+    j = F.from_json(X.json_repair(raw), "lang string, tags array<string>, n long")
+    return T.read(spark, sf_dir, "documents").select("doc_id", j["lang"].alias("lang"), j["n"].cast("string").alias("n"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 4 = 0 AS valid FROM nation")
+def proposed_concept_validation(spark, sf_dir):
+    c = F.element_at(X.words_in(("programming/type-systems", "cooking/pasta", "design/a-b-c-d-e", "meta/New")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return T.read(spark, sf_dir, "nation").select("n_nationkey", X.valid_concept(c, F.col("n_name")).alias("valid"))
+
+
+@query("SELECT doc_id, md5('Document: ' || substring(text, 1, 60) || chr(10) || 'Section: S ' || lang || chr(10) || 'Page: 2' || chr(10) || '# S ' || lang || chr(10) || text) AS text_md5 FROM documents")
+def embedding_text(spark, sf_dir):
+    body = F.concat(F.lit("# S "), "lang", F.lit("\n"), "text")
+    t = X.embedding_text(F.col("title"), X.heading_of(body), F.lit(2), body)
+    return T.documents(spark, sf_dir).select("doc_id", F.md5(F.encode(t, "UTF-8")).alias("text_md5"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g'), ' ') || '...' AS summary FROM documents")
+def heuristic_summary(spark, sf_dir):
+    return T.read(spark, sf_dir, "documents").select("doc_id", X.summary_of(F.col("text")).alias("summary"))
+
+
+@query("SELECT doc_id, lang || ',' || source AS tags FROM documents")
+def merge_tags(spark, sf_dir):
+    t = X.merge_tags(10, F.array("lang", "source"), F.array("source", F.lit("x")), F.array("lang"))
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.array_join(t, ",").alias("tags"))
+
+
+@query("SELECT doc_id, 2 AS n, lang AS first FROM documents")
+def stdin_queries(spark, sf_dir):
+    q = X.stdin_queries(F.concat(F.lit("# note\n\n  "), "lang", F.lit(" \n#x\n"), "source", F.lit("\n")))
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.size(q).alias("n"), q[0].alias("first"))
+
+
+@query("SELECT conv_id, turn, to_json({'ok': true, 'command': role, 'result': {'turn': turn}}) AS line FROM conversations")
+def result_envelope(spark, sf_dir):
+    from .service import envelope_column
+
+    return T.read(spark, sf_dir, "conversations").select("conv_id", "turn", envelope_column(F.col("role"), F.struct("turn")).alias("line"))
+
+
+# ---- event counts: an extension, batch form of the streaming job ----------------------------------------------------
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_hourly(spark, sf_dir):
+    e = T.read(spark, sf_dir, "events")
+    return e.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def chunk_texts(spark, sf_dir):
+    """The chunker over whole documents: (doc_id, chunk_index, content)."""
+    from .operators.chunking import chunked
+
+    return chunked(T.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 2000, 200)
