@@ -497,7 +497,7 @@ def concept_update(spark, sf_dir):
 # ---- clustering ----------------------------------------------------------------------------------------------------
 
 _CENT = "cent AS (SELECT CAST(vec_id AS INTEGER) AS cluster_id, v AS c FROM vecs WHERE vec_id < 8)"
-_NEAR = f"{T.with_sql('vecs')}, {_CENT}, near AS (SELECT a.vec_id, cluster_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - c[i]) * (a.v[i] - c[i])))) AS d FROM vecs a, cent), asg AS (SELECT vec_id, cluster_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cluster_id) AS k FROM near) WHERE k = 1)"
+_NEAR = f"{T.with_sql('vecs')}, {_CENT}, near AS (SELECT a.vec_id, cluster_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - c[i]) * (a.v[i] - c[i])))) AS d FROM vecs a, cent), asg AS (SELECT vec_id, cluster_id, round(round(d, 9), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), cluster_id) AS k FROM near) WHERE k = 1)"
 
 
 def _centroids(spark, sf_dir):
@@ -550,7 +550,7 @@ def cluster_concept_match(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 
 
-@query(f"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS word, generate_subscripts(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), 1) AS at FROM documents), f AS (SELECT * FROM w WHERE length(word) >= 4 AND word NOT IN ({_STOP}) AND NOT regexp_full_match(word, '[0-9]+')), c AS (SELECT doc_id, word, count(*) AS n, min(at) AS at FROM f GROUP BY doc_id, word), s AS (SELECT *, round(n * (CASE WHEN CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY doc_id) > 0.1 THEN 0.5 ELSE 1.0 END) * least(length(word) / 8.0, 1.5), 6) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, at) AS rank FROM s) SELECT doc_id, CAST(rank AS INTEGER) AS rank, word AS keyword, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 5")
+@query(f"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS word, generate_subscripts(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), 1) AS pos FROM documents), f AS (SELECT * FROM w WHERE length(word) >= 4 AND word NOT IN ({_STOP}) AND NOT regexp_full_match(word, '[0-9]+')), c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM f GROUP BY doc_id, word), s AS (SELECT *, round(n * (CASE WHEN CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY doc_id) > 0.1 THEN 0.5 ELSE 1.0 END) * least(length(word) / 8.0, 1.5), 6) AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM s) SELECT doc_id, CAST(rank AS INTEGER) AS rank, word AS keyword, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 5")
 def content_keywords(spark, sf_dir):
     return X.keywords(T.read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -670,7 +670,7 @@ def page_selector(spark, sf_dir):
     return T.read(spark, sf_dir, "part").select("p_partkey", F.array_join(P.pages_of(sel, F.lit(50)), ",").alias("pages"))
 
 
-@query("SELECT c_custkey, c_custkey % 256 IN (0, 10, 127) OR c_custkey % 256 >= 224 OR (c_custkey % 256 = 172 AND c_custkey % 64 BETWEEN 16 AND 31) OR (c_custkey % 256 = 100 AND c_custkey % 64 >= 64) AS private FROM customer")
+@query("SELECT c_custkey, c_custkey % 256 IN (0, 10, 127) OR c_custkey % 256 >= 224 OR (c_custkey % 256 = 172 AND c_custkey % 64 BETWEEN 16 AND 31) OR (c_custkey % 256 = 192 AND c_custkey % 64 = 0 AND c_custkey % 7 IN (0, 2)) AS private FROM customer")
 def private_address(spark, sf_dir):
     k = F.col("c_custkey")
     ip = F.concat_ws(".", (k % 256).cast("string"), (k % 64).cast("string"), (k % 7).cast("string"), F.lit("9"))
