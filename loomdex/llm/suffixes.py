@@ -141,8 +141,9 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         j = 0
                         while j < n:  # places g - j of one range of STEP
                             r = (g - j) // STEP
-                            j1 = min(n, g - r * STEP + 1)
-                            core = data[a + j1 - 1 : a + j + WINDOW].tobytes()
+                            last = g - r * STEP  # the range ends here, whether or not the run goes so far
+                            j1 = min(n, last + 1)
+                            core = data[a + last : a + last - STEP + 1 + WINDOW].tobytes()
                             key = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=(x["key"] % 2**64).to_bytes(8, "little") + bytes([r & 255])).digest(), "little", signed=True)
                             out.append((key, x["cnt"], doc, th, x["s"] + j, j1 - j, g - j, data[a + j : a + j1 + WINDOW - 1].tobytes()))
                             held += j1 - j + WINDOW
