@@ -16,12 +16,13 @@ that is if they share at least ceil(3 (|A| + |B|) / 7) shingles.
    each shingle of their prefix of |A| - ceil(3|A|/4) + 1 into an inverted list;
    a heavy set that links with any set meets it in such a list. The boundary has
    the least cost by the counts of sizes: subsets enumerated against lists read.
-4. A list of up to ``SHORT_LIST`` classes gives all its pairs that fit in size.
-   A longer one first gives pairs with its least class only; after those are
+4. A list first gives the pairs with its least class only. After those are
    verified and components found, it gives the pairs between classes of
    different components. No link between components is lost, and a group of
    near copies costs pairs in proportion to its size.
-5. Pairs are verified on whole sets of 64-bit shingles.
+5. A pair goes no further if the parities of its shingles in 2048 bins, then in
+   32768, differ in more bins than two sets that link can differ in shingles: a proof, not an
+   estimate. What is left is verified on whole sets of 64-bit shingles.
 
 Null and empty texts have size 0 and are linked with nothing. Documents of
 equal text, repeated rows included, are in one component. Extra columns are
@@ -41,7 +42,8 @@ from .graph import components
 
 K = 5
 ZONE, FREQUENT, FREQUENT_FROM = 0.4, 300_000, 48
-SHORT_LIST, MOST_BOUNDARY = 32, 40
+MOST_BOUNDARY = 40
+BINS, WIDE = 2048, 32768
 
 
 class Sets:
@@ -75,14 +77,26 @@ class Sets:
         self.cls = tk.mix(self.h1 + tk.mix(self.h2 + self.size.astype(np.uint64))).astype(np.int64)
 
 
+    def parities(self, bins: int) -> list[bytes]:
+        """Of each row, in so many bins by hash: whether an odd number of its shingles is there."""
+        out: list[bytes] = []
+        where, step = (self.hash % np.uint64(bins)).astype(np.int64), max(1, (1 << 21) // bins)
+        for a in range(0, len(self.size), step):
+            b = min(a + step, len(self.size))
+            part = slice(self.first[a], self.first[b])
+            odd = np.bincount((self.row[part] - a) * bins + where[part], minlength=(b - a) * bins) & 1
+            out.extend(map(bytes, np.packbits(odd.astype(np.uint8).reshape(b - a, bins), axis=1)))
+        return out
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, c (class), h1, h2 of each row."""
+    """doc_id, n, c (class), h1, h2, bits (parities) of each row."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64))], ["doc_id", "n", "c", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(BINS), pa.binary())], ["doc_id", "n", "c", "h1", "h2", "bits"])
 
-    return tk.per_batch(docs.select("text", "doc_id"), run, "doc_id long, n long, c long, h1 long, h2 long")
+    return tk.per_batch(docs.select("text", "doc_id"), run, "doc_id long, n long, c long, h1 long, h2 long, bits binary")
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -173,8 +187,29 @@ def keys(docs: DataFrame, heavy_last: np.ndarray, light: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, c long, n int, idx boolean")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, reps: DataFrame, bins: int) -> DataFrame:
+    """The pairs (a, b) of classes whose parities allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, bins // 64) for i in (2, 3))
+                differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                # |A or B| - |A and B| <= (|A| + |B|) / 7 for sets that link
+                keep = 7 * differ <= batch.column(4).to_numpy() + batch.column(5).to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+
+    x = pairs.join(reps.select(F.col("c").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("c").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n")), "b")
+    return x.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link."""
+    left = tk.stored(possible(pairs, reps, BINS).distinct(), "possible")
+    members = reps.join(left.select(F.col("a").alias("c")).union(left.select("b")).distinct(), "c").select("c", F.col("rep").alias("doc_id"))
+    texts = docs.join(members, "doc_id").select("text", "c")
+    sets = tk.stored(shingle_sets(texts).dropDuplicates(["c"]), "sets")
+    close = tk.stored(possible(left, sets, WIDE), "possible")
 
     def run(batches):
         for batch in batches:
@@ -188,18 +223,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 m = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(m), batch.column(1).filter(m)], ["a", "b"])
 
-    x = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
-    return x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x = close.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+    found = tk.stored(x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
+    tk.discard(left, close, sets)
+    return found
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, set) of each row."""
+    """(c, n, bits, set) of each row (text, c) whose text is of the class c: rows that share a doc_id need not be."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.hash.astype(np.int64)))], ["doc_id", "set"])
+        out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(s.size), pa.array(s.parities(WIDE), pa.binary()), pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.hash.astype(np.int64)))], ["c", "n", "bits", "set"])
+        return out.filter(pa.array(s.cls == batch.column(1).to_numpy()))
 
-    return tk.per_batch(docs.select("text", "doc_id"), run, "doc_id long, set array<long>")
+    return tk.per_batch(docs.select("text", "c"), run, "c long, n long, bits binary, set array<long>")
 
 
 def fits(a: str, b: str) -> str:
@@ -211,7 +249,7 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     told = tk.stored(described(docs), "told")
-    reps = tk.stored(told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(F.min("doc_id").alias("rep")), "reps")
+    reps = tk.stored(told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "reps")
     late = frequent(docs)
     hist = {int(r.n): int(r.k) for r in reps.where(f"n <= {2 * MOST_BOUNDARY}").groupBy("n").agg(F.count("*").alias("k")).collect()}
     light = boundary(hist, 2.0)
@@ -219,30 +257,23 @@ def joined(docs: DataFrame) -> DataFrame:
     w = W.partitionBy("key")
     lists = k.withColumn("len", F.count("*").over(w)).withColumn("least", F.min(F.struct("n", "c", "idx")).over(w)).where("len > 1")
     lists = tk.stored(lists, "lists")
-    short = lists.where(f"len <= {SHORT_LIST}").groupBy("key").agg(F.collect_list(F.struct("n", "c", "idx")).alias("m"))
-    pairs = short.select(F.explode("m").alias("p"), "m").select("p", F.explode(F.expr(f"filter(m, q -> {fits('p', 'q')})")).alias("q")).select(F.col("p.c").alias("a"), F.col("q.c").alias("b"))
-    long = lists.where(f"len > {SHORT_LIST}").select("key", "c", "n", "idx", "least")
-    star = long.where("least.c <> c and (4 * least.n >= 3 * n)").select(F.col("least.c").alias("a"), F.col("c").alias("b"))
-    pairs = tk.stored(pairs.union(star).distinct(), "pairs")
-    touched = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(long.select("c")).distinct()
-    members = reps.join(touched, "c").select("c", F.col("rep").alias("doc_id"))
-    texts = docs.join(members, "doc_id").select("text", F.col("c").alias("doc_id"))
-    sets = tk.stored(shingle_sets(texts).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "c"), "sets")
-    links = tk.stored(verified(pairs, sets), "links")
+    star = lists.where("least.c <> c and (4 * least.n >= 3 * n)").select(F.col("least.c").alias("a"), F.col("c").alias("b"))
+    pairs = tk.stored(star.distinct(), "pairs")
+    links = verified(docs, reps, pairs)
     comp = components(links)
-    # lists too long to pair up: whatever is still in different components
-    owned = long.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    # whatever is still in different components
+    owned = lists.select("key", "c", "n", "idx").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     mixed = owned.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     split = tk.stored(owned.join(mixed, "key").select("key", "c", "n", "idx", "component"), "split")
     rest = split.alias("x").join(split.alias("y"), F.expr("x.key = y.key and x.component <> y.component and " + fits("x", "y"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    more = tk.stored(verified(rest.join(pairs, ["a", "b"], "left_anti"), sets), "links")
+    more = verified(docs, reps, rest.join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         comp = components(links.union(more))
     # components name classes; a component's least doc_id is its name
     by_class = reps.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = by_class.join(least, "component").select("n", "h1", "h2", "component_id")
-    out = told.join(named, ["n", "h1", "h2"], "left")
+    out = told.drop("bits").join(named, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

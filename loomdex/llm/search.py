@@ -7,9 +7,11 @@ N, n and avgdl are those of the whole corpus. A shard is a partition of the
 documents. It is indexed a segment at a time: documents of a segment are ordered
 by their most frequent term, so that those of a language come together, and cut
 into blocks of ``BLOCK`` documents with inverted lists and the greatest impact
-of each term. The bound of a query for a block is the sum of its terms'
-greatest impacts; the block is scored only if that reaches the query's k-th
-score so far. Each shard gives its k best for each query, and those of all
+of each term. The bound of a query for a document is its exact score by the
+corpus's most frequent terms, which one matrix product gives for all queries
+and documents of the block, and the sum of its other terms' greatest impacts in
+the block; the lists of those are read only if some document's bound reaches
+the query's k-th score so far. Each shard gives its k best for each query, and those of all
 shards are merged.
 
 Scores are rounded to 6 places; ties go to the least doc_id, also at the k-th
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 K1, B, TOP = 1.2, 0.75, 10
-BLOCK, SEGMENT = 128, 12 << 20
+BLOCK, SEGMENT = 512, 8 << 20
+#: Terms in at least this share of all documents are scored densely, the first so many by frequency.
+DENSE_FROM, DENSE = 0.05, 256
 QUERIES, TERMS = 4096, 4_000_000
 #: All ASCII bytes but letters and digits stand between terms.
 BETWEEN = np.ones(256, bool)
@@ -58,10 +62,24 @@ class Queries:
         full = np.unique(q)
         self.ids = np.array(ids, np.int64)[full]
         self.first = np.append(np.searchsorted(q, full), len(q))
-        self.weight = self.qtf
+        self.weigh(np.ones(len(self.vocab)))
 
-    def weigh(self, idf: np.ndarray) -> None:
+    def weigh(self, idf: np.ndarray, share: np.ndarray | None = None) -> None:
+        """Weights by idf; terms whose share of documents is large go to a dense matrix (queries by terms)."""
         self.weight = self.qtf * idf[self.term]
+        share = np.zeros(len(self.vocab)) if share is None else share
+        self.dense = np.sort(np.argsort(-share, kind="stable")[:DENSE])
+        self.dense = self.dense[share[self.dense] >= DENSE_FROM]
+        column = np.full(len(self.vocab), -1, np.int64)
+        column[self.dense] = np.arange(len(self.dense))
+        self.column = column
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        mine = column[self.term] >= 0
+        self.matrix = np.zeros((len(self.ids), len(self.dense)))
+        self.matrix[row[mine], column[self.term[mine]]] = self.weight[mine]
+        # what is left is sparse
+        self.weight, self.term = self.weight[~mine], self.term[~mine]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(row[~mine], minlength=len(self.ids)))))
 
 
 def postings(col: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +134,8 @@ class Best:
 
 def search_segment(col: pa.Array, ids: np.ndarray, q: Queries, mean: float, best: Best) -> tuple[int, int]:
     """Indexes the rows block by block and searches them; counts (query, block) pairs scored and all."""
-    row, term, tf, length = postings(col, q.vocab)
+    parts = [(a, postings(col.slice(a, b - a), q.vocab)) for a, b in tk.slices(tk.string_buffer(col)[1], 2 << 20)]
+    row, term, tf, length = (np.concatenate([x[k] + a if k == 0 else x[k] for a, x in parts] or [np.zeros(0, np.int64)]) for k in range(4))
     rows = len(length)
     if not len(row) or not len(q.ids):
         return 0, 0
@@ -135,41 +154,55 @@ def search_segment(col: pa.Array, ids: np.ndarray, q: Queries, mean: float, best
     edge = np.searchsorted(pos // BLOCK, np.arange(-(-rows // BLOCK) + 1))
     slot = np.full(len(q.vocab), -1, np.int64)
     peak = np.zeros(len(q.vocab))
+    some = np.diff(q.first) > 0
     scored = seen = 0
     for b, (x, y) in enumerate(zip(edge, edge[1:])):
         if x == y:
             continue
         t, i, p = term[x:y], impact[x:y], pos[x:y] - b * BLOCK
-        start = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
-        own = t[start]
-        size = np.diff(np.append(start, len(t)))
-        peak[own] = np.maximum.reduceat(i, start)
-        slot[own] = np.arange(len(own))
-        bound = np.add.reduceat(q.weight * peak[q.term], q.first[:-1])
-        alive = np.flatnonzero((bound > 0) & (bound + 2e-6 >= best.score[:, -1]))
+        width = min(BLOCK, rows - b * BLOCK)
+        often = q.column[t] >= 0
+        table = np.zeros((len(q.dense), width))
+        table[q.column[t[often]], p[often]] = i[often]
+        exact = q.matrix @ table
+        t, i, p = t[~often], i[~often], p[~often]
+        bound = np.zeros(len(q.ids))
+        if len(t):
+            start = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
+            own = t[start]
+            size = np.diff(np.append(start, len(t)))
+            peak[own] = np.maximum.reduceat(i, start)
+            slot[own] = np.arange(len(own))
+            if some.any():
+                bound[some] = np.add.reduceat(q.weight * peak[q.term], q.first[:-1][some])
+        least = best.score[:, -1] - 2e-6
+        alive = np.flatnonzero(exact.max(1) + bound >= np.maximum(least, 1e-9))
         seen += len(bound)
-        for k in alive[np.argsort(-bound[alive])].tolist():
-            a, z = q.first[k], q.first[k + 1]
-            s = slot[q.term[a:z]]
-            has = s >= 0
-            s, w = s[has], q.weight[a:z][has]
-            n = size[s]
-            at = np.repeat(start[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            score = np.bincount(p[at], i[at] * np.repeat(w, n))
+        for k in alive.tolist():
+            score = exact[k]
+            if bound[k]:
+                a, z = q.first[k], q.first[k + 1]
+                s = slot[q.term[a:z]]
+                has = s >= 0
+                s, w = s[has], q.weight[a:z][has]
+                n = size[s]
+                at = np.repeat(start[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                score = score + np.bincount(p[at], i[at] * np.repeat(w, n), width)
             score = np.round(score, 6)
             good = np.flatnonzero((score > 0) & (score >= best.score[k, -1]))
             if len(good):
                 best.offer(k, score[good], doc[b * BLOCK + good])
         scored += len(alive)
-        peak[own] = 0
-        slot[own] = -1
+        if len(t):
+            peak[own] = 0
+            slot[own] = -1
     return scored, seen
 
 
 def search_block(docs: DataFrame, q: Queries, k: int = TOP) -> DataFrame:
     """(query_id, doc_id, score): the k best of each query."""
     n, mean, df = statistics(docs, q.vocab)
-    q.weigh(np.log(1 + (n - df + 0.5) / (df + 0.5)))
+    q.weigh(np.log(1 + (n - df + 0.5) / (df + 0.5)), df / max(1, n))
     shared = docs.sparkSession.sparkContext.broadcast(q)
 
     def run(batches):

@@ -81,7 +81,7 @@ def test_search_is_exact(spark, docs, cases, none):
 def test_search_prunes_blocks():
     import pyarrow as pa
 
-    texts = ["alpha beta " * 5] * 10 + ["gamma delta"] * 1000 + ["alpha rare"] * 10
+    texts = ["alpha beta " * 5] * 10 + ["gamma delta"] * 3000 + ["alpha rare"] * 10
     q = search.Queries([1], ["alpha"])
     q.weigh(np.ones(len(q.vocab)))
     best = search.Best(1, 5)
