@@ -451,9 +451,9 @@ def concept_tree_paths(spark, sf_dir):
     return G.tree_paths(T.hierarchy(spark, sf_dir), T.concepts(spark, sf_dir))
 
 
-@query(f"{T.with_sql('concepts')} SELECT id FROM concepts WHERE contains(low, 'an') OR contains(definition, 'an')")
+@query(f"{T.with_sql('concepts')} SELECT id FROM concepts WHERE contains(low, 'gion') OR contains(definition, 'gion')")
 def concept_text_search(spark, sf_dir):
-    return G.search_text(T.concepts(spark, sf_dir), "AN").select("id")
+    return G.search_text(T.concepts(spark, sf_dir), "GION").select("id")
 
 
 @query(f"{T.with_sql('concepts')} SELECT id FROM concepts ORDER BY low, id")
