@@ -16,8 +16,9 @@ that is if they share at least ceil(3 (|A| + |B|) / 7) shingles.
    each shingle of their prefix of |A| - ceil(3|A|/4) + 1 into an inverted list;
    a heavy set that links with any set meets it in such a list. The boundary has
    the least cost by the counts of sizes: subsets enumerated against lists read.
-4. A list first gives the pairs with its least class only. After those are
-   verified and components found, it gives the pairs between classes of
+4. Of lists with the same classes one is kept. A list first gives the pairs with its least class only. After those are
+   verified and components found, it gives pairs of neighbours by size that are
+   in different components, and after those all pairs between classes of
    different components. No link between components is lost, and a group of
    near copies costs pairs in proportion to its size.
 5. A pair goes no further if the parities of its shingles in 2048 bins, then in
@@ -41,8 +42,9 @@ from . import textkit as tk
 from .graph import components
 
 K = 5
-ZONE, FREQUENT, FREQUENT_FROM = 0.4, 300_000, 48
+ZONE, FREQUENT, FREQUENT_FROM = 0.4, 1_000_000, 5
 MOST_BOUNDARY = 40
+NEIGHBOURS = (1, 2, 3)
 BINS, WIDE = 2048, 32768
 
 
@@ -256,17 +258,33 @@ def joined(docs: DataFrame) -> DataFrame:
     k = keys(docs, late, light).repartition("key").groupBy("key", "c", "n").agg(F.max("idx").alias("idx"))
     w = W.partitionBy("key")
     lists = k.withColumn("len", F.count("*").over(w)).withColumn("least", F.min(F.struct("n", "c", "idx")).over(w)).where("len > 1")
-    lists = tk.stored(lists, "lists")
+    # lists of the same classes give the same pairs: one of them is enough
+    lists = tk.stored(lists.withColumn("same", F.bit_xor(F.xxhash64("c", "idx")).over(w)), "lists")
+    heads = lists.groupBy("same", "len").agg(F.min("key").alias("key")).select("key")
+    lists = tk.stored(lists.join(heads, "key"), "lists")
     star = lists.where("least.c <> c and (4 * least.n >= 3 * n)").select(F.col("least.c").alias("a"), F.col("c").alias("b"))
     pairs = tk.stored(star.distinct(), "pairs")
-    links = verified(docs, reps, pairs)
+    done, links = pairs, verified(docs, reps, pairs)
     comp = components(links)
-    # whatever is still in different components
-    owned = lists.select("key", "c", "n", "idx").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    mixed = owned.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    split = tk.stored(owned.join(mixed, "key").select("key", "c", "n", "idx", "component"), "split")
+
+    def mixed():
+        """Lists with more than one component left, a row for each class."""
+        owned = lists.select("key", "c", "n", "idx").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+        several = owned.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return owned.join(several, "key").select("key", "c", "n", "idx", "component")
+
+    # neighbours by size in a list, if of different components: few pairs, which join nearly all of a group of near copies
+    w = W.partitionBy("key").orderBy("n", "c")
+    near = [F.lag(F.struct("n", "c", "idx", "component"), k).over(w).alias(f"p{k}") for k in NEIGHBOURS]
+    beside = mixed().select("c", "n", "component", F.array(*near).alias("p")).select("c", "n", "component", F.explode("p").alias("p"))
+    beside = beside.where("p.c is not null and p.component <> component and p.idx and 4 * p.n >= 3 * n").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
+    pairs = tk.stored(beside.join(done, ["a", "b"], "left_anti"), "pairs")
+    done, links = done.union(pairs), links.union(verified(docs, reps, pairs))
+    comp = components(links)
+    # all pairs that are still in different components
+    split = tk.stored(mixed(), "split")
     rest = split.alias("x").join(split.alias("y"), F.expr("x.key = y.key and x.component <> y.component and " + fits("x", "y"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    more = verified(docs, reps, rest.join(pairs, ["a", "b"], "left_anti"))
+    more = verified(docs, reps, rest.join(done, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         comp = components(links.union(more))
     # components name classes; a component's least doc_id is its name
