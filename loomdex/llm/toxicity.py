@@ -13,7 +13,7 @@ then fitted to the posterior labels of at most ``FIT_ROWS`` training rows (the
 least by hash of doc_id), and scores every whole text.
 
 Statistics over words cover all training rows, mask counts all documents.
-What the driver gets is bounded: ``ENTRIES`` entries, 2**VOTERS masks, FIT_ROWS
+What the driver gets is bounded: ``CANDIDATES`` entries, 2**VOTERS masks, FIT_ROWS
 rows. Null and empty texts score as texts in which nothing fires. Without
 training labels of both kinds every score is the share of label 1 (0 if there
 is none). Labels that are null are unlabelled; of several labels of a doc_id
@@ -23,6 +23,7 @@ the largest holds. Extra columns are ignored; repeated rows score alike.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 
 ENTRIES, VOTERS, FIT_ROWS, PREFIX = 400, 10, 20_000, 6
+#: Entries that are weighed, the first by support in toxic rows; entries a task holds before it gives them on.
+CANDIDATES, HELD = 20_000, 400_000
 CUT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"!{2,}")
@@ -43,31 +46,43 @@ def entries_of(text: str) -> set[str]:
     return {"=" + w for w in words} | {"~" + w.lower() for w in words} | {"^" + w[:PREFIX] for w in words if len(w) > PREFIX}
 
 
+def counted(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+    """(entry, n): rows (text) that have each entry, or each of ``among``. A task adds up what it reads before the shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(among) if among is not None else None
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                got = entries_of(t or "")
+                seen.update(got if shared is None else got & shared.value)
+            if len(seen) > HELD:
+                yield out(seen)
+                seen.clear()
+        if seen:
+            yield out(seen)
+
+    def out(seen):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["entry", "n"])
+
+    return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+
+
 def mined(train: DataFrame, entries: int = ENTRIES) -> list[tuple[str, float]]:
-    """The entries with the highest support in toxic rows among those at least 4 times as likely there, with log odds."""
-
-    def count(batch):
-        seen: dict[str, list[int]] = {}
-        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for e in entries_of(t or ""):
-                x = seen.get(e)
-                if x is None:
-                    seen[e] = [y, 1]
-                else:
-                    x[0] += y
-                    x[1] += 1
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["entry", "pos", "n"])
+    """The entries with the highest support in toxic rows among those at least 4 times as likely there, with log odds.
 
+    Toxic rows give the candidates, at most ``CANDIDATES`` by how many have them; all training rows count those."""
     total = train.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = int(total.p or 0), int(total.n or 0)
     if not 0 < p < n:
         return []
-    counts = tk.per_batch(train.select("text", "y"), count, "entry string, pos long, n long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    odds = F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("n") - F.col("pos") + 0.5) / (n - p + 1.0))
-    least = max(2, p // 400)
-    best = counts.where(F.col("pos") >= least).withColumn("odds", odds).where(F.col("odds") > float(np.log(4)))
-    rows = best.orderBy((F.col("pos") * F.col("odds")).desc(), "entry").limit(entries).collect()
-    return [(r.entry, float(r.odds)) for r in rows]
+    pos = counted(train.where("y = 1")).where(F.col("n") >= max(2, p // 400)).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()
+    if not pos:
+        return []
+    all_ = {r.entry: r.n for r in counted(train, frozenset(r.entry for r in pos)).collect()}
+    odds = {r.entry: float(np.log((r.n + 0.5) / (p + 1.0)) - np.log((all_[r.entry] - r.n + 0.5) / (n - p + 1.0))) for r in pos}
+    good = sorted((r for r in pos if odds[r.entry] > np.log(4)), key=lambda r: (-r.n * odds[r.entry], r.entry))
+    return [(r.entry, odds[r.entry]) for r in good[:entries]]
 
 
 def voters_of(lexicon: list[tuple[str, float]]) -> list[int]:
