@@ -210,7 +210,8 @@ def fit_linear(hits: list[list[int]], y: np.ndarray, entries: int, odds: np.ndar
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; labels (doc_id, toxic) of held-out rows are not read."""
     known = labels.where(F.col("toxic").isNotNull() & ~tk.held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic")).cast("int").alias("y"))
-    train = docs.where("text is not null").join(known, "doc_id")
+    # the one join that moves texts; its result is read three times
+    train = tk.stored(docs.where("text is not null").join(known.hint("merge"), "doc_id").select("text", "y"), "train")
     lexicon = mined(train)
     feats = tk.stored(matched(docs, lexicon), "tox")
     marked = feats.join(known, "doc_id", "left")
