@@ -5,9 +5,13 @@ text (head, nav, footer, aside, forms, scripts, styles, elements named as
 adverts, menus, notices or comments) is dropped. The first pass decides each
 remaining block by stop-word density, length, link density and whether an
 article element or a heading holds it: good, bad, or undecided if it is short.
-In the second pass an undecided block takes the label that its nearest decided
-neighbours agree on, and that of the nearer one if they differ (the earlier
-one on a tie). Blocks are in page order; no block is cut or capped.
+An article is evidence, not a switch: inside it a lower density is enough and a
+low one leaves a block undecided; outside it blocks are judged as on a page
+without one. In the second pass an undecided block takes the label that its
+nearest decided neighbours agree on, and that of the nearer one if they differ
+(the earlier one on a tie). Neighbours are those on the same side of an
+article's edge; the edge stands for a far neighbour, good to the blocks inside
+and bad to those outside. Blocks are in page order; no block is cut or capped.
 
 Null, empty and tag-only pages give an empty text. Unclosed and stray tags are
 tolerated: a block-level tag ends a block whatever is open, and an element that
@@ -156,34 +160,33 @@ GOOD, BAD, UNDECIDED = 1, 0, -1
 
 def classify(items: list[tuple[str, int, bool, bool]]) -> list[bool]:
     """First pass by each block's own figures, second pass by its neighbours."""
-    marked = any(a for _, _, a, _ in items)
     first: list[int] = []
     for s, linked, inside, heading in items:
         words = s.split()
         stop = sum(w.strip(".,;:!?\"'()").lower() in STOP for w in words) / max(1, len(words))
         if linked > LINKS * len(s):
             first.append(BAD)
-        elif marked:
-            first.append(GOOD if inside else BAD)
         elif len(s) < SHORT:
             first.append(UNDECIDED)
-        elif stop >= STOP_HIGH or len(s) >= LONG and stop >= STOP_LOW:
+        elif stop >= STOP_HIGH or (inside or len(s) >= LONG) and stop >= STOP_LOW:
             first.append(GOOD)
-        elif stop >= STOP_LOW or heading:
+        elif inside or stop >= STOP_LOW or heading:
             first.append(UNDECIDED)
         else:
             first.append(BAD)
-    before: list[tuple[int, int]] = []
-    last = (BAD, 1 << 60)
-    for x in first:
-        last = (x, 0) if x != UNDECIDED else (last[0], last[1] + 1)
-        before.append(last)
-    after: list[tuple[int, int]] = []
-    last = (BAD, 1 << 60)
-    for x in reversed(first):
-        last = (x, 0) if x != UNDECIDED else (last[0], last[1] + 1)
-        after.append(last)
-    after.reverse()
+
+    def nearest(order) -> list[tuple[int, int]]:
+        """(label, distance) of the last decided block of the same side, in that order."""
+        got, last, side = [(BAD, 0)] * len(items), (BAD, 0), None
+        for i in order:
+            if items[i][2] != side:
+                side = items[i][2]
+                last = (GOOD if side else BAD, 1 << 60)
+            last = (first[i], 0) if first[i] != UNDECIDED else (last[0], last[1] + 1)
+            got[i] = last
+        return got
+
+    before, after = nearest(range(len(items))), nearest(reversed(range(len(items))))
     out = []
     for i, x in enumerate(first):
         if x != UNDECIDED:

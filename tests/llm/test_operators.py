@@ -132,6 +132,17 @@ def test_html_without_structure():
     assert html.main_text(page).split("\n") == ["Title here", long.strip(), "Short one.", long.strip()]
 
 
+def test_html_article_is_one_piece_of_evidence():
+    long = "The house is on the hill and it was in the valley of the river that they had to go to for the water. " * 4
+    junk = "Zq9 xk-77 vvbn qqrt 0x1f zzkw plmn wrtz ggh7 kkj2 " * 5
+    # main text beside a teaser article: judged by density and length, short blocks by their neighbours
+    page = f"<body><p>{junk}</p><div><p>{long}</p><p>Short one.</p><p>{long}</p></div><article><p>A teaser.</p></article><p>Posted today</p></body>"
+    assert html.main_text(page).split("\n") == [long.strip(), "Short one.", long.strip(), "A teaser."]
+    # inside, a block without stop words goes with its neighbours
+    page = f"<article><div><a href=1>Tags</a></div><p>{junk}</p><div><a href=2>More</a></div><p>{long}</p><p>{junk}</p></article>"
+    assert html.main_text(page).split("\n") == [long.strip(), junk.strip()]
+
+
 def test_html_pages(spark, sf_dir):
     got = html.op3_html_extraction(spark, sf_dir).toPandas()
     assert len(got) == len(pd.read_parquet(f"{sf_dir}/pages.parquet")) and (got.text.str.len() == got.n_chars).all()
