@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters: each is a lexicon of words (exact, folded to small letters, or by their
-first six letters) found from labelled training rows by their log odds, cut
-into ``VOTERS`` lexicons by strength and kind, and two patterns (runs of
+first six letters) found from labelled training rows by their log odds and a
+fixed test of significance (all that pass, however many), cut into ``VOTERS`` lexicons by strength and kind, and two patterns (runs of
 exclamation marks, words in capitals). A text is the bit mask of the voters that
 fire on it. A generative label model explains how often each mask occurs over
 all documents: given the hidden label each voter fires with its own rate
@@ -13,8 +13,8 @@ then fitted to the posterior labels of at most ``FIT_ROWS`` training rows (the
 least by hash of doc_id), and scores every whole text.
 
 Statistics over words cover all training rows, mask counts all documents.
-What the driver gets is bounded: ``CANDIDATES`` entries, 2**VOTERS masks, FIT_ROWS
-rows. Null and empty texts score as texts in which nothing fires. Without
+The driver gets the entries that pass, at most ``BITS`` hashes of those counted,
+2**VOTERS masks and FIT_ROWS rows. Null and empty texts score as texts in which nothing fires. Without
 training labels of both kinds every score is the share of label 1 (0 if there
 is none). Labels that are null are unlabelled; of several labels of a doc_id
 the largest holds. Extra columns are ignored; repeated rows score alike.
@@ -23,6 +23,7 @@ the largest holds. Extra columns are ignored; repeated rows score alike.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-ENTRIES, VOTERS, FIT_ROWS, PREFIX = 400, 10, 20_000, 6
-#: Entries that are weighed, the first by support in toxic rows; entries a task holds before it gives them on.
-CANDIDATES, HELD = 20_000, 400_000
+VOTERS, FIT_ROWS, PREFIX = 10, 20_000, 6
+#: An entry is kept if it is at least so many times as likely in toxic rows, at a log-likelihood ratio (chi-squared of one degree, 0.1 %) of at least that.
+ODDS, SIGNIFICANT = 4, 10.83
+#: Bits of the map of entries that could pass; entries a task holds before it gives them on.
+BITS, HELD = 1 << 24, 400_000
 CUT = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"!{2,}")
@@ -46,16 +49,15 @@ def entries_of(text: str) -> set[str]:
     return {"=" + w for w in words} | {"~" + w.lower() for w in words} | {"^" + w[:PREFIX] for w in words if len(w) > PREFIX}
 
 
-def counted(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
-    """(entry, n): rows (text) that have each entry, or each of ``among``. A task adds up what it reads before the shuffle."""
+def counted(rows: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """(entry, n): rows (text) that have each entry, or each whose bit is in the map ``among``. A task adds up what it reads before the shuffle."""
     shared = rows.sparkSession.sparkContext.broadcast(among) if among is not None else None
 
     def run(batches):
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                got = entries_of(t or "")
-                seen.update(got if shared is None else got & shared.value)
+                seen.update(entries_of(t or ""))
             if len(seen) > HELD:
                 yield out(seen)
                 seen.clear()
@@ -63,26 +65,49 @@ def counted(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
             yield out(seen)
 
     def out(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["entry", "n"])
+        got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["entry", "n"])
+        if shared is None:
+            return got
+        at = np.fromiter((zlib.crc32(e.encode()) for e in seen), np.int64, len(seen)) % BITS
+        return got.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
 
     return rows.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def mined(train: DataFrame, entries: int = ENTRIES) -> list[tuple[str, float]]:
-    """The entries with the highest support in toxic rows among those at least 4 times as likely there, with log odds.
+def evidence(k, rest, p: int, n: int) -> tuple[F.Column, F.Column]:
+    """Log odds and log-likelihood ratio of an entry in ``k`` of ``p`` toxic rows and ``rest`` of the others of ``n``."""
 
-    Toxic rows give the candidates, at most ``CANDIDATES`` by how many have them; all training rows count those."""
+    def part(a, share):
+        return F.when(a > 0, a * F.log(a / ((k + rest) * share))).otherwise(0.0)
+
+    def left(a, share):
+        return F.when(a > 0, a * F.log(a / ((F.lit(n) - k - rest) * share))).otherwise(0.0)
+
+    odds = F.log((k + 0.5) / (p + 1.0)) - F.log((rest + 0.5) / (n - p + 1.0))
+    return odds, 2 * (part(k, p / n) + part(rest, (n - p) / n) + left(F.lit(p) - k, p / n) + left(F.lit(n - p) - rest, (n - p) / n))
+
+
+def mined(train: DataFrame) -> list[tuple[str, float]]:
+    """All entries at least ``ODDS`` times as likely in toxic rows at the level of ``SIGNIFICANT``, with log odds.
+
+    Counts meet by entry. Of the other rows only entries that could pass are shuffled: a bit map leaves out most others,
+    the join the rest."""
     total = train.agg(F.sum("y").alias("p"), F.count("*").alias("n")).first()
     p, n = int(total.p or 0), int(total.n or 0)
     if not 0 < p < n:
         return []
-    pos = counted(train.where("y = 1")).where(F.col("n") >= max(2, p // 400)).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()
-    if not pos:
-        return []
-    all_ = {r.entry: r.n for r in counted(train, frozenset(r.entry for r in pos)).collect()}
-    odds = {r.entry: float(np.log((r.n + 0.5) / (p + 1.0)) - np.log((all_[r.entry] - r.n + 0.5) / (n - p + 1.0))) for r in pos}
-    good = sorted((r for r in pos if odds[r.entry] > np.log(4)), key=lambda r: (-r.n * odds[r.entry], r.entry))
-    return [(r.entry, odds[r.entry]) for r in good[:entries]]
+    # an entry of no other row has the most evidence that so many toxic rows can give
+    could = evidence(F.col("n"), F.lit(0), p, n)
+    pos = tk.stored(counted(train.where("y = 1")).where((could[0] > float(np.log(ODDS))) & (could[1] >= SIGNIFICANT)), "toxic")
+    at = pos.select((F.crc32(F.encode("entry", "UTF-8")) % BITS).cast("int").alias("at")).distinct().toArrow().column("at").to_numpy()
+    bits = np.zeros(BITS, bool)
+    bits[at] = True
+    others = counted(train.where("y <> 1"), np.packbits(bits, bitorder="little")).withColumnRenamed("n", "rest")
+    odds, ratio = evidence(F.col("n"), F.col("rest"), p, n)
+    both = pos.join(others, "entry", "left").fillna(0, ["rest"]).withColumn("odds", odds).withColumn("ratio", ratio)
+    good = both.where((F.col("odds") > float(np.log(ODDS))) & (F.col("ratio") >= SIGNIFICANT)).select("entry", "n", "odds").collect()
+    tk.discard(pos)
+    return [(r.entry, r.odds) for r in sorted(good, key=lambda r: (-r.n * r.odds, r.entry))]
 
 
 def voters_of(lexicon: list[tuple[str, float]]) -> list[int]:
@@ -185,28 +210,66 @@ def label_model(masks: np.ndarray, n: np.ndarray, pos: np.ndarray, neg: np.ndarr
 
 
 def fit_linear(hits: list[list[int]], y: np.ndarray, entries: int, odds: np.ndarray, l2: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps, drawn towards the entries' scaled log odds."""
-    x = np.zeros((len(hits), entries + 1))
-    x[:, -1] = 1
-    for i, h in enumerate(hits):
-        x[i, h] = 1
-    start = np.append(0.5 * odds, 0.0)
-    w = start.copy()
-    w[-1] = np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)) if len(y) else 0.0
+    """Logistic regression on soft labels by Newton steps, drawn towards the entries' scaled log odds.
+
+    The steps are solved by conjugate gradients over the hits alone, so that memory grows with them and not with rows x entries."""
+    row = np.repeat(np.arange(len(hits)), np.fromiter(map(len, hits), np.int64, len(hits)))
+    col = np.fromiter((i for h in hits for i in h), np.int64, len(row))
+
+    def times(v):
+        return np.bincount(row, v[col], len(hits)) + v[-1]
+
+    def back(r):
+        return np.append(np.bincount(col, r[row], entries), r.sum())
+
+    def loss(w):
+        z = times(w)
+        return float((np.logaddexp(0, z) - y * z).sum() + (reg * (w - start) ** 2).sum() / 2)
+
+    w = np.append(0.5 * odds, np.log((y.mean() + 1e-4) / (1 - y.mean() + 1e-4)) if len(y) else 0.0)
+    start = w.copy()
     reg = np.full(entries + 1, l2)
     reg[-1] = 1e-6
-    start[-1] = w[-1]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + reg * (w - start)
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(reg)
-        step = np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        curve = p * (1 - p) + 1e-6
+        diag = back(curve) + reg
+        step, r = np.zeros(entries + 1), back(p - y) + reg * (w - start)
+        small = 1e-16 * float(r @ (r / diag))
+        d, rz = r / diag, float(r @ (r / diag))
+        for _ in range(10 * (entries + 1)):
+            if rz <= small:
+                break
+            hd = back(curve * times(d)) + reg * d
+            a = rz / float(d @ hd)
+            step += a * d
+            r = r - a * hd
+            z = r / diag
+            new = float(r @ z)
+            d, rz = z + new / rz * d, new
+        at = loss(w)
+        while np.abs(step).max() >= 1e-5 and loss(w - step) > at:  # a step too far
+            step /= 2
         w -= step
         if np.abs(step).max() < 1e-5:
             break
     return w[:-1], float(w[-1])
 
 
+def weighed(feats: DataFrame, weights: np.ndarray, base: float) -> DataFrame:
+    """doc_id, score of every row: the logistic function of the sum of its entries' weights."""
+    shared = feats.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        for batch in batches:
+            hits = batch.column(1)
+            row = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy())
+            z = base + np.bincount(row, shared.value[hits.flatten().to_numpy()], len(hits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)), pa.float64())], ["doc_id", "score"])
+
+    return feats.select("doc_id", "hits").mapInArrow(run, "doc_id long, score double")
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``; labels (doc_id, toxic) of held-out rows are not read."""
     known = labels.where(F.col("toxic").isNotNull() & ~tk.held_out("doc_id")).groupBy("doc_id").agg(F.max(F.col("toxic")).cast("int").alias("y"))
@@ -226,10 +289,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         share = pos.sum() / max(1, pos.sum() + neg.sum())
         w, b = np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    weights = F.array(*[F.lit(float(x)) for x in w]) if len(w) else F.array().cast("array<double>")
-    z = F.aggregate(F.transform("hits", lambda i: F.element_at(weights, i + 1)), F.lit(b), lambda a, v: a + v)
-    score = 1 / (1 + F.exp(-z))
-    return feats.select("doc_id", tk.held_out("doc_id").alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return weighed(feats, w, b).select("doc_id", tk.held_out("doc_id").alias("held_out"), "score").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,41 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(none.select("doc_id", "text"), few).count() == 0
 
 
+def test_toxic_lexicon_is_whole(spark):
+    rng = random.Random(3)
+    letters = "abcdefghij"
+    word = lambda a, i: a + "".join(letters[int(c)] for c in f"{i:03d}")
+    rows = [(" ".join(word("bad", (r + k * 7) % 600) for k in range(6)) + " " + word("of", rng.randrange(50)), 1) for r in range(600)]
+    rows += [(" ".join(word("of", rng.randrange(50)) for _ in range(6)) + " " + word("new", r), 0) for r in range(3000)]
+    train = spark.createDataFrame(rows, "text string, y int").repartition(3).cache()
+    pos, every = collections.Counter(), collections.Counter()
+    for t, y in rows:
+        every.update(toxicity.entries_of(t))
+        pos.update(toxicity.entries_of(t) if y else ())
+    p, n, want = 600, len(rows), {}
+    for e, k in pos.items():
+        m = every[e]
+        cells = ((k, m * p / n), (m - k, m * (n - p) / n), (p - k, (n - m) * p / n), (n - p - m + k, (n - m) * (n - p) / n))
+        odds = np.log((k + 0.5) / (p + 1)) - np.log((m - k + 0.5) / (n - p + 1))
+        if odds > np.log(4) and 2 * sum(a * np.log(a / b) for a, b in cells if a) >= 10.83:
+            want[e] = odds
+    assert len(want) >= 1200  # two spellings of 600 words in 6 rows each
+    got = toxicity.mined(train)
+    assert {e for e, _ in got} == set(want) and all(abs(o - want[e]) < 1e-9 for e, o in got)
+
+
+def test_linear_fit_is_the_optimum():
+    rng = np.random.default_rng(1)
+    hits = [sorted(rng.choice(30, rng.integers(0, 6), replace=False).tolist()) for _ in range(400)]
+    y, odds = rng.random(400), rng.random(30) * 3
+    w, b = toxicity.fit_linear(hits, y, 30, odds)
+    x = np.zeros((400, 30))
+    for i, h in enumerate(hits):
+        x[i, h] = 1
+    gap = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert np.abs(x.T @ gap + w - 0.5 * odds).max() < 1e-4 and abs(gap.sum()) < 1e-3
+
+
 def test_label_model_learns_rates():
     rng = np.random.default_rng(0)
     y = rng.random(20000) < 0.1
