@@ -112,10 +112,13 @@ def centred(protos: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     return names, np.vstack([m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9), mean[None]]).astype(np.float32)
 
 
-def predict_text(texts: list[str | None], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
-    """Language and score of each text; matrix: centred prototypes, then what was taken off them."""
+def predict_text(texts: list[str | None], names: list[str], matrix: np.ndarray, unit: np.ndarray) -> tuple[list[str], list[float], list[float], list[int]]:
+    """Language, score, cosine with that language's prototype as it is, and number of trigrams of each text.
+
+    matrix: centred prototypes, then what was taken off them; unit: prototypes of length 1. The centred cosines of a text
+    cannot all be negative, so only the other cosine tells whether any of the languages fits."""
     grams = [trigrams(t) if t else (np.zeros(0, np.int64), None) for t in texts]
-    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    lang, score, near, size = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0] * len(texts)
     full = [i for i, (codes, _) in enumerate(grams) if len(codes)] if names else []
     for a in range(0, len(full), 128):
         part = full[a : a + 128]
@@ -126,25 +129,28 @@ def predict_text(texts: list[str | None], names: list[str], matrix: np.ndarray)
             d = grams[i][1].astype(np.float32) @ v[where[at : at + n]]
             at += n
             d /= max(np.linalg.norm(d), 1e-9)
+            whole = d.copy()
             d -= matrix[-1]
             cos = matrix[:-1] @ d / max(float(np.linalg.norm(d)), 1e-9)
             k = int(np.argmax(cos))
             lang[i], score[i] = names[k], float(min(1.0, max(0.0, cos[k])))
-    return lang, score
+            near[i], size[i] = float(unit[k] @ whole), int(grams[i][1].sum())
+    return lang, score, near, size
 
 
 def identify(docs: DataFrame, protos: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, the kept columns, lang_pred and score of every row."""
+    """key, the kept columns, lang_pred, score, near__ and grams__ (see ``predict_text``) of every row."""
     names, matrix = centred(protos)
+    unit = np.array([v / max(np.linalg.norm(v), 1e-9) for v in protos.values()], np.float32).reshape(len(names), DIMS)
 
     def run(batch):
-        lang, score = predict_text(batch.column(0).to_pylist(), names, matrix)
+        lang, score, near, size = predict_text(batch.column(0).to_pylist(), names, matrix, unit)
         rest = [batch.column(i) for i in range(1, batch.num_columns)]
-        return pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.float64()), pa.array(size, pa.int64())], [*batch.schema.names[1:], "lang_pred", "score", "near__", "grams__"])
 
     src = docs.select(F.col(text).alias("text__"), F.col(key), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return tk.per_batch(src, run, f"{fields}, lang_pred string, score double", text="text__")
+    return tk.per_batch(src, run, f"{fields}, lang_pred string, score double, near__ double, grams__ long", text="text__")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +159,37 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, protos).select("doc_id", tk.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-#: At or below this cosine with the nearest prototype a text is in no learned language.
-REJECT_BELOW = 0.0
+#: Share of a language's own training texts below the cut, of one band of length (in trigrams); a band of fewer texts than
+#: ``ENOUGH`` takes the cut of all languages' texts of that length, and none if those are too few as well.
+REJECT, BANDS, ENOUGH = 0.001, (64, 256, 1024), 100
+
+
+def cuts(found: DataFrame, names: list[str]) -> DataFrame:
+    """(lang_pred, band, cut): the least cosine with its prototype that a text of the language and length may have.
+
+    Learned from training texts (rows of ``identify`` with lang) that get their own label."""
+    own = found.where((F.col("lang") == F.col("lang_pred")) & (F.col("grams__") > 0)).withColumn("band", band())
+    low = [F.percentile_approx("near__", REJECT, 100_000).alias("cut"), F.count("*").alias("n")]
+    every = {r.band: r.cut for r in own.groupBy("band").agg(*low).collect() if r.n >= ENOUGH}
+    each = {(r.lang_pred, r.band): r.cut for r in own.groupBy("lang_pred", "band").agg(*low).collect() if r.n >= ENOUGH}
+    rows = [(name, b, float(each.get((name, b), every.get(b, -1.0)))) for name in names for b in range(len(BANDS) + 1)]
+    return found.sparkSession.createDataFrame(rows, "lang_pred string, band int, cut double")
+
+
+def band() -> F.Column:
+    return sum(((F.col("grams__") >= b).cast("int") for b in BANDS), F.lit(0))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose text is in a learned language; learns from the rows of ``docs`` with a lang."""
-    protos = prototypes(tk.only(docs, doc_id="bigint", text="string", lang="string").where(~tk.held_out("doc_id")))
+    """Keeps the documents whose text is in a learned language; learns from the rows of ``docs`` with a lang.
+
+    A text goes if it has no letter or is further from the prototype of its language than all but ``REJECT`` of that
+    language's training texts of like length. Texts of a few letters tell little, so their cut is low."""
+    train = tk.only(docs, doc_id="bigint", text="string", lang="string").where(~tk.held_out("doc_id"))
+    protos = prototypes(train)
+    # figures only: texts are scored again below, which costs less memory and disk than to store them
+    told = tk.stored(identify(train, protos, keep=("lang",)).select("lang", "lang_pred", "near__", "grams__"), "told")
     found = identify(docs, protos, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where(f"lang_pred <> 'und' and score > {REJECT_BELOW}").select(*docs.columns)
+    kept = found.where("lang_pred <> 'und'").withColumn("band", band()).join(F.broadcast(cuts(told, list(protos))), ["lang_pred", "band"])
+    tk.discard(told)
+    return kept.where("near__ >= cut - 1e-6").select(*docs.columns)

@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
 
 import corpus_pipeline
-from loomdex.llm import bpe, mixing
+from loomdex.llm import bpe, jaccard, language, mixing, suffixes
 from loomdex.llm import textkit as tk
 
 from .test_operators import brute_components, brute_cut
@@ -50,3 +51,20 @@ def test_edges(spark, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             d = tk.stored(stage(spark, d, sf_dir), name)
     assert d.count() == 0
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(100))
+    strange = [
+        "Это предложение написано по русски и не должно быть принято. " * 5,
+        "Tämä on suomenkielinen teksti, jota kukaan ei ole opettanut tälle mallille, ja siksi sen pitäisi hylätä. " * 3,
+        "def run(batch): return pa.array([main_text(x) for x in batch.column(2).to_pylist()], pa.string()) if x else None " * 4,
+        noise,
+    ]
+    extra = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(strange)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language.stage(spark, docs.union(extra), "").select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**9]
+    known = {r.doc_id for r in docs.where("text rlike '[a-z]'").select("doc_id").collect()}
+    assert len(known & kept) >= 0.99 * len(known)
