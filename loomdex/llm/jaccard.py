@@ -300,6 +300,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each component; documents without words stay."""
-    found = joined(tk.only(docs, doc_id="bigint", text="string")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps one document of each component, that with the least doc_id; documents without words stay.
+
+    Rows are told apart by doc_id and text, so different texts that share a doc_id or have none are documents of their
+    own; rows equal in both are one. A row without a doc_id stays if its component has no row with one."""
+    row = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = docs.select(row.alias("row__"), F.col("doc_id").cast("bigint").alias("id__"), F.col("text").cast("string").alias("text"))
+    found = joined(rows.select(F.col("row__").alias("doc_id"), "text")).select(F.col("doc_id").alias("row__"), "component_id").distinct()
+    first = F.min(F.struct(F.col("id__").isNull().alias("none"), "id__", "row__")).alias("first")
+    kept = found.join(rows.select("row__", "id__").distinct(), "row__").groupBy("component_id").agg(first).select("first.row__")
+    return docs.withColumn("row__", row).join(kept, "row__").dropDuplicates(["row__"]).select(*docs.columns)

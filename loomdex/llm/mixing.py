@@ -166,7 +166,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     used = mix(tk.only(docs, doc_id="bigint", text="string", source="string")).where("taken > 0")
     used = used.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "begin", F.transform("uses", lambda u: u.block).alias("b__"), F.transform("uses", lambda u: u.times).alias("t__"))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    src = docs.join(used, (F.col("doc_id") == F.col("id__")) & (F.xxhash64("text") == F.col("th__"))).select(F.col("text").alias("text__"), "begin", "b__", "t__", *rest)
+    src = docs.join(used, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("th__"))).select(F.col("text").alias("text__"), "begin", "b__", "t__", *rest)
 
     def run(batch):
         data, offsets = tk.string_buffer(batch.column(0))

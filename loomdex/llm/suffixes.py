@@ -99,6 +99,10 @@ def runs_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return gram[place], ctx, start, length, place - start
 
 
+#: Rows are told apart by doc_id, which may be null, and text hash.
+SAME_ROW = "doc_id <=> id__ and th = th__"
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """(key, ctx, doc_id, th, s, n, g) of all runs; th tells rows of one doc_id apart."""
 
@@ -123,7 +127,9 @@ def runs(docs: DataFrame) -> DataFrame:
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted contexts, (key, cnt, doc_id, th, s, n, g, bytes); hot ones cut finer."""
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "cnt", "s", "n", "g", "hot")).alias("w"))
-    src = docs.select("text", "doc_id", F.xxhash64("text").alias("th")).dropDuplicates(["doc_id", "th"]).join(lists, ["doc_id", "th"]).select("text", "doc_id", "th", "w")
+    src = docs.select("text", "doc_id", F.xxhash64("text").alias("th")).dropDuplicates(["doc_id", "th"])
+    lists = lists.select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "w")
+    src = src.join(lists, F.expr(SAME_ROW)).select("text", "doc_id", "th", "w")
 
     def run(batches):
         for batch in batches:
@@ -289,7 +295,8 @@ def spans(docs: DataFrame) -> DataFrame:
 def cut_docs(docs: DataFrame, keep: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
     """Every row without its repeated bytes: figures and hash of what is left, or (not ``digest``) the bytes themselves as ``kept``."""
     plain = docs.select(F.col("text").alias("text__"), "doc_id", *keep, F.xxhash64("text").alias("th"))
-    src = plain.join(spans(docs.select("doc_id", "text")), ["doc_id", "th"], "left").select("text__", "cut", "doc_id", *keep)
+    gone = spans(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "cut")
+    src = plain.join(gone, F.expr(SAME_ROW), "left").select("text__", "cut", "doc_id", *keep)
 
     def run(batch):
         data, offsets = tk.string_buffer(batch.column(0))

@@ -68,3 +68,16 @@ def test_language_rejects_what_was_not_learned(spark):
     assert not [i for i in kept if i >= 10**9]
     known = {r.doc_id for r in docs.where("text rlike '[a-z]'").select("doc_id").collect()}
     assert len(known & kept) >= 0.99 * len(known)
+
+
+def test_rows_without_or_with_shared_doc_ids(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(n))
+    a, b, c, passage = text(60), text(60), text(60), text(90)
+    rows = [(None, a), (None, b), (None, b), (1, b), (2, c), (2, text(50)), (2, c), (5, c), (None, ""), (None, text(40) + " " + passage + text(40)), (None, text(40) + " " + passage + text(40))]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3).cache()
+    got = sorted(((r.doc_id, r.text) for r in jaccard.stage(spark, docs, "").collect()), key=str)
+    assert got == sorted({rows[i] for i in (0, 3, 4, 5, 8, 9, 10)}, key=str)
+    cut = [r for r in suffixes.stage(spark, docs, "").collect()]
+    assert len(cut) == len(rows) and not [r for r in cut if passage in r.text]
+    assert {r.text for r in mixing.stage(spark, docs.where("doc_id is null").limit(1), "").collect()}
