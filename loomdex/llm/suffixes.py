@@ -292,8 +292,16 @@ def spans(docs: DataFrame) -> DataFrame:
     return tk.stored(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("cut")), "cut")
 
 
+def whole_characters(text: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Marks of bytes to remove, extended to all bytes of the UTF-8 characters they are in."""
+    first = (text & 0xC0) != 0x80
+    first[:1] = True
+    start = np.flatnonzero(first)
+    return np.repeat(np.logical_or.reduceat(out, start), np.diff(np.append(start, len(text))))
+
+
 def cut_docs(docs: DataFrame, keep: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
-    """Every row without its repeated bytes: figures and hash of what is left, or (not ``digest``) the bytes themselves as ``kept``."""
+    """Every row without its repeated bytes: figures and hash of what is left, or (not ``digest``) the whole characters that are left as ``kept``."""
     plain = docs.select(F.col("text").alias("text__"), "doc_id", *keep, F.xxhash64("text").alias("th"))
     gone = spans(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "cut")
     src = plain.join(gone, F.expr(SAME_ROW), "left").select("text__", "cut", "doc_id", *keep)
@@ -315,7 +323,7 @@ def cut_docs(docs: DataFrame, keep: tuple[str, ...] = (), digest: bool = True) -
             out = np.cumsum(edge[:-1]) > 0
             gone.append(int(out.sum()))
             count.append(int(out[0]) + int((out[1:] & ~out[:-1]).sum()))
-            rest.append(text[~out].tobytes())
+            rest.append(text[~(out if digest else whole_characters(text, out))].tobytes())
         kept = pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string()) if digest else pa.array(rest, pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), kept], [*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
 
@@ -331,8 +339,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its repeated bytes gone; a character cut in two goes with them."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = cut_docs(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), keep=rest, digest=False)
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("kept").cast("string")))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.regexp_replace("text", "�", "")).otherwise(F.col("text")))
+    out = out.withColumn("text", F.col("kept").cast("string"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

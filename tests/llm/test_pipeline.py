@@ -81,3 +81,13 @@ def test_rows_without_or_with_shared_doc_ids(spark):
     cut = [r for r in suffixes.stage(spark, docs, "").collect()]
     assert len(cut) == len(rows) and not [r for r in cut if passage in r.text]
     assert {r.text for r in mixing.stage(spark, docs.where("doc_id is null").limit(1), "").collect()}
+
+
+def test_suffix_stage_keeps_replacement_characters(spark):
+    shared = "é" + "x" * 20 + "ü" * 250
+    rows = [(1, "\ufffd one \ufffd " + "日" + shared + "語 end"), (2, "two \ufffd" + "月" + shared + "誠 fin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffixes.stage(spark, docs, "").collect()}
+    # 日, 月 differ in the last byte of three; 語, 誠 share two bytes: characters that a cut splits go, others stay
+    assert got[1].startswith("\ufffd one \ufffd ") and got[2].startswith("two \ufffd")
+    assert "x" not in got[1] + got[2] and got[1].endswith(" end") and got[2].endswith(" fin")
