@@ -120,6 +120,12 @@ def fts_phrase_bm25(spark, sf_dir):
     return _fts(spark, sf_dir).orderBy("bm25_rank", "doc_id").limit(30).select("doc_id", "bm25_rank")
 
 
+@query()
+def fts_phrase_all(spark, sf_dir):
+    """The phrase over every document: corpus figures of the whole table, no cut."""
+    return R.fts_phrase(T.documents(spark, sf_dir).select("doc_id", "text"), "text", PHRASE).select("doc_id", "bm25_rank")
+
+
 @query(f"WITH {_FTS} SELECT h.doc_id, h.bm25_rank FROM hits h JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3', 'src4') ORDER BY bm25_rank, doc_id LIMIT 10")
 def fts_phrase_tags(spark, sf_dir):
     return L.by_tag(_fts(spark, sf_dir), "src1", "src2", "src3", "src4").orderBy("bm25_rank", "doc_id").limit(10).select("doc_id", "bm25_rank")
@@ -609,13 +615,19 @@ def dehyphenate(spark, sf_dir):
     return d.select("doc_id", F.md5(F.encode(X.dehyphenate(X.dehyphenate(broken)), "UTF-8")).alias("text_md5"))
 
 
+@query()
+def dehyphenate_all(spark, sf_dir):
+    """Every document with its own line breaks inside words closed."""
+    return T.read(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(X.dehyphenate(F.col("text")), "UTF-8")).alias("text_md5"))
+
+
 # pages of a document: its lines in threes, with a running head and a page number
 _PAGES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE source = 'src1'),
 p AS (SELECT doc_id, i // 3 AS page, string_agg(line, chr(10) ORDER BY i) AS body FROM l GROUP BY doc_id, i // 3)"""
 
 
-def _pages(spark, sf_dir):
-    l = T.read(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+def _pages(spark, sf_dir, where: str = "source = 'src1'"):
+    l = T.read(spark, sf_dir, "documents").where(where).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     p = l.groupBy("doc_id", F.floor(F.col("i") / 3).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), "\n").alias("body"))
     return p.select("doc_id", "page", F.concat(F.lit("Quarterly  Report\n"), "body", F.lit("\nPage "), "page", F.lit(" of 9")).alias("text"))
 
@@ -625,6 +637,19 @@ def repeated_edge_lines(spark, sf_dir):
     return X.repeated_edge_lines(_pages(spark, sf_dir)).where("line = 'quarterly report'")
 
 
+@query()
+def repeated_edge_lines_all(spark, sf_dir):
+    """Every repeated edge line of every source."""
+    return X.repeated_edge_lines(_pages(spark, sf_dir, "true"))
+
+
+@query()
+def page_number_lines_all(spark, sf_dir):
+    """Page numbers of every source."""
+    e = X.edge_lines(_pages(spark, sf_dir, "true")).where(X.is_page_number(F.col("line")) & (F.col("down") == 1))
+    return e.select("doc_id", "page", F.regexp_extract("line", r"^page (\d+) of", 1).alias("number"))
+
+
 @query(f"{_PAGES} SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(page AS VARCHAR) AS number FROM p")
 def page_number_lines(spark, sf_dir):
     e = X.edge_lines(_pages(spark, sf_dir)).where(X.is_page_number(F.col("line")) & (F.col("down") == 1))
