@@ -6,28 +6,30 @@ without words has none. Two documents link if 100 * |A and B| >= 75 * |A or B|,
 that is if they share at least ceil(3 (|A| + |B|) / 7) shingles.
 
 1. Documents with equal sets form a class; only classes go on.
-2. Shingles are put in one global order: those that are frequent come last (a
-   list of at most ``FREQUENT`` shingles, exact counts over all documents of the
-   shingles whose hash is in the lowest ``ZONE`` of the range), else by hash.
-   Any order gives the same links; a good one gives short lists.
+2. Shingles are put in one global order, rare ones first: by the count that a
+   mergeable summary (Misra-Gries, ``COUNTERS`` to a task, over all documents)
+   holds of them, 0 for all others, then by hash. Any order gives the same
+   links; a good one gives short lists.
 3. Light sets (size up to a boundary) enumerate all subsets of two shingles
    within their prefix of |A| - ceil(3|A|/4) + 2; two light sets that link share
    such a subset. Heavy sets, and light ones near the boundary in size, put
    each shingle of their prefix of |A| - ceil(3|A|/4) + 1 into an inverted list;
    a heavy set that links with any set meets it in such a list. The boundary has
-   the least cost by the counts of sizes: subsets enumerated against lists read.
-4. Of lists with the same classes one is kept. A list first gives the pairs with its least class only. After those are
-   verified and components found, it gives pairs of neighbours by size that are
-   in different components, and after those all pairs between classes of
-   different components. No link between components is lost, and a group of
-   near copies costs pairs in proportion to its size.
-5. A pair goes no further if the parities of its shingles in 2048 bins, then in
-   32768, differ in more bins than two sets that link can differ in shingles: a proof, not an
-   estimate. What is left is verified on whole sets of 64-bit shingles.
+   the least cost by the counts of sizes: subsets enumerated against lists read,
+   whose mean length is measured on one ``SHARE``-th of all shingles.
+4. Of lists with the same classes one is kept. A list first gives each class with the least one of its band of sizes: as
+   many pairs as members. Links among those give components. Lists that still hold several components are scanned
+   inside a task, pair by pair between components, the largest one's members never among themselves: first for pairs that
+   would join what is not joined yet, and after these are verified for all pairs of different components. No link
+   between components is lost; long lists are cut into blocks, so that no task holds more than two.
+5. A pair goes no further if the parities of its shingles in 2048 bins differ in more bins than two sets that link can
+   differ in shingles: a proof, not an estimate, made before a pair becomes a row. What is left is verified on whole
+   sets of 64-bit shingles.
 
 Null and empty texts have size 0 and are linked with nothing. Documents of
-equal text, repeated rows included, are in one component. Extra columns are
-ignored; an empty table gives an empty result.
+equal text, repeated rows included, are in one component; documents without a
+doc_id take part like others. Extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -35,17 +37,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .graph import components
 
 K = 5
-ZONE, FREQUENT, FREQUENT_FROM = 0.4, 1_000_000, 5
+#: Counters of a task's summary; shingles of the broadcast order, at most; least count to be in it; share of all shingles whose counts are exact.
+COUNTERS, FREQUENT, FREQUENT_FROM, SHARE = 1 << 16, 1_000_000, 4, 256
 MOST_BOUNDARY = 40
-NEIGHBOURS = (1, 2, 3)
-BINS, WIDE = 2048, 32768
+BINS = 2048
+#: Rows of a block of a long list; a list up to SHORT long is scanned without joining what it finds.
+ROWS, SHORT = 4096, 24
+#: Most classes whose names are broadcast to find their texts; beyond it texts and names meet in a shuffle.
+BROADCAST = 500_000
 
 
 class Sets:
@@ -92,27 +97,61 @@ class Sets:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n, c (class), h1, h2, bits (parities) of each row."""
+    """doc_id, th (text hash), n, c (class), h1, h2, bits (parities) of each row."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(BINS), pa.binary())], ["doc_id", "n", "c", "h1", "h2", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(BINS), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits"])
 
-    return tk.per_batch(docs.select("text", "doc_id"), run, "doc_id long, n long, c long, h1 long, h2 long, bits binary")
+    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary", 2 << 20)
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """The shingles in most documents, of those in the zone that are in at least ``FREQUENT_FROM``; sorted."""
-    top = np.uint64(int(ZONE * 2**64))
+class Summary:
+    """Misra-Gries counters of shingles: a count is too low by at most all shingles seen / ``COUNTERS``."""
 
-    def run(batch):
-        s = Sets(batch.column(0))
-        h, n = np.unique(s.hash[s.hash < top], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+    def __init__(self):
+        self.hash, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, h: np.ndarray, n: np.ndarray) -> None:
+        if not len(h):
+            return
+        h, n = np.concatenate((self.hash, h)), np.concatenate((self.n, n))
+        order = np.argsort(h, kind="stable")
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        h, n = h[first], np.add.reduceat(n, first)
+        if len(h) > COUNTERS:
+            n -= np.partition(n, len(n) - COUNTERS - 1)[len(n) - COUNTERS - 1]
+            h, n = h[n > 0], n[n > 0]
+        self.hash, self.n = h, n
+
+
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Frequent shingles by hash, the rank of each (1 is the least frequent), and the mean length of the others' lists."""
 
-    counts = tk.per_batch(docs.select("text"), run, "h long, n long", limit=16 << 20).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    rows = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).astype(np.uint64))
+    def run(batches):
+        seen = Summary()
+        for batch in batches:
+            offsets = tk.string_buffer(batch.column(0))[1]
+            for a, b in tk.slices(offsets, 2 << 20):
+                h, n = np.unique(Sets(batch.column(0).slice(a, b - a)).hash, return_counts=True)
+                seen.add(h, n)
+                part = h % np.uint64(SHARE) == 0
+                yield rows(h[part], n[part], True)
+        some = seen.n > 1
+        yield rows(seen.hash[some], seen.n[some], False)
+
+    def rows(h, n, exact):
+        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(h), exact))], ["h", "n", "exact"])
+
+    counts = tk.stored(docs.select("text").mapInArrow(run, "h long, n long, exact boolean").groupBy("h", "exact").agg(F.sum("n").alias("n")), "counts")
+    top = counts.where(f"not exact and n >= {FREQUENT_FROM}").orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "n").toPandas()
+    h, n = top["h"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    others = counts.where("exact").join(counts.where(f"not exact and n >= {FREQUENT_FROM}").select("h"), "h", "left_anti")
+    r = others.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
+    tk.discard(counts)
+    return h[order], n[order], float(r.nn) / float(r.n) if r.n else 1.0
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -141,31 +180,31 @@ def boundary(sizes: dict[int, int], list_length: float) -> int:
     return best
 
 
-def keys(docs: DataFrame, heavy_last: np.ndarray, light: int) -> DataFrame:
+def keys(docs: DataFrame, frequent_hash: np.ndarray, frequent_n: np.ndarray, light: int) -> DataFrame:
     """(key, c, n, idx): inverted lists and subsets. idx: the key is also in the shorter prefix of the smaller set of a pair."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(heavy_last)
+    shared = spark.sparkContext.broadcast((frequent_hash, frequent_n))
 
     def run(batches):
         heavy = shared.value
         seen: set[int] = set()
         for batch in batches:
             offsets = tk.string_buffer(batch.column(0))[1]
-            for a, b in tk.slices(offsets):
+            for a, b in tk.slices(offsets, 2 << 20):
                 out = emit(Sets(batch.column(0).slice(a, b - a)), heavy, seen)
                 if len(out):
                     yield out
 
-    def emit(s: Sets, heavy: np.ndarray, seen: set[int]):
+    def emit(s: Sets, heavy: tuple[np.ndarray, np.ndarray], seen: set[int]):
         new = np.zeros(len(s.size), bool)
         for i, c in enumerate(s.cls.tolist()):
             if s.size[i] > 1 and c not in seen:
                 seen.add(c)
                 new[i] = True
-        late = np.zeros(len(s.hash), bool)
-        if len(heavy):
-            at = np.minimum(np.searchsorted(heavy, s.hash), len(heavy) - 1)
-            late = heavy[at] == s.hash
+        late = np.zeros(len(s.hash), np.int64)
+        if len(heavy[0]):
+            at = np.minimum(np.searchsorted(heavy[0], s.hash), len(heavy[0]) - 1)
+            late = np.where(heavy[0][at] == s.hash, heavy[1][at], 0)
         order = np.lexsort((s.hash, late, s.row))
         h = s.hash[order]  # rows keep their places, shingles within a row are in the global order
         place = np.arange(len(h)) - s.first[s.row]
@@ -189,16 +228,56 @@ def keys(docs: DataFrame, heavy_last: np.ndarray, light: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, c long, n int, idx boolean")
 
 
-def possible(pairs: DataFrame, reps: DataFrame, bins: int) -> DataFrame:
+def lists_of(rows: DataFrame) -> DataFrame:
+    """The rows (key, c, n, idx) of lists with at least two classes, once each."""
+    ready = rows.repartition("key").sortWithinPartitions("key", "c")
+
+    def run(batches):
+        held = None  # the last row: its neighbour is in the next batch
+        for batch in batches:
+            if batch.num_rows:
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+                if held is not None:
+                    cols = [np.concatenate(([h], x)) for h, x in zip(held[0], cols)]
+                yield from emit(cols, held is not None and held[1], False)
+                key, c = cols[0], cols[1]
+                last = int(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (c[1:] != c[:-1]))))[-1])
+                before = key[last - 1] == key[-1] if last else held is not None and held[1]
+                held = ([key[-1], c[-1], cols[2][-1], cols[3][last:].any()], bool(before))
+        if held is not None:
+            yield from emit([np.array([x]) for x in held[0]], held[1], True)
+
+    def emit(cols, before, end):
+        """``before``: the row before the first one has its key. The last class waits unless it is the ``end``."""
+        key, c, n, idx = cols
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (c[1:] != c[:-1]))))
+        key, c, n, idx = key[first], c[first], n[first], np.logical_or.reduceat(idx, first)
+        shared = np.zeros(len(key), bool)
+        shared[0] = before
+        same = key[1:] == key[:-1]
+        shared[1:] |= same
+        shared[:-1] |= same
+        if not end:
+            shared[-1] = False
+        if shared.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(c[shared]), pa.array(n[shared].astype(np.int32)), pa.array(idx[shared].astype(bool))], ["key", "c", "n", "idx"])
+
+    return ready.mapInArrow(run, "key long, c long, n int, idx boolean")
+
+
+def may_link(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes m and n and of parities x and y can link: |A or B| - |A and B| <= (|A| + |B|) / 7."""
+    return 7 * np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) <= m + n
+
+
+def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose parities allow a link."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, bins // 64) for i in (2, 3))
-                differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-                # |A or B| - |A and B| <= (|A| + |B|) / 7 for sets that link
-                keep = 7 * differ <= batch.column(4).to_numpy() + batch.column(5).to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BINS // 64) for i in (2, 3))
+                keep = may_link(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
     x = pairs.join(reps.select(F.col("c").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("c").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n")), "b")
@@ -206,12 +285,15 @@ def possible(pairs: DataFrame, reps: DataFrame, bins: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    left = tk.stored(possible(pairs, reps, BINS).distinct(), "possible")
-    members = reps.join(left.select(F.col("a").alias("c")).union(left.select("b")).distinct(), "c").select("c", F.col("rep").alias("doc_id"))
-    texts = docs.join(members, "doc_id").select("text", "c")
+    """The pairs (a, b) of classes that link, of stored pairs."""
+    wanted = tk.stored(reps.join(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "c").select("c", F.col("rep").alias("id__"), "th"), "wanted")
+    few = wanted.count() <= BROADCAST
+    names = F.broadcast(wanted) if few else wanted
+    # rows without an id are told apart by text alone; one of each text is enough
+    ided, bare = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where("doc_id is not null"), docs.select("text", F.xxhash64("text").alias("th")).where("doc_id is null")
+    texts = ided.join(names.where("id__ is not null").withColumnRenamed("id__", "doc_id"), ["doc_id", "th"]).select("text", "c")
+    texts = texts.union(bare.join(names.where("id__ is null").select("c", "th"), "th").select("text", "c").dropDuplicates(["c"]))
     sets = tk.stored(shingle_sets(texts).dropDuplicates(["c"]), "sets")
-    close = tk.stored(possible(left, sets, WIDE), "possible")
 
     def run(batches):
         for batch in batches:
@@ -225,73 +307,136 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                 m = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(m), batch.column(1).filter(m)], ["a", "b"])
 
-    x = close.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+    x = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
     found = tk.stored(x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
-    tk.discard(left, close, sets)
+    tk.discard(wanted, sets)
     return found
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(c, n, bits, set) of each row (text, c) whose text is of the class c: rows that share a doc_id need not be."""
+    """(c, set) of each row (text, c) whose text is of the class c: rows that share a doc_id need not be."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        out = pa.RecordBatch.from_arrays([batch.column(1), pa.array(s.size), pa.array(s.parities(WIDE), pa.binary()), pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.hash.astype(np.int64)))], ["c", "n", "bits", "set"])
+        out = pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.hash.astype(np.int64)))], ["c", "set"])
         return out.filter(pa.array(s.cls == batch.column(1).to_numpy()))
 
-    return tk.per_batch(docs.select("text", "c"), run, "c long, n long, bits binary, set array<long>")
+    return tk.per_batch(docs.select("text", "c"), run, "c long, set array<long>", 2 << 20)
+
 
+def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of classes in a list and in different components that may link; unless ``every``, only as many as join what may be joined.
 
-def fits(a: str, b: str) -> str:
-    """SQL: the pair (smaller first, class breaking ties) can link by size and met in the smaller one's short prefix."""
-    return f"({a}.n, {a}.c) < ({b}.n, {b}.c) and {a}.idx and 4 * {a}.n >= 3 * {b}.n"
+    The members of a list's largest component meet all others, not each other. A list of more than ``ROWS`` others, or
+    of the largest component's, is cut into blocks by hash; each two blocks that must meet are a group of their own."""
+    owned = lists.select("key", "c", "n", "idx").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    parts = owned.groupBy("key", "component").agg(F.count("*").alias("k"))
+    several = parts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all")).where("top.k < all")
+    several = several.select("key", F.col("top.component").alias("main"), F.expr(f"cast(ceil(top.k / {ROWS}) as int) as nm"), F.expr(f"cast(ceil((all - top.k) / {ROWS}) as int) as nr"))
+    rows = owned.join(several, "key").withColumn("own", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("own"), F.col("nm")).otherwise(F.col("nr"))).cast("int"))
+    rows = rows.join(reps.select("c", "bits"), "c")
+    with_rest = "transform(sequence(0, nr - 1), r -> named_struct('kind', 0, 'i', block, 'j', r))"
+    with_own = "transform(sequence(0, nm - 1), m -> named_struct('kind', 0, 'i', m, 'j', block))"
+    others = "transform(filter(sequence(0, nr - 1), r -> r <> block), r -> named_struct('kind', 1, 'i', least(block, r), 'j', greatest(block, r)))"
+    rows = rows.select("key", "c", "n", "idx", "component", "own", "block", "bits", F.explode(F.expr(f"if(own, {with_rest}, concat({with_own}, {others}))")).alias("g"))
+    rows = rows.select("key", "g.kind", "g.i", "g.j", "c", "n", "idx", "component", "own", "block", "bits").repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "n", "c")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
+            cut = np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1
+            if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(4)):
+                yield from solve(held)
+                held = []
+            if len(cut):
+                yield from solve([*held, batch.slice(0, int(cut[-1]))])
+                held = []
+                batch = batch.slice(int(cut[-1]))
+            held.append(batch)
+        if held:
+            yield from solve(held)
+
+    def solve(held):
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, kind, i, j, c, n, idx, comp_, own, block = (t.column(k).to_numpy() for k in range(10))
+        n = n.astype(np.int64)
+        bits = np.frombuffer(b"".join(t.column(10).to_pylist()), np.uint64).reshape(-1, BINS // 64)
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        size = np.diff(np.append(start, len(key)))
+
+        def pairs_ok(x, y):
+            """Of rows x < y of one group: in order of size, may be linked by size, component and place, and do not meet in another group."""
+            ok = (comp_[x] != comp_[y]) & idx[x] & (4 * n[x] >= 3 * n[y])
+            mixed = own[x] != own[y]
+            rest = ~own[x] & ~own[y]
+            return ok & np.where(kind[x] == 0, mixed | (rest & (i[x] == 0)), block[x] != block[y])
+
+        # short lists: all their pairs at once, a few rows apart at a time
+        short = size <= SHORT
+        member, end = np.repeat(short, size), np.repeat(start + size, size)
+        at = np.flatnonzero(member)
+        out = []
+        for step in range(1, int(size[short].max()) if short.any() else 1):
+            x = at[at + step < end[at]]
+            y = x + step
+            ok = pairs_ok(x, y)
+            x, y = x[ok], y[ok]
+            for p in range(0, len(x), 1 << 16):
+                q = slice(p, p + (1 << 16))
+                ok = may_link(bits[x[q]], bits[y[q]], n[x[q]], n[y[q]])
+                out.append((x[q][ok], y[q][ok]))
+        for s, m in zip(start[~short].tolist(), size[~short].tolist()):
+            label = comp_[s : s + m].copy()
+            for x in range(s, s + m - 1):
+                top = s + int(np.searchsorted(3 * n[s : s + m], 4 * n[x], "right"))
+                y = np.arange(x + 1, top)
+                y = y[pairs_ok(np.full(len(y), x), y) & (every | (label[y - s] != label[x - s]))]
+                y = y[may_link(bits[y], bits[x], n[y], n[x])] if len(y) else y
+                if len(y) and not every:
+                    joined_, where = np.unique(label[y - s], return_index=True)
+                    y = y[where]
+                    label[np.isin(label, joined_)] = label[x - s]
+                if len(y):
+                    out.append((np.full(len(y), x), y))
+        if out:
+            x, y = (np.concatenate(v) for v in zip(*out))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(c[y])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
     told = tk.stored(described(docs), "told")
-    reps = tk.stored(told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "reps")
-    late = frequent(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    reps = tk.stored(told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(first, F.min("bits").alias("bits")).select("n", "h1", "h2", "c", F.col("first.doc_id").alias("rep"), "first.th", "bits"), "reps")
+    late, rank, length = frequent(docs)
     hist = {int(r.n): int(r.k) for r in reps.where(f"n <= {2 * MOST_BOUNDARY}").groupBy("n").agg(F.count("*").alias("k")).collect()}
-    light = boundary(hist, 2.0)
-    k = keys(docs, late, light).repartition("key").groupBy("key", "c", "n").agg(F.max("idx").alias("idx"))
-    w = W.partitionBy("key")
-    lists = k.withColumn("len", F.count("*").over(w)).withColumn("least", F.min(F.struct("n", "c", "idx")).over(w)).where("len > 1")
+    raw = tk.stored(lists_of(keys(docs, late, rank, boundary(hist, length))), "raw")
     # lists of the same classes give the same pairs: one of them is enough
-    lists = tk.stored(lists.withColumn("same", F.bit_xor(F.xxhash64("c", "idx")).over(w)), "lists")
-    heads = lists.groupBy("same", "len").agg(F.min("key").alias("key")).select("key")
-    lists = tk.stored(lists.join(heads, "key"), "lists")
-    star = lists.where("least.c <> c and (4 * least.n >= 3 * n)").select(F.col("least.c").alias("a"), F.col("c").alias("b"))
-    pairs = tk.stored(star.distinct(), "pairs")
-    done, links = pairs, verified(docs, reps, pairs)
-    comp = components(links)
-
-    def mixed():
-        """Lists with more than one component left, a row for each class."""
-        owned = lists.select("key", "c", "n", "idx").join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        several = owned.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return owned.join(several, "key").select("key", "c", "n", "idx", "component")
-
-    # neighbours by size in a list, if of different components: few pairs, which join nearly all of a group of near copies
-    w = W.partitionBy("key").orderBy("n", "c")
-    near = [F.lag(F.struct("n", "c", "idx", "component"), k).over(w).alias(f"p{k}") for k in NEIGHBOURS]
-    beside = mixed().select("c", "n", "component", F.array(*near).alias("p")).select("c", "n", "component", F.explode("p").alias("p"))
-    beside = beside.where("p.c is not null and p.component <> component and p.idx and 4 * p.n >= 3 * n").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-    pairs = tk.stored(beside.join(done, ["a", "b"], "left_anti"), "pairs")
-    done, links = done.union(pairs), links.union(verified(docs, reps, pairs))
+    heads = raw.groupBy("key").agg(F.bit_xor(F.xxhash64("c", "idx")).alias("same"), F.count("*").alias("len")).groupBy("same", "len").agg(F.min("key").alias("key")).select("key")
+    lists = tk.stored(raw.join(heads, "key").withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")), "lists")
+    tk.discard(raw)
+    least = lists.groupBy("key", "band").agg(F.min(F.struct("n", "c")).alias("least"))
+    star = lists.join(least, ["key", "band"]).where("least.c <> c").select(F.col("least.c").alias("a"), F.col("c").alias("b")).distinct()
+    done = tk.stored(possible(star, reps).distinct(), "pairs")
+    links = verified(docs, reps, done)
     comp = components(links)
-    # all pairs that are still in different components
-    split = tk.stored(mixed(), "split")
-    rest = split.alias("x").join(split.alias("y"), F.expr("x.key = y.key and x.component <> y.component and " + fits("x", "y"))).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    more = verified(docs, reps, rest.join(done, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        comp = components(links.union(more))
+    for every in (False, True):
+        pairs = tk.stored(across(lists, comp, reps, every).join(done, ["a", "b"], "left_anti"), "pairs")
+        if pairs.limit(1).count():
+            links = links.union(verified(docs, reps, pairs))
+            comp = components(links)
+        done = done.union(pairs)
     # components name classes; a component's least doc_id is its name
     by_class = reps.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    least = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = by_class.join(least, "component").select("n", "h1", "h2", "component_id")
-    out = told.drop("bits").join(named, ["n", "h1", "h2"], "left")
+    names = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = by_class.join(names, "component").select("n", "h1", "h2", "component_id")
+    out = told.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

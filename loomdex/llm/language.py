@@ -24,6 +24,8 @@ from . import textkit as tk
 
 DIMS = 512
 ALPHABET = 512
+#: Distinct trigrams that a task counts before it hands them on.
+HELD = 1 << 19
 _LETTERS = np.random.Generator(np.random.PCG64(7)).integers(0, 2, (ALPHABET, DIMS), dtype=np.int8) * 2 - 1
 #: The permutation of a letter's place is a rotation of its vector.
 _PLACES = tuple(np.ascontiguousarray(np.roll(_LETTERS, place, axis=1)) for place in range(3))
@@ -71,17 +73,31 @@ def prototypes(docs: DataFrame, text: str = "text", label: str = "lang") -> dict
     """One bundled vector per label. Trigram counts meet per (label, trigram); the driver gets labels x DIMS numbers."""
 
     def count(batches):
+        got: dict[str, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
             labels = np.asarray(batch.column(1).to_pylist(), object)
-            got: dict[str, list] = {}
-            for lab, t in zip(labels, batch.column(0).to_pylist()):
-                if t:
-                    got.setdefault(lab, []).append(trigrams(t))
-            for lab, parts in got.items():
-                codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
-                if len(codes):
-                    yield pa.RecordBatch.from_arrays([pa.array([lab] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(counts)], ["label", "code", "n"])
+            for a, b in tk.slices(tk.string_buffer(batch.column(0))[1], 1 << 20):
+                parts: dict[str, list] = {}
+                for lab, t in zip(labels[a:b], batch.column(0).slice(a, b - a).to_pylist()):
+                    if t:
+                        parts.setdefault(lab, []).append(trigrams(t))
+                for lab, some in parts.items():
+                    if lab in got:
+                        held -= len(got[lab][0])
+                        some.append(tuple(got[lab]))
+                    codes, where = np.unique(np.concatenate([p[0] for p in some]), return_inverse=True)
+                    got[lab] = [codes.astype(np.int64), np.rint(np.bincount(where, np.concatenate([p[1] for p in some]), len(codes))).astype(np.int64)]
+                    held += len(codes)
+                if held > HELD:
+                    yield from tables(got)
+                    got, held = {}, 0
+        yield from tables(got)
+
+    def tables(got):
+        for lab, (codes, counts) in got.items():
+            if len(codes):
+                yield pa.RecordBatch.from_arrays([pa.array([lab] * len(codes)), pa.array(codes), pa.array(counts)], ["label", "code", "n"])
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -150,7 +166,7 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], key: str = "doc_id"
 
     src = docs.select(F.col(text).alias("text__"), F.col(key), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return tk.per_batch(src, run, f"{fields}, lang_pred string, score double, near__ double, grams__ long", text="text__")
+    return tk.per_batch(src, run, f"{fields}, lang_pred string, score double, near__ double, grams__ long", limit=1 << 20, text="text__")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,37 @@ def test_jaccard_with_frequent_shingles(docs, cases, monkeypatch):
     assert got == brute_components([(r[0], r[1]) for r in cases])
 
 
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """A chain of near copies, a passage that many share, blocks of two rows and no short lists."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base, passage, rows = [word() for _ in range(90)], [word() for _ in range(60)], []
+    for i in range(40):
+        base = list(base)
+        base[rng.randrange(90)] = word()
+        rows.append((i, " ".join(base)))
+    for i in range(40, 70):
+        own = [word() for _ in range(rng.randrange(4, 30))]
+        rows.append((i, " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :])))
+    rows += [(70, rows[3][1]), (71, None), (72, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components(rows)
+    monkeypatch.setattr(jaccard, "ROWS", 2)
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    monkeypatch.setattr(jaccard, "BROADCAST", 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(docs).collect()}
+    assert got == want
+
+
+def test_jaccard_without_doc_ids(spark):
+    """Rows without an id link as others do: near copies of them are in one component, named by the least id there is."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "x"])
+    rows = [(None, " ".join(words)), (4, near), (None, near + " y"), (None, None), (9, "some other words than those above are here")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 56, 4), (4, 56, 4), (None, 57, 4), (None, 0, None), (9, 4, 9)}
+
+
 # ---- 5
 
 def test_quality_figures(spark, docs, cases, none):
