@@ -22,7 +22,7 @@ that is if they share at least ceil(3 (|A| + |B|) / 7) shingles.
    inside a task, pair by pair between components, the largest one's members never among themselves: first for pairs that
    would join what is not joined yet, and after these are verified for all pairs of different components. No link
    between components is lost; long lists are cut into blocks, so that no task holds more than two.
-5. A pair goes no further if the parities of its shingles in 2048 bins differ in more bins than two sets that link can
+5. A pair goes no further if the parities of its shingles in bins (at least four to a shingle) differ in more bins than two sets that link can
    differ in shingles: a proof, not an estimate, made before a pair becomes a row. What is left is verified on whole
    sets of 64-bit shingles.
 
@@ -46,7 +46,8 @@ K = 5
 #: Counters of a task's summary; shingles of the broadcast order, at most; least count to be in it; share of all shingles whose counts are exact.
 COUNTERS, FREQUENT, FREQUENT_FROM, SHARE = 1 << 16, 1_000_000, 4, 256
 MOST_BOUNDARY = 40
-BINS = 2048
+#: Binary logarithm of the fewest and the most bins for parities.
+LEVELS = (9, 15)
 #: Rows of a block of a long list; a list up to SHORT long is scanned without joining what it finds.
 ROWS, SHORT = 4096, 24
 #: Most classes whose names are broadcast to find their texts; beyond it texts and names meet in a shuffle.
@@ -84,24 +85,65 @@ class Sets:
         self.cls = tk.mix(self.h1 + tk.mix(self.h2 + self.size.astype(np.uint64))).astype(np.int64)
 
 
-    def parities(self, bins: int) -> list[bytes]:
-        """Of each row, in so many bins by hash: whether an odd number of its shingles is there."""
-        out: list[bytes] = []
-        where, step = (self.hash % np.uint64(bins)).astype(np.int64), max(1, (1 << 21) // bins)
-        for a in range(0, len(self.size), step):
-            b = min(a + step, len(self.size))
-            part = slice(self.first[a], self.first[b])
-            odd = np.bincount((self.row[part] - a) * bins + where[part], minlength=(b - a) * bins) & 1
-            out.extend(map(bytes, np.packbits(odd.astype(np.uint8).reshape(b - a, bins), axis=1)))
+    def parities(self) -> list[bytes]:
+        """Of each row, in 2 ** levels() bins by hash: whether an odd number of its shingles is there."""
+        out: list[bytes] = [b""] * len(self.size)
+        level = levels(self.size)
+        for e in np.unique(level).tolist():
+            bins, rows = 1 << e, np.flatnonzero(level == e)
+            for a in range(0, len(rows), max(1, (1 << 21) >> e)):
+                some = rows[a : a + max(1, (1 << 21) >> e)]
+                size = self.size[some]
+                at = np.repeat(self.first[some] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+                where = np.repeat(np.arange(len(some)) * bins, size) + (self.hash[at] & np.uint64(bins - 1)).astype(np.int64)
+                odd = np.bincount(where, minlength=len(some) * bins) & 1
+                for r, x in zip(some.tolist(), np.packbits(odd.astype(np.uint8).reshape(len(some), bins), axis=1)):
+                    out[r] = x.tobytes()
         return out
 
 
+def levels(n: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the bins for sets of these sizes: at least 4 to a shingle, within ``LEVELS``."""
+    return np.clip(np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), *LEVELS)
+
+
+class Parities:
+    """Parities of sets, compared pair by pair; the wider one of a pair is folded to the other's width."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.raw, self.n, self.level = raw, n, levels(n)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets of level e and of the next one, in 2 ** e bins, and where each set is in it."""
+        if e not in self.tables:
+            own, next_ = np.flatnonzero(self.level == e), np.flatnonzero(self.level == e + 1)
+            read = lambda rows: np.frombuffer(b"".join([self.raw[r] for r in rows.tolist()]), np.uint64)
+            wide = read(next_).reshape(len(next_), 2, (1 << e) // 64)
+            place = np.zeros(len(self.n), np.int64)
+            place[own], place[next_] = np.arange(len(own)), len(own) + np.arange(len(next_))
+            self.tables[e] = np.concatenate((read(own).reshape(len(own), (1 << e) // 64), wide[:, 0] ^ wide[:, 1])), place
+        return self.tables[e]
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the sets x and y (no smaller, up to 4/3 as large) can link: |A or B| - |A and B| <= (|A| + |B|) / 7."""
+        ok = np.zeros(len(x), bool)
+        for e in np.unique(self.level[x]).tolist():
+            bits, place = self.table(e)
+            here, step = np.flatnonzero(self.level[x] == e), max(1, (1 << 24) >> e)
+            for a in range(0, len(here), step):
+                p = here[a : a + step]
+                differ = np.bitwise_count(bits[place[x[p]]] ^ bits[place[y[p]]]).sum(1, dtype=np.int64)
+                ok[p] = 7 * differ <= self.n[x[p]] + self.n[y[p]]
+        return ok
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, th (text hash), n, c (class), h1, h2, bits (parities) of each row."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(BINS), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits"])
 
     return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary", 2 << 20)
 
@@ -265,19 +307,15 @@ def lists_of(rows: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "key long, c long, n int, idx boolean")
 
 
-def may_link(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether sets of sizes m and n and of parities x and y can link: |A or B| - |A and B| <= (|A| + |B|) / 7."""
-    return 7 * np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) <= m + n
-
-
 def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose parities allow a link."""
+    """The pairs (a, b) of classes, smaller one first, whose parities allow a link."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BINS // 64) for i in (2, 3))
-                keep = may_link(x, y, batch.column(4).to_numpy(), batch.column(5).to_numpy())
+            k = batch.num_rows
+            if k:
+                sets = Parities(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.concatenate([batch.column(i).to_numpy() for i in (4, 5)]))
+                keep = sets.may_link(np.arange(k), k + np.arange(k))
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
     x = pairs.join(reps.select(F.col("c").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("c").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n")), "b")
@@ -363,7 +401,7 @@ def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> D
         t = pa.Table.from_batches(held).combine_chunks()
         key, kind, i, j, c, n, idx, comp_, own, block = (t.column(k).to_numpy() for k in range(10))
         n = n.astype(np.int64)
-        bits = np.frombuffer(b"".join(t.column(10).to_pylist()), np.uint64).reshape(-1, BINS // 64)
+        sets = Parities(t.column(10).to_pylist(), n)
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         size = np.diff(np.append(start, len(key)))
 
@@ -384,17 +422,15 @@ def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> D
             y = x + step
             ok = pairs_ok(x, y)
             x, y = x[ok], y[ok]
-            for p in range(0, len(x), 1 << 16):
-                q = slice(p, p + (1 << 16))
-                ok = may_link(bits[x[q]], bits[y[q]], n[x[q]], n[y[q]])
-                out.append((x[q][ok], y[q][ok]))
+            ok = sets.may_link(x, y)
+            out.append((x[ok], y[ok]))
         for s, m in zip(start[~short].tolist(), size[~short].tolist()):
             label = comp_[s : s + m].copy()
             for x in range(s, s + m - 1):
                 top = s + int(np.searchsorted(3 * n[s : s + m], 4 * n[x], "right"))
                 y = np.arange(x + 1, top)
                 y = y[pairs_ok(np.full(len(y), x), y) & (every | (label[y - s] != label[x - s]))]
-                y = y[may_link(bits[y], bits[x], n[y], n[x])] if len(y) else y
+                y = y[sets.may_link(np.full(len(y), x), y)]
                 if len(y) and not every:
                     joined_, where = np.unique(label[y - s], return_index=True)
                     y = y[where]
