@@ -317,9 +317,11 @@ def brute_cut(rows, window=400):
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_suffixes(docs, cases, none, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.cut_docs(docs.select("doc_id", "text")).collect()}
+    found = suffixes.figures(docs.select("doc_id", "text")).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
     assert got == brute_cut([(r[0], r[1]) for r in cases])
-    assert suffixes.cut_docs(none.select("doc_id", "text")).count() == 0
+    assert {r.doc_id: r.n_shared for r in found} == {i: x[1] for i, x in brute_cut([(r[0], r[1]) for r in cases], suffixes.SHORT).items()}
+    assert suffixes.figures(none.select("doc_id", "text")).count() == 0
 
 
 def test_cover():
@@ -401,8 +403,20 @@ def test_permutation_and_draws():
     for n in (1, 2, 3, 64, 1000):
         j = np.arange(n)
         assert sorted(mixing.permuted(j, np.full(n, n), np.full(n, 9))) == list(range(n))
-    d = mixing.draws([500, 300, 7], 100, 9)
-    assert d.sum(0).tolist() == [500, 300, 7] and (d.sum(1)[:-1] == 100).all()
+    wanted = [500, 300, 7]
+    whole = list(mixing.draws(wanted, 100, 9))
+    assert sorted(x[0] for x in whole) == list(range(9))
+    whole.sort(key=lambda x: x[0])
+    assert sum(x[2] for x in whole).tolist() == wanted and [int(x[2].sum()) for x in whole] == [100] * 8 + [7]
+    assert all((b[1] == a[1] + a[2]).all() for a, b in zip(whole, whole[1:]))
+    # a task's own shards are drawn as they are in the whole
+    part = sorted(mixing.draws(wanted, 100, 9, 3, 6), key=lambda x: x[0])
+    assert [x[0] for x in part] == [3, 4, 5] and all((x[1] == y[1]).all() and (x[2] == y[2]).all() for x, y in zip(part, whole[3:]))
+    rng = np.random.Generator(np.random.PCG64(1))
+    good, bad, n = 3 * 10**9, 7 * 10**9, 4 * 10**9
+    x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)], float)
+    spread = (n * 0.3 * 0.7 * (good + bad - n) / (good + bad - 1)) ** 0.5
+    assert abs(x.mean() - 0.3 * n) < 4 * spread / 4000**0.5 and 0.95 < x.std() / spread < 1.05
 
 
 def test_mixing(spark, none):
