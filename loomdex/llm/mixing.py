@@ -4,7 +4,7 @@ The words of a source are laid end to end and packed into blocks of ``BLOCK``
 words. The mix is a row of slots, one block each, cut into output shards; each
 shard draws how many of its slots go to each source from a multinomial, without
 replacement of slots over the whole mix, so that a source gets its target to
-within a block. The j-th slot of a source takes the block that a pseudorandom
+within a block; draws run down a seeded tree of shard ranges inside the tasks. The j-th slot of a source takes the block that a pseudorandom
 permutation (a keyed Feistel network, walked until it falls in range) gives for
 j; a slot beyond the last block starts another permutation, so no block comes
 twice before every block came once. Blocks meet the documents by index.
@@ -22,6 +22,7 @@ doc_id are told apart by their text.
 from __future__ import annotations
 
 from fractions import Fraction
+from math import floor, lgamma, log, sqrt
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ from . import textkit as tk
 BLOCK = 64
 SHARD_SLOTS = 4096
 BUCKET_WORDS = 1 << 20
+#: Shards of a task that fills slots, and the most such tasks.
+TASK_SHARDS, MOST_TASKS = 8, 20_000
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = Fraction(3, 2), 2
 SEED = 11
@@ -47,8 +50,9 @@ def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    src = docs.select("text", "doc_id", "source", F.xxhash64("text").alias("th"))
-    return tk.per_batch(src, count_words, "doc_id long, source string, th long, size long")
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
+    src = docs.select("text", "doc_id", "source", F.xxhash64("text").alias("th"), row)
+    return tk.per_batch(src, count_words, "doc_id long, source string, th long, row long, size long")
 
 
 def targets(source_sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, most=MOST) -> dict[str | None, Fraction]:
@@ -70,30 +74,56 @@ def targets(source_sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=S
     return out
 
 
-def draws(wanted: list[int], shard: int, shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in each shard: multinomial counts, drawn without replacement of slots."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left, out = np.array(wanted, np.int64), np.zeros((shards, len(wanted)), np.int64)
-    for i in range(shards):
-        n = min(shard, int(left.sum()))
-        # marginals one by one: the generator's own multivariate draw holds every slot in memory
-        rest, need = int(left.sum()), n
-        for k in range(len(wanted)):
-            rest -= int(left[k])
-            got = need if rest == 0 else hypergeometric(rng, int(left[k]), rest, need)
-            out[i, k] = got
-            need -= got
-        left -= out[i]
+def draws(wanted: list[int], shard: int, shards: int, lo: int = 0, hi: int | None = None, seed: int = SEED):
+    """(shard, slots of each source before it, slots of each source in it) of the shards lo..hi.
+
+    Counts are multinomial, drawn without replacement over the whole mix: a binary tree of shard ranges halves the counts
+    of each range by a draw whose seed is the range, so a task draws those of its own shards and no others."""
+    hi = shards if hi is None else hi
+    todo = [(0, shards, np.zeros(len(wanted), np.int64), np.array(wanted, np.int64))] if lo < hi else []
+    while todo:
+        a, b, before, counts = todo.pop()
+        if b - a == 1:
+            yield a, before, counts
+            continue
+        mid = (a + b) // 2
+        left = split(np.random.Generator(np.random.PCG64([seed, a, b])), counts, (mid - a) * shard)
+        if b > lo and mid < hi:
+            todo.append((mid, b, before + left, counts - left))
+        if a < hi and mid > lo:
+            todo.append((a, mid, before, left))
+
+
+def split(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of n slots, drawn without replacement, are of each source."""
+    # marginals one by one: the generator's own multivariate draw holds every slot in memory
+    rest, need, out = int(counts.sum()), n, np.zeros(len(counts), np.int64)
+    for k, c in enumerate(counts.tolist()):
+        rest -= c
+        out[k] = min(c, need) if rest == 0 else hypergeometric(rng, c, rest, need)
+        need -= int(out[k])
     return out
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Good ones among n drawn of good + bad: numpy's draw, and beyond its range the same law by rejection from a ratio of uniforms."""
     if good == 0 or n == 0:
         return 0
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    x = rng.binomial(n, good / (good + bad))  # so many slots that one draw hardly changes the rest
-    return int(min(good, max(x, n - bad)))
+    total = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    mean = n * (good / total)
+    spread = sqrt(max(0.0, (total - n) * n * (good / total) * (bad / total) / (total - 1)) + 0.5)
+    width = 1.7155277699214135 * spread + 0.8989161620588988  # constants of the rejection: 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e)
+    mode = min(high, max(low, int((n + 1) * ((good + 1) / (total + 2)))))
+    weight = lambda x: lgamma(x + 1) + lgamma(good - x + 1) + lgamma(n - x + 1) + lgamma(bad - n + x + 1)
+    top = weight(mode)
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        x = floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= x <= high and 2 * log(u) <= top - weight(x):
+            return x
 
 
 def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -116,8 +146,8 @@ def permuted(j: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, begin (place of its first word in its source), uses:
-    how often each block that touches the document is taken, and taken."""
+    """doc_id, row (as given, if it is), source, size, source_size, target, begin (place of its first word in its source),
+    uses: how often each block that touches the document is taken, and taken."""
     spark = docs.sparkSession
     sized = tk.stored(sizes(docs), "sizes")
     totals = [(r.source, int(r.n or 0)) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row per source
@@ -130,43 +160,47 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, seed: int
         per = Fraction(n, nb) if nb else Fraction(1)
         wanted.append(min(MOST * nb, round(aims[s] / per)))
     shards = -(-sum(wanted) // shard)
-    counts = draws(wanted, shard, shards, seed)
-    before = np.vstack([np.zeros((1, len(order)), np.int64), np.cumsum(counts, 0)[:-1]]) if shards else counts
-    plan_rows = [(i, k, int(before[i, k]), int(counts[i, k]), n_blocks[k]) for i in range(shards) for k in range(len(order)) if counts[i, k]]
     src = pd.DataFrame({"k": range(len(order)), "name": [s for s, _ in order], "source_size": [n for _, n in order], "target": [float(aims[s]) for s, _ in order], "buckets": [max(1, -(-n // BUCKET_WORDS)) for _, n in order]})
     sources = F.broadcast(spark.createDataFrame([tuple(r) for r in src.astype(object).itertuples(index=False)], "k int, name string, source_size long, target double, buckets long"))
-    plan = spark.createDataFrame(plan_rows, "shard int, k int, before long, n long, blocks long").repartition(max(1, min(shards, 200)))
+    plan = spark.range(0, shards, 1, max(1, min(-(-shards // TASK_SHARDS), MOST_TASKS)))
 
     def fill(batches):
         for b in batches:
-            for k, first, n, blocks in zip(*[b.column(i).to_pylist() for i in (1, 2, 3, 4)]):
-                j = np.arange(first, first + n)
-                idx = permuted(j % blocks, np.full(n, blocks), np.full(n, seed * 1000003 + k * 8191) + j // blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(idx)], ["k", "block"])
+            if b.num_rows:
+                ids = b.column(0).to_numpy()  # shards of a batch follow each other
+                for _, before, counts in draws(wanted, shard, shards, int(ids[0]), int(ids[-1]) + 1, seed):
+                    for k, (first, n, blocks) in enumerate(zip(before.tolist(), counts.tolist(), n_blocks)):
+                        if n:
+                            j = np.arange(first, first + n)
+                            idx = permuted(j % blocks, np.full(n, blocks), np.full(n, seed * 1000003 + k * 8191) + j // blocks)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(idx)], ["k", "block"])
 
     slots = plan.mapInArrow(fill, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
     placed = sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", "buckets"))
-    inside = placed.withColumn("within", F.sum("size").over(W.partitionBy("k", "bucket").orderBy("h", "doc_id", "size", "th").rowsBetween(W.unboundedPreceding, -1)))
+    inside = placed.withColumn("within", F.sum("size").over(W.partitionBy("k", "bucket").orderBy("h", "doc_id", "size", "th", "row").rowsBetween(W.unboundedPreceding, -1)))
     tops = placed.groupBy("k", "bucket").agg(F.sum("size").alias("words"))
     tops = tops.withColumn("base", F.sum("words").over(W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
     laid = inside.join(tops.drop("words"), ["k", "bucket"]).withColumn("begin", F.coalesce("base", F.lit(0)) + F.coalesce("within", F.lit(0)))
-    laid = laid.withColumn("row", F.monotonically_increasing_id())
-    laid = tk.stored(laid.select("row", "doc_id", "th", "source", "size", "source_size", "target", "k", "begin"), "laid")
+    laid = laid.withColumn("own", F.monotonically_increasing_id())
+    laid = tk.stored(laid.select("own", "row", "doc_id", "source", "size", "source_size", "target", "k", "begin"), "laid")
     touch = laid.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
     hit = touch.join(slots, ["k", "block"])
     words = F.expr(f"least(begin + size, (block + 1) * {block}) - greatest(begin, block * {block})")
-    used = hit.groupBy("row").agg(F.sum(words * F.col("times")).alias("taken"), F.collect_list(F.struct("block", "times")).alias("uses"))
-    return laid.join(used, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("row", "k")
+    used = hit.groupBy("own").agg(F.sum(words * F.col("times")).alias("taken"), F.collect_list(F.struct("block", "times")).alias("uses"))
+    return laid.join(used, "own", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("own", "k")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: each gives a row of its words that are taken, and one more of those that are taken again.
 
-    Runs of taken words keep the white space between them; runs are joined by one space. Documents without words go."""
-    used = mix(tk.only(docs, doc_id="bigint", text="string", source="string")).where("taken > 0")
-    used = used.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("id__"), F.col("th").alias("th__"), "begin", F.transform("uses", lambda u: u.block).alias("b__"), F.transform("uses", lambda u: u.times).alias("t__"))
+    Runs of taken words keep the white space between them; runs are joined by one space. Documents without words go.
+    Rows have a number of their own, so rows that repeat a doc_id or all their columns are mixed each for itself, and
+    keep their other columns, whatever they are called."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    src = docs.join(used, F.col("doc_id").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("th__"))).select(F.col("text").alias("text__"), "begin", "b__", "t__", *rest)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.struct(*rest).alias("row__"), F.monotonically_increasing_id().alias("row"))
+    own = tk.stored(own, "rows")
+    used = mix(own.drop("row__")).where("taken > 0").select("row", "begin", F.transform("uses", lambda u: u.block).alias("b__"), F.transform("uses", lambda u: u.times).alias("t__"))
+    src = own.join(used, "row").select("text", "begin", "b__", "t__", "row__")
 
     def run(batch):
         data, offsets = tk.string_buffer(batch.column(0))
@@ -184,13 +218,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 row.append(i)
                 texts.append(" ".join(parts))
         at = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[4:]], pa.array(texts, pa.string())], [*batch.schema.names[4:], "text"])
+        return pa.RecordBatch.from_arrays([batch.column(4).take(at), pa.array(texts, pa.string())], ["row__", "text"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[4:])
-    out = tk.per_batch(src, run, f"{fields}, text string", text="text__")
+    out = tk.per_batch(src, run, f"row__ {src.schema['row__'].dataType.simpleString()}, text string")
+    put = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        put["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(put[c] if c in put else F.col("row__").getField(c)).alias(c) for c in docs.columns])
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
