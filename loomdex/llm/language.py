@@ -161,12 +161,13 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], key: str = "doc_id"
 
     def run(batch):
         lang, score, near, size = predict_text(batch.column(0).to_pylist(), names, matrix, unit)
-        rest = [batch.column(i) for i in range(1, batch.num_columns)]
-        return pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.float64()), pa.array(size, pa.int64())], [*batch.schema.names[1:], "lang_pred", "score", "near__", "grams__"])
+        rest = batch.columns[first:]
+        return pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.float64()), pa.array(size, pa.int64())], [*batch.schema.names[first:], "lang_pred", "score", "near__", "grams__"])
 
-    src = docs.select(F.col(text).alias("text__"), F.col(key), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return tk.per_batch(src, run, f"{fields}, lang_pred string, score double, near__ double, grams__ long", limit=1 << 20, text="text__")
+    first = 0 if text in keep else 1  # a kept text crosses to Python once
+    src = docs.select(text, key, *[c for c in keep if c != text])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[first:])
+    return tk.per_batch(src, run, f"{fields}, lang_pred string, score double, near__ double, grams__ long", limit=1 << 20, text=text)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +206,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     protos = prototypes(train)
     # figures only: texts are scored again below, which costs less memory and disk than to store them
     told = tk.stored(identify(train, protos, keep=("lang",)).select("lang", "lang_pred", "near__", "grams__"), "told")
-    found = identify(docs, protos, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    own = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[c for c in docs.columns if c != "text"]).alias("row__"))
+    found = identify(own, protos, key="row__", keep=("text",))
     kept = found.where("lang_pred <> 'und'").withColumn("band", band()).join(F.broadcast(cuts(told, list(protos))), ["lang_pred", "band"])
     tk.discard(told)
-    return kept.where("near__ >= cut - 1e-6").select(*docs.columns)
+    return kept.where("near__ >= cut - 1e-6").select(*[(F.col("text") if c == "text" else F.col("row__").getField(c)).alias(c) for c in docs.columns])
