@@ -12,7 +12,7 @@ A batch costs one step per bucket taken, so very long pre-tokens cost no more
 per byte than short ones.
 
 Encodings of text segments (a space and what follows up to the next space) are
-memoised up to ``MEMO`` entries per worker. Null and empty texts have no
+memoised up to ``MEMO`` entries, for one task. Null and empty texts have no
 tokens. Texts are read whole. Repeated rows give repeated results; extra
 columns are ignored; an empty table gives an empty result. A byte without a
 rank in the vocabulary is an error.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 
-MEMO = 300_000
+MEMO = 150_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -234,7 +234,7 @@ def encoded(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
     src = docs.select(F.col(text).cast("string").alias("text__"), key, *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[1:])
-    return tk.per_batch(src, run, f"{fields}, {out}", text="text__", limit=8 << 20)
+    return tk.per_batch(src, run, f"{fields}, {out}", text="text__", limit=2 << 20, end=lambda: load(path or public_tokenizers.path(VOCABULARY)).memo.clear())
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,6 +182,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
                 yield rows(h[part], n[part], True)
         some = seen.n > 1
         yield rows(seen.hash[some], seen.n[some], False)
+        tk.trim()
 
     def rows(h, n, exact):
         return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(h), exact))], ["h", "n", "exact"])
@@ -236,6 +237,7 @@ def keys(docs: DataFrame, frequent_hash: np.ndarray, frequent_n: np.ndarray, lig
                 out = emit(Sets(batch.column(0).slice(a, b - a)), heavy, seen)
                 if len(out):
                     yield out
+        tk.trim()
 
     def emit(s: Sets, heavy: tuple[np.ndarray, np.ndarray], seen: set[int]):
         new = np.zeros(len(s.size), bool)

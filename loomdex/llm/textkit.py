@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -124,10 +125,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's shared checkpoint folder; a folder of our own only in local mode where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
     if not os.environ.get("LOOMDEX_SHARED"):
         os.environ["LOOMDEX_SHARED"] = "file://" + tempfile.mkdtemp(prefix="loomdex-shared-")
     return os.environ["LOOMDEX_SHARED"]
@@ -169,8 +172,16 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def per_batch(df: DataFrame, fn, schema: str, limit: int = 4 << 20, text: str = "text") -> DataFrame:
-    """``fn(pa.Table of at most ``limit`` text bytes or one row) -> pa.Table | dict`` over all rows."""
+def trim() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on, and the next stage's tasks need it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def per_batch(df: DataFrame, fn, schema: str, limit: int = 4 << 20, text: str = "text", end=None) -> DataFrame:
+    """``fn(pa.Table of at most ``limit`` text bytes or one row) -> pa.Table | dict`` over all rows; ``end()`` after a task's last."""
 
     def run(batches):
         for batch in batches:
@@ -179,5 +190,8 @@ def per_batch(df: DataFrame, fn, schema: str, limit: int = 4 << 20, text: str =
                 out = fn(batch.slice(a, b - a))
                 if out is not None and len(out):
                     yield out
+        if end:
+            end()
+        trim()
 
     return df.mapInArrow(run, schema)
