@@ -175,7 +175,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         seen = Summary()
         for batch in batches:
             offsets = tk.string_buffer(batch.column(0))[1]
-            for a, b in tk.slices(offsets, 2 << 20):
+            for a, b in tk.slices(offsets, 1 << 20):
                 h, n = np.unique(Sets(batch.column(0).slice(a, b - a)).hash, return_counts=True)
                 seen.add(h, n)
                 part = h % np.uint64(SHARE) == 0
@@ -233,7 +233,7 @@ def keys(docs: DataFrame, frequent_hash: np.ndarray, frequent_n: np.ndarray, lig
         seen: set[int] = set()
         for batch in batches:
             offsets = tk.string_buffer(batch.column(0))[1]
-            for a, b in tk.slices(offsets, 2 << 20):
+            for a, b in tk.slices(offsets, 1 << 20):
                 out = emit(Sets(batch.column(0).slice(a, b - a)), heavy, seen)
                 if len(out):
                     yield out

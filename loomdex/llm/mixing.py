@@ -184,7 +184,8 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, seed: int
     laid = laid.withColumn("own", F.monotonically_increasing_id())
     laid = tk.stored(laid.select("own", "row", "doc_id", "source", "size", "source_size", "target", "k", "begin"), "laid")
     touch = laid.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (begin + size - 1) div {block})")))
-    hit = touch.join(slots, ["k", "block"])
+    # Spark takes the size of what a range of shard numbers turns into for the range's own, so it would broadcast the slots
+    hit = touch.join(slots.hint("merge"), ["k", "block"])
     words = F.expr(f"least(begin + size, (block + 1) * {block}) - greatest(begin, block * {block})")
     used = hit.groupBy("own").agg(F.sum(words * F.col("times")).alias("taken"), F.collect_list(F.struct("block", "times")).alias("uses"))
     return laid.join(used, "own", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("own", "k")
