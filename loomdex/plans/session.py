@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the session sets none: texts of some KB each must fit in a worker's memory several times.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds the package to the session's Python files once, so executors need no copy of their own."""
+    """Adds the package to the session's Python files once, so executors need no copy of their own, and bounds Arrow batches."""
+    if spark.conf.get(_BATCH[0], None) in (None, "10000"):
+        spark.conf.set(*_BATCH)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parents[2]

@@ -40,6 +40,35 @@ def test_chunks_keep_all_words_and_sizes():
     assert "".join("".join(out).split()) == "".join(text.split())
 
 
+def test_runs_fill_their_room():
+    import random
+
+    r = random.Random(1)
+    for _ in range(200):
+        n, room, joint = [r.randrange(1, 30) for _ in range(r.randrange(12))], r.randrange(1, 60), r.randrange(3)
+        got = [n[s] for s in K.runs(n, room, joint)]
+        assert sum(got, []) == n
+        size = lambda x: sum(x) + joint * (len(x) - 1)
+        assert all(size(x) <= room or len(x) == 1 for x in got)
+        assert all(size([*x, y[0]]) > room for x, y in zip(got, got[1:]))
+
+
+def test_chunks_golden():
+    text = "One two three. Four five six. Seven eight nine ten.\n\nShort.\n\n" + "x" * 45 + "\n\nEnd."
+    assert K.chunks(text, 30, 0) == ['One two three. Four five six.', 'Seven eight nine ten.\n\nShort.', 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxx', 'xxxxxxxxxxxxxxx', 'End.']
+    assert K.chunks("a\n\nb", 30, 5) == ["a\n\nb"] and K.chunks("", 30, 5) == []
+
+
+def test_json_repair(spark):
+    import json
+
+    t = F.col("t")
+    mend = lambda x: one(spark, X.json_repair(t), t=x)
+    assert json.loads(mend("Here:\n```json\n{lang: 'en', \"tags\": ['a', 'b',], ok: true, n: 3,}\n``` done")) == {"lang": "en", "tags": ["a", "b"], "ok": True, "n": 3}
+    assert json.loads(mend('x {"a": "it\'s, fine: yes"} y')) == {"a": "it's, fine: yes"}
+    assert mend("nothing here") is None and mend("}{") is None
+
+
 def test_tables_and_code():
     table = "| a | b |\n|---|---|\n" + "".join(f"| {i} | {'x' * 20} |\n" for i in range(10))
     parts = K.split_table(table, 80)
