@@ -23,8 +23,8 @@ that is if they share at least ceil(3 (|A| + |B|) / 7) shingles.
    would join what is not joined yet, and after these are verified for all pairs of different components. No link
    between components is lost; long lists are cut into blocks, so that no task holds more than two.
 5. A pair goes no further if the parities of its shingles in bins (at least four to a shingle) differ in more bins than two sets that link can
-   differ in shingles: a proof, not an estimate, made before a pair becomes a row. What is left is verified on whole
-   sets of 64-bit shingles.
+   differ in shingles: a proof, not an estimate, made in few bins before a pair becomes a row and in more bins after.
+   What is left is verified on whole sets of 64-bit shingles.
 
 Null and empty texts have size 0 and are linked with nothing. Documents of
 equal text, repeated rows included, are in one component; documents without a
@@ -48,6 +48,8 @@ COUNTERS, FREQUENT, FREQUENT_FROM, SHARE = 1 << 16, 1_000_000, 4, 256
 MOST_BOUNDARY = 40
 #: Binary logarithm of the fewest and the most bins for parities.
 LEVELS = (9, 15)
+#: Bins to a shingle, and the logarithm of the most bins, of the parities that members of lists carry.
+NARROW = (2, 11)
 #: Rows of a block of a long list; a list up to SHORT long is scanned without joining what it finds.
 ROWS, SHORT = 4096, 24
 #: Most classes whose names are broadcast to find their texts; beyond it texts and names meet in a shuffle.
@@ -102,16 +104,22 @@ class Sets:
         return out
 
 
-def levels(n: np.ndarray) -> np.ndarray:
-    """Binary logarithm of the bins for sets of these sizes: at least 4 to a shingle, within ``LEVELS``."""
-    return np.clip(np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64), *LEVELS)
+def levels(n: np.ndarray, per: int = 4, most: int = LEVELS[1]) -> np.ndarray:
+    """Binary logarithm of the bins for sets of these sizes: at least ``per`` to a shingle, within bounds."""
+    return np.clip(np.ceil(np.log2(np.maximum(per * n, 1))).astype(np.int64), LEVELS[0], most)
+
+
+def narrowed(raw: list[bytes], n: np.ndarray) -> list[bytes]:
+    """Parities folded to the width that list members carry."""
+    width = 1 << levels(n, *NARROW) - 3
+    return [x if len(x) <= w else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, w), axis=0).tobytes() for x, w in zip(raw, width.tolist())]
 
 
 class Parities:
     """Parities of sets, compared pair by pair; the wider one of a pair is folded to the other's width."""
 
-    def __init__(self, raw: list[bytes], n: np.ndarray):
-        self.raw, self.n, self.level = raw, n, levels(n)
+    def __init__(self, raw: list[bytes], n: np.ndarray, *width: int):
+        self.raw, self.n, self.level = raw, n, levels(n, *width)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def table(self, e: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,13 +147,14 @@ class Parities:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), n, c (class), h1, h2, bits (parities) of each row."""
+    """doc_id, th (text hash), n, c (class), h1, h2, bits (parities) and narrow (the same in fewer bins) of each row."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits"])
+        bits = s.parities()
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(bits, pa.binary()), pa.array(narrowed(bits, s.size), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits", "narrow"])
 
-    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary", 2 << 20)
+    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary, narrow binary", 2 << 20)
 
 
 class Summary:
@@ -374,7 +383,7 @@ def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> D
     several = parts.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all")).where("top.k < all")
     several = several.select("key", F.col("top.component").alias("main"), F.expr(f"cast(ceil(top.k / {ROWS}) as int) as nm"), F.expr(f"cast(ceil((all - top.k) / {ROWS}) as int) as nr"))
     rows = owned.join(several, "key").withColumn("own", F.col("component") == F.col("main")).withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("own"), F.col("nm")).otherwise(F.col("nr"))).cast("int"))
-    rows = rows.join(reps.select("c", "bits"), "c")
+    rows = rows.join(reps.select("c", F.col("narrow").alias("bits")), "c")
     with_rest = "transform(sequence(0, nr - 1), r -> named_struct('kind', 0, 'i', block, 'j', r))"
     with_own = "transform(sequence(0, nm - 1), m -> named_struct('kind', 0, 'i', m, 'j', block))"
     others = "transform(filter(sequence(0, nr - 1), r -> r <> block), r -> named_struct('kind', 1, 'i', least(block, r), 'j', greatest(block, r)))"
@@ -403,7 +412,7 @@ def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> D
         t = pa.Table.from_batches(held).combine_chunks()
         key, kind, i, j, c, n, idx, comp_, own, block = (t.column(k).to_numpy() for k in range(10))
         n = n.astype(np.int64)
-        sets = Parities(t.column(10).to_pylist(), n)
+        sets = Parities(t.column(10).to_pylist(), n, *NARROW)
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         size = np.diff(np.append(start, len(key)))
 
@@ -451,7 +460,7 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     told = tk.stored(described(docs), "told")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    reps = tk.stored(told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(first, F.min("bits").alias("bits")).select("n", "h1", "h2", "c", F.col("first.doc_id").alias("rep"), "first.th", "bits"), "reps")
+    reps = tk.stored(told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(first, F.min("bits").alias("bits"), F.min("narrow").alias("narrow")).select("n", "h1", "h2", "c", F.col("first.doc_id").alias("rep"), "first.th", "bits", "narrow"), "reps")
     late, rank, length = frequent(docs)
     hist = {int(r.n): int(r.k) for r in reps.where(f"n <= {2 * MOST_BOUNDARY}").groupBy("n").agg(F.count("*").alias("k")).collect()}
     raw = tk.stored(lists_of(keys(docs, late, rank, boundary(hist, length))), "raw")
@@ -465,7 +474,7 @@ def joined(docs: DataFrame) -> DataFrame:
     links = verified(docs, reps, done)
     comp = components(links)
     for every in (False, True):
-        pairs = tk.stored(across(lists, comp, reps, every).join(done, ["a", "b"], "left_anti"), "pairs")
+        pairs = tk.stored(possible(across(lists, comp, reps, every).join(done, ["a", "b"], "left_anti"), reps), "pairs")
         if pairs.limit(1).count():
             links = links.union(verified(docs, reps, pairs))
             comp = components(links)
