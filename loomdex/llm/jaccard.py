@@ -23,7 +23,8 @@ that is if they share at least ceil(3 (|A| + |B|) / 7) shingles.
    would join what is not joined yet, and after these are verified for all pairs of different components. No link
    between components is lost; long lists are cut into blocks, so that no task holds more than two.
 5. A pair goes no further if the parities of its shingles in bins (at least four to a shingle) differ in more bins than two sets that link can
-   differ in shingles: a proof, not an estimate, made in few bins before a pair becomes a row and in more bins after.
+   differ in shingles: a proof, not an estimate, made in few bins first, for all but the first pairs before they become rows,
+   and then, once for each pair, in more bins.
    What is left is verified on whole sets of 64-bit shingles.
 
 Null and empty texts have size 0 and are linked with nothing. Documents of
@@ -147,14 +148,25 @@ class Parities:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), n, c (class), h1, h2, bits (parities) and narrow (the same in fewer bins) of each row."""
+    """doc_id, th (text hash), n, c (class), h1, h2 and bits (parities) of each row."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        bits = s.parities()
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(bits, pa.binary()), pa.array(narrowed(bits, s.size), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits", "narrow"])
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits"])
 
-    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary, narrow binary", 2 << 20)
+    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary", 1 << 20)
+
+
+def with_narrow(classes: DataFrame) -> DataFrame:
+    """(rep, th, n, c, h1, h2, bits) of classes with their parities in fewer bins as ``narrow``."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                narrow = narrowed(batch.column(6).to_pylist(), batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(narrow, pa.binary())], [*batch.schema.names, "narrow"])
+
+    return classes.select("rep", "th", "n", "c", "h1", "h2", "bits").mapInArrow(run, "rep long, th long, n long, c long, h1 long, h2 long, bits binary, narrow binary")
 
 
 class Summary:
@@ -318,21 +330,29 @@ def lists_of(rows: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "key long, c long, n int, idx boolean")
 
 
-def possible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes, smaller one first, whose parities allow a link."""
+def possible(pairs: DataFrame, reps: DataFrame, bits: str) -> DataFrame:
+    """The pairs (a, b) of classes, smaller one first, whose parities in the column ``bits`` allow a link."""
+    width = NARROW if bits == "narrow" else ()
 
     def run(batches):
         for batch in batches:
             k = batch.num_rows
             if k:
-                sets = Parities(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.concatenate([batch.column(i).to_numpy() for i in (4, 5)]))
+                sets = Parities(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.concatenate([batch.column(i).to_numpy() for i in (4, 5)]), *width)
                 keep = sets.may_link(np.arange(k), k + np.arange(k))
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
-    x = pairs.join(reps.select(F.col("c").alias("a"), F.col("bits").alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("c").alias("b"), F.col("bits").alias("y"), F.col("n").alias("n")), "b")
+    x = pairs.join(reps.select(F.col("c").alias("a"), F.col(bits).alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("c").alias("b"), F.col(bits).alias("y"), F.col("n").alias("n")), "b")
     return x.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
 
 
+def tested(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs of the stored table ``pairs`` that the wide parities allow; only sets of these pairs are moved."""
+    ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    some = reps.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "c", "left_semi")
+    return tk.stored(possible(pairs, some, "bits"), "pairs")
+
+
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, of stored pairs."""
     wanted = tk.stored(reps.join(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "c").select("c", F.col("rep").alias("id__"), "th"), "wanted")
@@ -370,7 +390,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         out = pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.hash.astype(np.int64)))], ["c", "set"])
         return out.filter(pa.array(s.cls == batch.column(1).to_numpy()))
 
-    return tk.per_batch(docs.select("text", "c"), run, "c long, set array<long>", 2 << 20)
+    return tk.per_batch(docs.select("text", "c"), run, "c long, set array<long>", 1 << 20)
 
 
 def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
@@ -460,7 +480,8 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     told = tk.stored(described(docs), "told")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    reps = tk.stored(told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(first, F.min("bits").alias("bits"), F.min("narrow").alias("narrow")).select("n", "h1", "h2", "c", F.col("first.doc_id").alias("rep"), "first.th", "bits", "narrow"), "reps")
+    classes = told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(first, F.min("bits").alias("bits"))
+    reps = tk.stored(with_narrow(classes.select("n", "h1", "h2", "c", F.col("first.doc_id").alias("rep"), "first.th", "bits")), "reps")
     late, rank, length = frequent(docs)
     hist = {int(r.n): int(r.k) for r in reps.where(f"n <= {2 * MOST_BOUNDARY}").groupBy("n").agg(F.count("*").alias("k")).collect()}
     raw = tk.stored(lists_of(keys(docs, late, rank, boundary(hist, length))), "raw")
@@ -470,15 +491,20 @@ def joined(docs: DataFrame) -> DataFrame:
     tk.discard(raw)
     least = lists.groupBy("key", "band").agg(F.min(F.struct("n", "c")).alias("least"))
     star = lists.join(least, ["key", "band"]).where("least.c <> c").select(F.col("least.c").alias("a"), F.col("c").alias("b")).distinct()
-    done = tk.stored(possible(star, reps).distinct(), "pairs")
-    links = verified(docs, reps, done)
+    done = tk.stored(possible(star, reps, "narrow"), "near")
+    used = [lists, done, tested(done, reps)]
+    links = verified(docs, reps, used[-1])
     comp = components(links)
     for every in (False, True):
-        pairs = tk.stored(possible(across(lists, comp, reps, every).join(done, ["a", "b"], "left_anti"), reps), "pairs")
+        near = tk.stored(across(lists, comp, reps, every).join(done, ["a", "b"], "left_anti"), "near")
+        pairs = tested(near, reps)
         if pairs.limit(1).count():
-            links = links.union(verified(docs, reps, pairs))
+            used.append(links)
+            links = tk.stored(links.union(verified(docs, reps, pairs)), "links")
             comp = components(links)
-        done = done.union(pairs)
+        used += [near, pairs]
+        done = done.union(near)
+    tk.discard(*used, links)
     # components name classes; a component's least doc_id is its name
     by_class = reps.join(comp.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     names = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
