@@ -47,10 +47,11 @@ K = 5
 #: Counters of a task's summary; shingles of the broadcast order, at most; least count to be in it; share of all shingles whose counts are exact.
 COUNTERS, FREQUENT, FREQUENT_FROM, SHARE = 1 << 16, 1_000_000, 4, 256
 MOST_BOUNDARY = 40
-#: Binary logarithm of the fewest and the most bins for parities.
-LEVELS = (9, 15)
-#: Bins to a shingle, and the logarithm of the most bins, of the parities that members of lists carry.
-NARROW = (2, 11)
+#: Fewest bins to a shingle for parities, and binary logarithm of the fewest and the most bins. With d the difference of two
+#: sets over their size, 2 bins rule a pair out from d of about 0.34, 4 bins from 0.31; sets that link have at most 0.29.
+PER, LEVELS = 2, (9, 15)
+#: The same for the parities that members of lists carry: sets of up to 1024 shingles have no wider ones.
+NARROW = (PER, 11)
 #: Rows of a block of a long list; a list up to SHORT long is scanned without joining what it finds.
 ROWS, SHORT = 4096, 24
 #: Most classes whose names are broadcast to find their texts; beyond it texts and names meet in a shuffle.
@@ -105,7 +106,7 @@ class Sets:
         return out
 
 
-def levels(n: np.ndarray, per: int = 4, most: int = LEVELS[1]) -> np.ndarray:
+def levels(n: np.ndarray, per: int = PER, most: int = LEVELS[1]) -> np.ndarray:
     """Binary logarithm of the bins for sets of these sizes: at least ``per`` to a shingle, within bounds."""
     return np.clip(np.ceil(np.log2(np.maximum(per * n, 1))).astype(np.int64), LEVELS[0], most)
 
@@ -330,8 +331,13 @@ def lists_of(rows: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "key long, c long, n int, idx boolean")
 
 
+def wider(n: np.ndarray) -> pa.Array:
+    """Whether sets of these sizes have wider parities than members of lists carry."""
+    return pa.array(levels(n) > NARROW[1])
+
+
 def possible(pairs: DataFrame, reps: DataFrame, bits: str) -> DataFrame:
-    """The pairs (a, b) of classes, smaller one first, whose parities in the column ``bits`` allow a link."""
+    """The pairs (a, b, wide) of classes, smaller one first, whose parities in the column ``bits`` allow a link; wide: a has wider ones."""
     width = NARROW if bits == "narrow" else ()
 
     def run(batches):
@@ -340,17 +346,18 @@ def possible(pairs: DataFrame, reps: DataFrame, bits: str) -> DataFrame:
             if k:
                 sets = Parities(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.concatenate([batch.column(i).to_numpy() for i in (4, 5)]), *width)
                 keep = sets.may_link(np.arange(k), k + np.arange(k))
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wider(sets.n[:k])], ["a", "b", "wide"]).filter(pa.array(keep))
 
     x = pairs.join(reps.select(F.col("c").alias("a"), F.col(bits).alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("c").alias("b"), F.col(bits).alias("y"), F.col("n").alias("n")), "b")
-    return x.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long")
+    return x.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long, wide boolean")
 
 
 def tested(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs of the stored table ``pairs`` that the wide parities allow; only sets of these pairs are moved."""
-    ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    """The pairs (a, b) of the stored table ``pairs`` that the wide parities allow; only sets of pairs that have any are moved."""
+    wide = pairs.where("wide")
+    ids = wide.select(F.col("a").alias("c")).union(wide.select("b")).distinct()
     some = reps.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "c", "left_semi")
-    return tk.stored(possible(pairs, some, "bits"), "pairs")
+    return tk.stored(possible(wide, some, "bits").union(pairs.where("not wide")).select("a", "b"), "pairs")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -394,7 +401,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b) of classes in a list and in different components that may link; unless ``every``, only as many as join what may be joined.
+    """Pairs (a, b, wide) of classes in a list and in different components that may link; unless ``every``, only as many as join what may be joined.
 
     The members of a list's largest component meet all others, not each other. A list of more than ``ROWS`` others, or
     of the largest component's, is cut into blocks by hash; each two blocks that must meet are a group of their own."""
@@ -471,9 +478,9 @@ def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> D
         if out:
             x, y = (np.concatenate(v) for v in zip(*out))
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(c[y])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(c[y]), wider(n[x])], ["a", "b", "wide"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, wide boolean").distinct()
 
 
 def joined(docs: DataFrame) -> DataFrame:
