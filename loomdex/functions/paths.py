@@ -14,6 +14,8 @@ PRIVATE_NETWORKS = (
 )
 SIZE_UNITS = {"b": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
 DURATION_UNITS = {"ms": 1, "s": 1000, "m": 60_000}
+# Fixed value: endings of documents.
+DOCUMENT_NAME = r"(?i)[.](pdf|md|markdown|txt|docx|odt|fodt)$"
 
 
 def file_type(path: Column) -> Column:
@@ -115,3 +117,18 @@ def download_type(url: Column, mime: Column, preview: Column) -> Column:
 def is_loopback(host: str) -> bool:
     h = host.strip("[]").lower()
     return h == "localhost" or h == "::1" or h.startswith("127.") and is_private(h)
+
+
+def url_filename(url: Column) -> Column:
+    """The last part of the URL's path, with .pdf unless it ends as a document does; null if it is no URL."""
+    name = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"([^/]*)/*$", 1)
+    return F.when(name.rlike(DOCUMENT_NAME), name).otherwise(F.concat(name, F.lit(".pdf")))
+
+
+def download_name(url: Column, kind: Column) -> Column:
+    """The file name a download of this type gets: the URL's name with the ending of the type, ``download`` if there is none."""
+    name = url_filename(url)
+    stem = F.coalesce(F.nullif(F.regexp_replace(name, DOCUMENT_NAME, ""), F.lit("")), F.lit("download"))
+    ending = F.lower(F.regexp_extract(name, r"[.][^.]*$", 0))
+    kept = F.when((kind == "markdown") & (ending == ".markdown"), ending).when((kind == "odt") & (ending == ".fodt"), ending)
+    return F.when(name.isNotNull(), F.concat(stem, F.coalesce(kept, F.when(kind == "markdown", ".md").otherwise(F.concat(F.lit("."), kind)))))

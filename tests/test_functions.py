@@ -148,3 +148,31 @@ def test_k_means_on_blobs(spark):
 def test_images(spark):
     i = spark.createDataFrame([(1, 0, "a", 10), (1, 1, "a", 10), (1, 2, "b", 2000), (1, 3, "c", 10)], "doc_id int, seq int, hash string, byte_size int")
     assert [r.hash for r in L.cap_images(i, 1000, 1).collect()] == ["a"]
+
+
+def test_with_section(spark):
+    col = X.with_section(F.lit("text"), F.col("above"), F.col("own"))
+    assert one(spark, col, above=["A", "B"], own="B") == "# A > B\n\ntext"
+    assert one(spark, col, above=[""], own="B") == "# B\n\ntext"
+    assert one(spark, col, above=[""], own="") == "text"
+
+
+def test_download_name(spark):
+    col = P.download_name(F.col("url"), F.col("kind"))
+    name = lambda url, kind: one(spark, col, url=url, kind=kind)
+    assert name("https://a.org/x/paper.pdf?v=1", "pdf") == "paper.pdf"
+    assert name("https://a.org/x/paper", "markdown") == "paper.md"
+    assert name("https://a.org/notes.MARKDOWN", "markdown") == "notes.markdown"
+    assert name("https://a.org/flat.fodt", "odt") == "flat.fodt"
+    assert name("https://a.org/flat.txt", "odt") == "flat.odt"
+    assert name("https://a.org/", "docx") == "download.docx"
+    assert name(None, "pdf") is None
+
+
+@pytest.mark.parametrize(
+    "rows, usable",
+    [([["a", "b"], ["c", "d"]], True), ([["a", "b"], ["c", " "]], False), ([["a"], ["b"], ["c"], ["d"]], False), ([["a", "b", "c", "d"], [""]], False), ([], False)],
+)
+def test_usable_table(spark, rows, usable):
+    df = spark.createDataFrame([(rows,)], "t array<array<string>>")
+    assert df.select(X.usable_table(F.col("t"))).first()[0] is usable
