@@ -18,6 +18,9 @@ QUERIES = {
     "op8_suffix_dedup": "suffixes",
     "op9_toxicity": "toxicity",
     "op10_source_mixing": "mixing",
+    "op11_weighted_shards": "sharding",
+    "op12_spelling_variants": "spelling",
+    "op13_periodic_runs": "periodic",
 }
 
 
