@@ -6,6 +6,8 @@ where it is the feature. ``@query(sql)`` registers the function below it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from .operators import clustering as C
 from .operators import library as L
 from .operators import retrieval as R
 from .operators import taxonomy as G
+from .operators.fulltext import TextIndex
+from .plans.session import fingerprint, shared_dir
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -104,15 +108,24 @@ def embedding_validity(spark, sf_dir):
 
 # ---- full text -----------------------------------------------------------------------------------------------------
 
-_FTS = """toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM documents WHERE lang = 'en'),
+_FTS = """toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM documents),
 measured AS (SELECT doc_id, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'to' AND t[i + 1] = 'the')) AS tf FROM toks),
 corpus AS (SELECT count(*) AS n_rows, avg(dl) AS avgdl, count(*) FILTER (WHERE tf > 0) AS df FROM measured),
 hits AS (SELECT m.doc_id, round(-(CASE WHEN ln((c.n_rows - c.df + 0.5) / (c.df + 0.5)) <= 0 THEN 1e-6 ELSE ln((c.n_rows - c.df + 0.5) / (c.df + 0.5)) END
   * (m.tf * 2.2 / (m.tf + 1.2 * (0.25 + 0.75 * m.dl / c.avgdl)))), 6) AS bm25_rank FROM measured m, corpus c WHERE m.tf > 0)"""
 
 
+def _index(spark, sf_dir, name: str, rows) -> TextIndex:
+    """The index of a table, built where there is none of these files yet in the shared folder; ``rows()``: key, text."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/loomdex-index/{name}-{fingerprint(spark, f'{sf_dir}/documents.parquet')}")
+    if not index.store.latest().number:
+        index.put(rows())
+    return index
+
+
 def _fts(spark, sf_dir):
-    return R.fts_phrase(T.documents(spark, sf_dir).where("lang = 'en'").select("doc_id", "text", "tags"), "text", PHRASE)
+    hits = _index(spark, sf_dir, "documents", lambda: T.documents(spark, sf_dir).select(F.col("doc_id").alias("key"), "text")).search(PHRASE)
+    return hits.withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {_FTS} SELECT doc_id, bm25_rank FROM hits ORDER BY bm25_rank, doc_id LIMIT 30")
@@ -120,15 +133,16 @@ def fts_phrase_bm25(spark, sf_dir):
     return _fts(spark, sf_dir).orderBy("bm25_rank", "doc_id").limit(30).select("doc_id", "bm25_rank")
 
 
-@query()
+@query(f"WITH {_FTS} SELECT doc_id, bm25_rank FROM hits")
 def fts_phrase_all(spark, sf_dir):
-    """The phrase over every document: corpus figures of the whole table, no cut."""
-    return R.fts_phrase(T.documents(spark, sf_dir).select("doc_id", "text"), "text", PHRASE).select("doc_id", "bm25_rank")
+    """The phrase over every document, no cut."""
+    return _fts(spark, sf_dir).select("doc_id", "bm25_rank")
 
 
 @query(f"WITH {_FTS} SELECT h.doc_id, h.bm25_rank FROM hits h JOIN documents d USING (doc_id) WHERE d.source IN ('src1', 'src2', 'src3', 'src4') ORDER BY bm25_rank, doc_id LIMIT 10")
 def fts_phrase_tags(spark, sf_dir):
-    return L.by_tag(_fts(spark, sf_dir), "src1", "src2", "src3", "src4").orderBy("bm25_rank", "doc_id").limit(10).select("doc_id", "bm25_rank")
+    tagged = L.by_tag(T.documents(spark, sf_dir).select("doc_id", "tags"), "src1", "src2", "src3", "src4")
+    return _fts(spark, sf_dir).join(tagged, "doc_id").orderBy("bm25_rank", "doc_id").limit(10).select("doc_id", "bm25_rank")
 
 
 @query(f"WITH {_FTS} SELECT doc_id, round(abs(bm25_rank) / (1 + abs(bm25_rank)), 6) AS score FROM hits")
@@ -136,6 +150,23 @@ def fts_score_normalised(spark, sf_dir):
     return _fts(spark, sf_dir).select("doc_id", "score")
 
 
+_CHANGED = "now AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'To the point, ' || text || ' to the end' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 3 UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations)"
+
+
+@query(f"WITH {_CHANGED}, {_FTS.replace('FROM documents)', 'FROM now)')} SELECT doc_id, bm25_rank FROM hits")
+def fts_after_changes(spark, sf_dir):
+    """An index that saw updates, deletions and inserts as further segments, and then a compaction of all but the last."""
+    d = T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    index = TextIndex(spark, f"{shared_dir(spark)}/loomdex-index/changed-{uuid.uuid4().hex}")
+    index.put(d)
+    index.put(d.where("key % 7 = 0").withColumn("text", F.concat(F.lit("To the point, "), "text", F.lit(" to the end"))))
+    index.remove(d.where("key % 5 = 3").select("key"))
+    index.compact()
+    more = T.read(spark, sf_dir, "conversations")
+    index.put(more.select((1000000 + F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("key"), "text"))
+    return index.search(PHRASE).select(F.col("key").alias("doc_id"), "bm25_rank")
+
+
 _HYBRID = f"""{T.SQL['vecs']}, {_SCORED}, {_FTS},
 vec_hits AS (SELECT vec_id AS doc_id, score FROM scored ORDER BY score DESC, vec_id LIMIT 200),
 text_hits AS (SELECT doc_id, round(abs(bm25_rank) / (1 + abs(bm25_rank)), 6) AS score FROM hits ORDER BY bm25_rank, doc_id LIMIT 30),

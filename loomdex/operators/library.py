@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: What a refresh may set; title, path, tags and time of addition stay.
+REFRESH = ("page_count", "size_bytes", "file_type", "source_hash_algorithm", "source_hash")
+
+
 def stats(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame | None) -> DataFrame:
     """One row: how many documents, chunks, embeddings (0 without that table)."""
     n = documents.agg(F.count("*").alias("documents")).join(chunks.agg(F.count("*").alias("chunks")), F.lit(True))
@@ -74,11 +78,26 @@ def delete_documents(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str,
     return out
 
 
-def refresh(documents: DataFrame, new: DataFrame) -> DataFrame:
-    """New sizes, types and hashes by doc_id; title, path and tags stay."""
-    n = new.select("doc_id", *[F.col(c).alias(f"__{c}") for c in new.columns if c != "doc_id"])
-    out = documents.join(n, "doc_id", "left")
-    put = {c: F.coalesce(f"__{c}", c) for c in new.columns if c != "doc_id"}
+def json_put(text, **values):
+    """A JSON object with some of its fields set to JSON values, and the others as they are whatever they nest; null and what is no
+    object count as the empty object, a null value puts a JSON null."""
+    fields = F.coalesce(F.try_parse_json(text).try_cast("map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    kept = F.map_filter(fields, lambda k, _: ~k.isin(*values))
+    put = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.coalesce(F.try_parse_json(v), F.parse_json(F.lit("null"))))])
+    return F.to_json(F.to_variant_object(F.map_concat(kept, put)))
+
+
+def refresh(documents: DataFrame, new: DataFrame, metadata: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """Documents with what ``new`` gives of the fields a refresh sets, nulls included; all other fields, and documents that ``new``
+    does not have, stay. Of the metadata only the named JSON fields are set, to null where ``new`` has none."""
+    fields = [c for c in REFRESH if c in new.columns and c in documents.columns]
+    given = new.select(key, F.lit(True).alias("__given"), *[F.col(c).alias(f"__{c}") for c in (*fields, *(("metadata",) if metadata else ()))])
+    out = documents.join(given, key, "left")
+    put = {c: F.when(F.col("__given"), F.col(f"__{c}")).otherwise(F.col(c)) for c in fields}
+    if metadata:
+        theirs = F.try_parse_json("__metadata")
+        values = {m: F.to_json(F.try_variant_get(theirs, f"$.{m}", "variant")) for m in metadata}
+        put["metadata"] = F.when(F.col("__given"), json_put(F.col("metadata"), **values)).otherwise(F.col("metadata"))
     return out.withColumns(put).select(*documents.columns)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .operators import library as L
+from .storage import Change, Store, Version
 
 
 def envelope_column(command: Column, result: Column) -> Column:
@@ -47,53 +48,142 @@ def redact(value: Any) -> Any:
     return [redact(v) for v in value] if isinstance(value, list) else value
 
 
-class Library:
-    """Tables of a knowledge base, a new snapshot for each change.
+#: The key by which rows of each table are replaced or removed.
+KEYS = {
+    "documents": "id",
+    "chunks": "doc_id",
+    "embeddings": "chunk_id",
+    "concepts": "id",
+    "concept_hierarchy": "concept_id",
+    "concept_relations": "concept_id",
+    "document_concepts": "doc_id",
+    "concept_embeddings": "concept_id",
+    "chunk_clusters": "chunk_id",
+    "cluster_summaries": "id",
+    "library_metadata": "key",
+}
+#: Metadata that a refresh sets; the rest of a document's metadata stays.
+REFRESHED = ("chunker", "visuals")
+
+
+class NotFound(LookupError):
+    """No document has that id or title."""
+
 
-    A snapshot is a folder of Parquet tables; ``CURRENT`` names it and is replaced in one step, so readers see all of a
-    change or none of it. Tables that a change does not touch are taken over by reference.
-    """
+class Exists(ValueError):
+    """A document that was to be added is there."""
+
+
+class Library:
+    """Tables of a knowledge base in a ``Store``: each change is atomic, and writers that do not touch the same rows do not wait for
+    each other."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _read(self, path: str) -> str | None:
-        p = self._path(path)
-        if not self._fs.exists(p):
-            return None
-        return self.spark.read.text(path, wholetext=True).first()[0]
-
-    def _manifest(self) -> dict[str, str]:
-        name = self._read(f"{self.root}/CURRENT")
-        return json.loads(self._read(f"{self.root}/{name.strip()}.json")) if name else {}
-
-    def table(self, name: str) -> DataFrame:
-        at = self._manifest().get(name)
-        return schemas.migrate(self.spark.read.parquet(at), name) if at else schemas.empty(self.spark, name)
-
-    def commit(self, **tables: DataFrame) -> None:
-        """All given tables change together."""
-        version = uuid.uuid4().hex
-        manifest = self._manifest()
+        self.spark, self.store = spark, Store(spark, root, KEYS)
+
+    def table(self, name: str, at: Version | None = None) -> DataFrame:
+        rows = self.store.read(name, at, lambda df: schemas.migrate(df, name))
+        return schemas.empty(self.spark, name) if rows is None else rows
+
+    def _seen(self, change: Change, name: str, keys: DataFrame) -> DataFrame:
+        rows = change.rows(name, keys, lambda df: schemas.migrate(df, name))
+        return schemas.empty(self.spark, name) if rows is None else rows
+
+    def commit(self, since: Version | None = None, **tables: DataFrame) -> Version:
+        """All given tables are replaced together; a ``Conflict`` if one of them changed after the version ``since``."""
         for name, df in tables.items():
             schemas.verify(df, name)
-            manifest[name] = f"{self.root}/data/{name}-{version}"
-            df.write.parquet(manifest[name])
-        self._write(f"{self.root}/{version}.json", json.dumps(manifest))
-        self._write(f"{self.root}/CURRENT.{version}", version)
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._path(f"{self.root}/CURRENT.{version}"), self._path(f"{self.root}/CURRENT"), options)
-
-    def _write(self, path: str, text: str) -> None:
-        out = self._fs.create(self._path(path), True)
-        out.write(text.encode())
-        out.close()
+        change = Change(self.store, since) if since else self.store.begin()
+        for name, df in tables.items():
+            change.replace(name, df.select(*schemas.schema(name).names))
+        return change.commit()
+
+    def replace_documents(self, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, mode: str = "add", source: tuple[str, int] | None = None) -> Version:
+        """Documents with all their chunks and embeddings, in one step.
+
+        ``add``: none of the documents may be there (``Exists``). ``refresh``: those that are not there are left out, with
+        their chunks; size, pages, type and source hash become those given, nulls included, in metadata only ``REFRESHED``
+        is set; title, path, tags and the time of addition stay. Either way old chunks go, with their embeddings.
+        ``source`` (name, batch) makes a batch count once however often it is sent.
+        """
+        if mode not in ("add", "refresh"):
+            raise ValueError(f"no such mode: {mode}")
+        for name, df in (("documents", documents), ("chunks", chunks), ("embeddings", embeddings)):
+            schemas.verify(df, name)
+
+        def step(change: Change) -> None:
+            if source:
+                change.once(*source)
+            ids = documents.select("id")
+            old = self._seen(change, "documents", ids)
+            if mode == "add":
+                if there := [r.id for r in old.select("id").limit(5).collect()]:
+                    raise Exists(f"already there: {', '.join(there)}")
+                new, mine, vectors = documents, chunks, embeddings
+            else:
+                new = L.refresh(old, documents, REFRESHED, key="id")
+                mine = chunks.join(old.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*chunks.columns)
+                vectors = embeddings.join(mine.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi").select(*embeddings.columns)
+            held = self._seen(change, "chunks", ids.toDF("doc_id"))
+            change.put("documents", new.select(*schemas.schema("documents").names))
+            change.put("chunks", mine.select(*schemas.schema("chunks").names), keys=ids.toDF("doc_id"))
+            change.put("embeddings", vectors.select(*schemas.schema("embeddings").names), keys=held.select("id").union(mine.select("id")).toDF("chunk_id"))
+            change.remove("chunk_clusters", held.select("id").toDF("chunk_id"))
+
+        return self.store.change(step)
+
+    def _found(self, change: Change, text: str) -> DataFrame:
+        rows = change.table("documents", lambda df: schemas.migrate(df, "documents"))
+        found = L.lookup(rows, text) if rows is not None else None
+        row = found.first() if found is not None else None
+        if row is None:
+            raise NotFound(f"no document: {text}")
+        return self.spark.createDataFrame([row], schemas.schema("documents"))
+
+    def remove(self, text: str) -> DataFrame:
+        """Removes the document of that id or title with all that hangs on it; gives its row as it was."""
+        kept: list[DataFrame] = []
+
+        def step(change: Change) -> None:
+            row = self._found(change, text)
+            ids = row.select("id")
+            held = self._seen(change, "chunks", ids.toDF("doc_id")).select("id")
+            change.remove("documents", ids)
+            for name, keys in (("chunks", ids), ("document_concepts", ids), ("embeddings", held), ("chunk_clusters", held)):
+                change.remove(name, keys)
+            kept[:] = [row]
+
+        self.store.change(step)
+        return kept[0]
+
+    def tag(self, text: str, tags: list[str]) -> DataFrame:
+        """Sets the tags of the document of that id or title; gives its row as it was."""
+        kept: list[DataFrame] = []
+
+        def step(change: Change) -> None:
+            row = self._found(change, text)
+            change.put("documents", row.withColumn("tags", F.array(*[F.lit(t) for t in tags]).cast("array<string>")))
+            kept[:] = [row]
+
+        self.store.change(step)
+        return kept[0]
+
+    def reindex(self, text: str, embedder) -> dict:
+        """Embeds all chunks of a document anew; its id, title, and how many chunks and embeddings."""
+        out: dict = {}
+
+        def step(change: Change) -> None:
+            row = self._found(change, text)
+            chunks = self._seen(change, "chunks", row.select("id").toDF("doc_id"))
+            vectors = embed(chunks, embedder)
+            change.put("embeddings", vectors)
+            n = chunks.count()
+            if not n:
+                raise NotFound(f"no chunks found for document {row.first().id}")
+            out.update(docId=row.first().id, title=row.first().title, chunks=n, embeddings=n)
+
+        self.store.change(step)
+        return out
 
 
 class HashingEmbedder:
