@@ -21,7 +21,10 @@ from .operators import library as L
 from .operators import retrieval as R
 from .operators import taxonomy as G
 from .operators.fulltext import TextIndex
+from .operators.vector_index import VectorIndex
 from .plans.session import fingerprint, shared_dir
+from .service import REFRESHED, Library
+from .storage import Change
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -200,6 +203,68 @@ def hybrid_with_clusters(spark, sf_dir):
     return _hybrid(spark, sf_dir).unionByName(best)
 
 
+_CHUNK_HITS = f"""ctoks AS (SELECT chunk_id, doc_id, page, chunk_index, list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda t: t <> '') AS t FROM chunks),
+cmeasured AS (SELECT chunk_id, doc_id, page, chunk_index, len(t) AS dl, len(list_filter(range(1, len(t)), lambda i: t[i] = 'to' AND t[i + 1] = 'the')) AS tf FROM ctoks),
+ccorpus AS (SELECT count(*) AS n_rows, avg(dl) AS avgdl, count(*) FILTER (WHERE tf > 0) AS df FROM cmeasured),
+cranked AS (SELECT m.*, round(-(CASE WHEN ln((c.n_rows - c.df + 0.5) / (c.df + 0.5)) <= 0 THEN 1e-6 ELSE ln((c.n_rows - c.df + 0.5) / (c.df + 0.5)) END * (m.tf * 2.2 / (m.tf + 1.2 * (0.25 + 0.75 * m.dl / c.avgdl)))), 6) AS r FROM cmeasured m, ccorpus c WHERE m.tf > 0),
+ctext AS (SELECT doc_id, page, chunk_index, round(abs(r) / (1 + abs(r)), 6) AS score FROM cranked ORDER BY r, doc_id, page, chunk_index LIMIT 30),
+cfirst AS (SELECT doc_id, page, min(chunk_index) AS chunk_index FROM chunks GROUP BY doc_id, page),
+cvec AS (SELECT c.doc_id, c.page, c.chunk_index, s.score FROM (SELECT vec_id, score FROM scored ORDER BY score DESC, vec_id LIMIT 200) s JOIN cfirst c ON c.doc_id = s.vec_id),
+cmerged AS (SELECT coalesce(v.doc_id, f.doc_id) AS doc_id, coalesce(v.page, f.page) AS page, coalesce(v.chunk_index, f.chunk_index) AS chunk_index,
+  round(CASE WHEN v.score IS NOT NULL AND f.score IS NOT NULL THEN least(1.0, greatest(v.score, f.score) * CAST(1.05 AS DOUBLE)) ELSE coalesce(v.score, f.score) END, 6) AS score,
+  CASE WHEN v.score IS NOT NULL AND f.score IS NOT NULL THEN 'hybrid' WHEN v.score IS NOT NULL THEN 'vector' ELSE 'fts' END AS match_type
+  FROM cvec v FULL JOIN ctext f ON v.doc_id = f.doc_id AND v.page = f.page AND v.chunk_index = f.chunk_index),
+cbest AS (SELECT * FROM cmerged ORDER BY score DESC, doc_id, page, chunk_index LIMIT 10)"""
+_AROUND = """o AS (SELECT doc_id, page, chunk_index, content, length(content) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY page, chunk_index) AS o FROM chunks WHERE doc_id IN (SELECT doc_id FROM cbest)),
+ot AS (SELECT o.* FROM o JOIN cbest USING (doc_id, page, chunk_index)),
+ob AS (SELECT * FROM (SELECT t.doc_id, t.o AS t, n.o, n.len, t.len + sum(n.len) OVER w + row_number() OVER w AS cum FROM ot t JOIN o n ON n.doc_id = t.doc_id AND n.o < t.o AND n.o >= t.o - 20 WINDOW w AS (PARTITION BY t.doc_id, t.o ORDER BY n.o DESC)) WHERE cum <= 1.2 * 700),
+obs AS (SELECT t.doc_id, t.o AS t, coalesce(min(ob.o), t.o) AS lo, coalesce(max(ob.cum), t.len) AS total FROM ot t LEFT JOIN ob ON ob.doc_id = t.doc_id AND ob.t = t.o GROUP BY t.doc_id, t.o, t.len),
+oa AS (SELECT * FROM (SELECT b.doc_id, b.t, n.o, b.total + sum(n.len) OVER w + row_number() OVER w AS cum FROM obs b JOIN o n ON n.doc_id = b.doc_id AND n.o > b.t AND n.o <= b.t + 20 WINDOW w AS (PARTITION BY b.doc_id, b.t ORDER BY n.o)) WHERE cum <= 1.2 * 700),
+oas AS (SELECT b.doc_id, b.t, b.lo, coalesce(max(oa.o), b.t) AS hi FROM obs b LEFT JOIN oa ON oa.doc_id = b.doc_id AND oa.t = b.t GROUP BY b.doc_id, b.t, b.lo),
+expanded AS (SELECT s.doc_id, ot.page, ot.chunk_index, string_agg(n.content, chr(10) ORDER BY n.o) AS content FROM oas s JOIN o n ON n.doc_id = s.doc_id AND n.o BETWEEN s.lo AND s.hi JOIN ot ON ot.doc_id = s.doc_id AND ot.o = s.t GROUP BY s.doc_id, ot.page, ot.chunk_index)"""
+
+
+@query(f"{T.with_sql('docs', 'chunks', 'vecs')}, {_SCORED}, {_CHUNK_HITS}, {_AROUND} SELECT CAST(b.doc_id AS VARCHAR) || '-' || CAST(b.chunk_index AS VARCHAR) AS chunk_id, b.doc_id, d.title, b.page, b.score, b.match_type, md5(e.content) AS content_md5, b.chunk_index AS place FROM cbest b JOIN docs d USING (doc_id) JOIN expanded e USING (doc_id, page, chunk_index)")
+def search_results(spark, sf_dir):
+    """Hybrid search over chunks to its end: lists merged by document, page and chunk, cut, expanded, projected."""
+    c = T.chunks(spark, sf_dir)
+    hits = _index(spark, sf_dir, "chunks", lambda: c.select(F.col("chunk_id").alias("key"), F.col("content").alias("text"))).search(PHRASE)
+    ids = F.split("key", "-")
+    text = hits.select(ids[0].cast("long").alias("doc_id"), F.lit(1).alias("page"), ids[1].cast("int").alias("chunk_index"), "bm25_rank", "score").orderBy("bm25_rank", *R.CHUNK).limit(30)
+    first = c.groupBy("doc_id", "page").agg(F.min("chunk_index").alias("chunk_index"))
+    vec = R.vector_top_k(T.embeddings(spark, sf_dir), _vector(spark, sf_dir), k=200).select(F.col("vec_id").alias("doc_id"), "score").join(first, "doc_id")
+    best = R.final_results(R.hybrid_merge(vec, text, R.CHUNK), c, T.documents(spark, sf_dir), 10, 700)
+    shown = R.project(best, 700, verbose=True)
+    return shown.select("chunk_id", "doc_id", "title", "page", "score", "match_type", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), F.col("diagnostics.chunk_index").alias("place"))
+
+
+_NEAREST = "nearest AS (SELECT q.vec_id AS query_id, a.vec_id, {0} AS score FROM vecs a, (SELECT vec_id, v FROM vecs WHERE vec_id % 100 = 0) q), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM nearest)".format(_COS)
+
+
+def _vector_index(spark, sf_dir) -> tuple[VectorIndex, DataFrame]:
+    v = T.embeddings(spark, sf_dir)
+    index = VectorIndex(spark, f"{shared_dir(spark)}/loomdex-index/vectors-{fingerprint(spark, f'{sf_dir}/embeddings.parquet')}")
+    if not index.store.latest().number:
+        index.build(v.select("vec_id", "v", "label"))
+    return index, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+
+
+@query(f"{T.with_sql('vecs')}, {_NEAREST} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM best WHERE rank <= 10")
+def vector_index_exact(spark, sf_dir):
+    index, q = _vector_index(spark, sf_dir)
+    return index.search(q, exact=True)
+
+
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Queries through the cells, and whether they find at least nine in ten of what all vectors give (equal scores count)."""
+    index, q = _vector_index(spark, sf_dir)
+    last = index.search(q, exact=True).where("rank = 10").select("query_id", F.col("score").alias("last"))
+    found = index.search(q).join(last, "query_id").where("score >= last")
+    n = q.agg(F.count("*").alias("n_queries"))
+    return n.join(found.agg(F.count("*").alias("hits")), F.lit(True)).select("n_queries", (F.col("hits") >= 9 * F.col("n_queries")).alias("enough"))
+
+
 # ---- context, pages, documents -------------------------------------------------------------------------------------
 
 _CTX = f"""{T.with_sql('chunks')}, c AS (SELECT doc_id, chunk_index AS i, length(content) AS len FROM chunks),
@@ -318,6 +383,47 @@ def refresh_document(spark, sf_dir):
     return L.refresh(d, d.where("source = 'src1'").select("doc_id", (F.col("size_bytes") * 2).alias("size_bytes"))).drop("source")
 
 
+@query("SELECT doc_id, CASE WHEN source = 'src1' THEN 'none' ELSE '1' END AS pages, CASE WHEN source = 'src1' THEN 'new' WHEN doc_id % 3 = 0 THEN NULL ELSE 'old' END AS chunker, CASE WHEN source = 'src1' THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 0 THEN NULL ELSE '1' END AS version, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS author, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS nested FROM documents")
+def refresh_metadata(spark, sf_dir):
+    """A refresh sets pages to null and two fields of nested metadata; other fields of it stay, documents not refreshed too."""
+    d = T.read(spark, sf_dir, "documents")
+    chunker = lambda name, v: F.struct(F.lit(name).alias("id"), v.alias("version"))
+    old = F.to_json(F.struct(chunker("old", F.lit(1).cast("long")).alias("chunker"), F.col("source").alias("author"), F.struct(F.array(F.lit("x"), F.col("lang")).alias("list")).alias("deep")))
+    docs = d.select("doc_id", F.lit(1).alias("page_count"), F.when(F.col("doc_id") % 3 != 0, old).alias("metadata"))
+    new = d.where("source = 'src1'").select("doc_id", F.lit(None).cast("int").alias("page_count"), F.to_json(F.struct(chunker("new", F.col("doc_id")).alias("chunker"), F.lit("no").alias("author"))).alias("metadata"))
+    at = lambda path: F.get_json_object("metadata", path)
+    return L.refresh(docs, new, REFRESHED).select("doc_id", F.coalesce(F.col("page_count").cast("string"), F.lit("none")).alias("pages"), at("$.chunker.id").alias("chunker"), at("$.chunker.version").alias("version"), at("$.author").alias("author"), at("$.deep.list[1]").alias("nested"))
+
+
+@query("WITH l AS (SELECT doc_id, lang, source, CASE WHEN source = 'src1' THEN 'fresh' || chr(10) || text ELSE text END AS text FROM documents WHERE source <> 'src2'), c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS c FROM l) SELECT l.doc_id, CASE WHEN l.source = 'src3' THEN 'tagged' ELSE l.lang || ',' || l.source END AS tags, CAST(octet_length(encode(l.text)) AS BIGINT) AS size_bytes, CAST(len(c.c) AS BIGINT) AS n_chunks, md5(array_to_string(c.c, chr(10))) AS text_md5 FROM l JOIN c USING (doc_id)")
+def library_changes(spark, sf_dir):
+    """All documents added to a library, then three writers on one version of it: one refreshes documents, one sets tags of others,
+    one removes others. None of the changes is lost."""
+    d = T.documents(spark, sf_dir)
+    lib = Library(spark, f"{shared_dir(spark)}/loomdex-library/{uuid.uuid4().hex}")
+
+    def tables(rows):
+        docs = rows.select("id", "title", "path", F.lit(None).cast("timestamp").alias("added_at"), F.lit(1).alias("page_count"), F.octet_length("text").cast("long").alias("size_bytes"), "tags", F.lit("txt").alias("file_type"), F.lit(None).cast("string").alias("metadata"), F.lit("sha256").alias("source_hash_algorithm"), F.sha2("text", 256).alias("source_hash"))
+        lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content")).where("content <> ''")
+        chunks = lines.select(F.concat_ws("-", "id", "chunk_index").alias("id"), F.col("id").alias("doc_id"), F.lit(1).alias("page"), "chunk_index", "content", F.col("content").alias("embedding_content"))
+        return docs, chunks, spark.createDataFrame([], "chunk_id string, embedding array<float>")
+
+    lib.replace_documents(*tables(d))
+    base = lib.store.latest()
+    tags, gone = Change(lib.store, base), Change(lib.store, base)
+    old = tags.rows("documents", d.where("source = 'src3'").select("id"))
+    tags.put("documents", old.withColumn("tags", F.array(F.lit("tagged"))))
+    for name in ("documents", "chunks"):
+        gone.remove(name, d.where("source = 'src2'").select("id"))
+    lib.replace_documents(*tables(d.where("source = 'src1'").withColumn("text", F.concat(F.lit("fresh\n"), "text"))), mode="refresh")
+    tags.commit()
+    gone.commit()
+    text = L.page_text(lib.table("chunks"), "\n").select(F.col("doc_id").alias("id"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+    n = lib.table("chunks").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_chunks"))
+    out = lib.table("documents").join(n, "id").join(text, "id")
+    return out.select(F.col("id").cast("long").alias("doc_id"), F.array_join("tags", ",").alias("tags"), "size_bytes", "n_chunks", "text_md5")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id = 3 THEN 'x,y' ELSE lang || ',' || source END AS tags FROM documents")
 def update_tags(spark, sf_dir):
     return L.set_tags(T.documents(spark, sf_dir), 3, ["x", "y"]).select("doc_id", F.array_join("tags", ",").alias("tags"))
@@ -483,7 +589,7 @@ def concept_descendants(spark, sf_dir):
     return G.closure(e, e.select(F.col("broader_id").alias("id")).distinct(), up=False).select("start", "id")
 
 
-@query(f"{T.with_sql('concepts', 'hierarchy', recursive=True)}, ids AS (SELECT id FROM concepts UNION SELECT concept_id FROM hierarchy UNION SELECT broader_id FROM hierarchy), tree AS (SELECT id, id AS path, 1 AS depth FROM ids WHERE id NOT IN (SELECT concept_id FROM hierarchy) UNION ALL SELECT h.concept_id, t.path || ' > ' || h.concept_id, t.depth + 1 FROM tree t JOIN (SELECT DISTINCT * FROM hierarchy) h ON h.broader_id = t.id WHERE t.depth < 12) SELECT id, path, depth FROM tree")
+@query(f"{T.with_sql('concepts', 'hierarchy', recursive=True)}, ids AS (SELECT id FROM concepts UNION SELECT concept_id FROM hierarchy UNION SELECT broader_id FROM hierarchy), tree AS (SELECT id, id AS path, 1 AS depth FROM ids WHERE id NOT IN (SELECT concept_id FROM hierarchy) UNION ALL SELECT h.concept_id, t.path || ' > ' || h.concept_id, t.depth + 1 FROM tree t JOIN (SELECT DISTINCT * FROM hierarchy) h ON h.broader_id = t.id) SELECT id, path, depth FROM tree")
 def concept_tree_paths(spark, sf_dir):
     return G.tree_paths(T.hierarchy(spark, sf_dir), T.concepts(spark, sf_dir))
 

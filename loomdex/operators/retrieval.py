@@ -69,14 +69,39 @@ def fts_phrase(rows: DataFrame, text: str, phrase: str) -> DataFrame:
     return hit.withColumn("score", F.round(V.score_of_rank(F.col("bm25_rank")), 6)).drop("n_rows", "avgdl", "df")
 
 
-def hybrid_merge(vector_hits: DataFrame, text_hits: DataFrame, key: str, boost: float = 1.05) -> DataFrame:
+def hybrid_merge(vector_hits: DataFrame, text_hits: DataFrame, key: str | list[str], boost: float = 1.05) -> DataFrame:
     """Full outer join of two hit lists (key, score): hits of both get the larger score times ``boost``, at most 1."""
-    a = vector_hits.select(F.col(key), F.col("score").alias("vs"))
-    b = text_hits.select(F.col(key), F.col("score").alias("fs"))
+    keys = [key] if isinstance(key, str) else key
+    a = vector_hits.select(*keys, F.col("score").alias("vs"))
+    b = text_hits.select(*keys, F.col("score").alias("fs"))
     both = F.col("vs").isNotNull() & F.col("fs").isNotNull()
     score = F.when(both, F.least(F.lit(1.0), F.greatest("vs", "fs") * boost)).otherwise(F.coalesce("vs", "fs"))
     kind = F.when(both, "hybrid").when(F.col("vs").isNotNull(), "vector").otherwise("fts")
-    return a.join(b, key, "full").select(key, F.round(score, 6).alias("score"), kind.alias("match_type"))
+    return a.join(b, keys, "full").select(*keys, F.round(score, 6).alias("score"), kind.alias("match_type"))
+
+
+CHUNK = ["doc_id", "page", "chunk_index"]
+
+
+def final_results(merged: DataFrame, chunks: DataFrame, documents: DataFrame, limit: int = 10, expand_chars: int = 0) -> DataFrame:
+    """The best ``limit`` chunks (``CHUNK``, score, match_type): title, content, and the text around each.
+
+    Scores descend, ties go by document, page and chunk. ``expanded`` joins the chunks around the hit that fit in
+    ``expand_chars`` (500 if 0). The cut comes before the joins, so these have ``limit`` rows on one side."""
+    best = merged.orderBy(F.desc("score"), *CHUNK).limit(limit)
+    hit = F.broadcast(best).join(chunks.select("chunk_id", *CHUNK, "content"), CHUNK)
+    hit = hit.join(documents.select("doc_id", "title"), "doc_id")
+    around = expand_context(chunks, best.select("doc_id", "page", F.col("chunk_index").alias("t_index")), expand_chars or 500, text=True)
+    around = around.select("doc_id", "page", F.col("t_index").alias("chunk_index"), F.col("text").alias("expanded"))
+    return hit.join(around, CHUNK).select("chunk_id", "doc_id", "title", "page", "chunk_index", "score", "match_type", "content", "expanded")
+
+
+def project(results: DataFrame, expand_chars: int = 0, verbose: bool = False, content: bool = True) -> DataFrame:
+    """What a search shows of its final results: the text around a hit in place of its own if that was asked for; place and kind of
+    score in ``diagnostics`` if ``verbose``; no text at all for a handle (``content`` false)."""
+    shown = [F.coalesce("expanded", "content").alias("content") if expand_chars > 0 else F.col("content")] if content else []
+    more = [F.struct("chunk_index", F.col("score").alias("raw_score"), F.col("match_type").alias("score_type")).alias("diagnostics")] if verbose else []
+    return results.select("chunk_id", "doc_id", "title", "page", "score", "match_type", *shown, *more)
 
 
 def dedupe_queries(hits: DataFrame, limit: int | None = None) -> DataFrame:
@@ -85,27 +110,42 @@ def dedupe_queries(hits: DataFrame, limit: int | None = None) -> DataFrame:
     return out.orderBy(F.desc("score"), "vec_id").limit(max(1, limit)) if limit is not None else out
 
 
-def expand_context(chunks: DataFrame, targets: DataFrame, max_chars: int, most: int = 20, both: bool = True) -> DataFrame:
-    """The chunks around each target (doc_id, t_index) that fit: start and end index and length of the joined text.
+def expand_context(chunks: DataFrame, targets: DataFrame, max_chars: int, most: int = 20, both: bool = True, text: bool = False) -> DataFrame:
+    """The chunks around each target (doc_id, t_index, and page if it has one) that fit: start and end index and length of the
+    joined text, and with ``text`` that text.
 
-    Neighbours join with one newline, up to 1.2 * max_chars, the side before first, ``most`` on each side. The running
-    length grows, so the first that breaks the limit and all beyond it are those with a running length over it.
+    Neighbours join with one newline, up to 1.2 * max_chars, the side before first, ``most`` on each side, each side up to the first
+    that breaks the limit. A band join: chunks are numbered in their document and fall in bands of ``most``; a target meets its
+    own band and the two beside it, so three bands at most and not its document.
     """
-    c = chunks.select("doc_id", F.col("chunk_index").alias("i"), F.char_length("content").alias("len"))
-    t = targets.join(c, (targets.doc_id == c.doc_id) & (targets.t_index == c.i)).select(targets.doc_id.alias("doc_id"), "t_index", F.col("len").alias("t_len"))
-    near = t.join(c, "doc_id").where("i <> t_index")
-    limit = 1.2 * max_chars
-
-    def side(rows, order, start):
-        w = W.partitionBy("doc_id", "t_index").orderBy(order)
-        r = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-        r = r.withColumn("cum", F.col(start) + F.sum("len").over(w) + F.col("rn"))
-        return r.where(F.col("cum") <= limit)
-
-    before = side(near.where("i < t_index"), F.desc("i"), "t_len").groupBy("doc_id", "t_index").agg(F.min("i").alias("start_index"), F.max("cum").alias("cum"))
-    t = t.join(before, ["doc_id", "t_index"], "left").withColumns({"start_index": F.coalesce("start_index", "t_index"), "total": F.coalesce("cum", F.col("t_len").cast("long"))}).drop("cum")
+    paged = "page" in targets.columns
+    place = ["page"] if paged else []
+    c = chunks.join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
+    c = c.select("doc_id", *place, F.col("chunk_index").alias("i"), F.coalesce(F.char_length("content"), F.lit(0)).cast("long").alias("len"), *([F.col("content")] if text else []))
+    c = c.withColumn("o", F.row_number().over(W.partitionBy("doc_id").orderBy(*place, "i"))).withColumn("band", F.floor(F.col("o") / most))
+    t = targets.select("doc_id", *place, F.col("t_index").alias("i")).distinct().join(c.select("doc_id", *place, "i", F.col("o").alias("t_o"), F.col("band").alias("t_band")), ["doc_id", *place, "i"]).withColumnRenamed("i", "t_index")
+    near = t.withColumn("band", F.explode(F.array(F.col("t_band") - 1, "t_band", F.col("t_band") + 1))).join(c.drop(*place), ["doc_id", "band"]).withColumn("d", F.col("o") - F.col("t_o")).where(F.abs("d") <= most)
+    if not both:
+        near = near.where("d <= 0")
+    one = F.struct("d", "i", "len", *(["content"] if text else []))
+    got = near.groupBy("doc_id", *place, "t_index").agg(F.array_sort(F.collect_list(one)).alias("n"))
+    limit = F.lit(1.2 * max_chars)
+    side = lambda ok: F.filter("n", lambda x: ok(x["d"]))
+    own = F.element_at(side(lambda d: d == 0), 1)
+    # state: length, last index taken, how many taken, whether the side is still open
+    shape = "struct<total: bigint, at: int, n: int, on: boolean>"
+
+    def grow(state, x):
+        fits = state["on"] & (state["total"] + x["len"] + 1 <= limit)
+        yes = F.struct(state["total"] + x["len"] + 1, x["i"].cast("int"), state["n"] + 1, F.lit(True)).cast(shape)
+        return F.when(fits, yes).otherwise(F.struct(state["total"], state["at"], state["n"], F.lit(False)).cast(shape))
+
+    def start(total):
+        return F.struct(total, F.col("t_index").cast("int"), F.lit(0), F.lit(True)).cast(shape)
+
+    got = got.withColumn("b", F.aggregate(F.reverse(side(lambda d: d < 0)), start(own["len"]), grow))
     if not both:
-        return t.select("doc_id", "t_index", "start_index", F.col("total").cast("long").alias("n_chars"))
-    after = side(near.where("i > t_index").join(t.select("doc_id", "t_index", "total"), ["doc_id", "t_index"]), F.asc("i"), "total").groupBy("doc_id", "t_index").agg(F.max("i").alias("end_index"), F.max("cum").alias("cum"))
-    t = t.join(after, ["doc_id", "t_index"], "left")
-    return t.select("doc_id", "t_index", "start_index", F.coalesce("end_index", "t_index").alias("end_index"), F.coalesce("cum", "total").cast("long").alias("n_chars"))
+        return got.select("doc_id", *place, "t_index", F.col("b.at").alias("start_index"), F.col("b.total").alias("n_chars"))
+    got = got.withColumn("a", F.aggregate(side(lambda d: d > 0), start(F.col("b.total")), grow))
+    whole = [F.array_join(F.transform(side(lambda d: (d >= -F.col("b.n")) & (d <= F.col("a.n"))), lambda x: x["content"]), "\n").alias("text")] if text else []
+    return got.select("doc_id", *place, "t_index", F.col("b.at").alias("start_index"), F.col("a.at").alias("end_index"), F.col("a.total").alias("n_chars"), *whole)

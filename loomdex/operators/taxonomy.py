@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..plans.session import stored
 
 
 def broader(edges: DataFrame, concept: str) -> DataFrame:
@@ -29,33 +30,50 @@ def related(relations: DataFrame, concept: str) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame, up: bool = True, checkpoint=None) -> DataFrame:
     """(start, id, depth): all concepts reached from each start concept, and the fewest steps to them.
 
-    A frontier join: each round takes one step and keeps what is new, so cycles end and a start on a cycle reaches
-    itself. ``checkpoint`` (DataFrame -> DataFrame) cuts the lineage of a round; the default is DataFrame.checkpoint
-    where a checkpoint folder is set.
+    Paths are doubled: a round joins pairs that one round found nearest with all pairs known, so a chain of n steps takes
+    log2(n) rounds, each written once. Cycles end, as no pair gets nearer, and a start on a cycle reaches itself.
+    ``checkpoint`` (DataFrame -> DataFrame) cuts the lineage of a round; the default writes to the shared folder.
     """
     a, b = ("concept_id", "broader_id") if up else ("broader_id", "concept_id")
-    step = edges.select(F.col(a).alias("from_id"), F.col(b).alias("to_id")).distinct()
-    cut = checkpoint or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache())
-    front = cut(start.select(F.col("id").alias("start")).join(step, F.col("start") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct().withColumn("depth", F.lit(1)))
-    seen, depth = front, 1
-    while front.limit(1).count():
-        depth += 1
-        new = front.join(step, front.id == step.from_id).select("start", F.col("to_id").alias("id")).distinct()
-        front = cut(new.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut(seen.unionByName(front))
-    return seen
-
-
-def tree_paths(edges: DataFrame, concepts: DataFrame, separator: str = " > ", depth: int = 12) -> DataFrame:
-    """(id, path, depth) of every concept under every chain of parents from a root; a concept of two parents comes twice."""
-    child = edges.select(F.col("concept_id").alias("child"), F.col("broader_id").alias("parent")).distinct()
+    cut = checkpoint or (lambda df: stored(df, "closure"))
+    pairs = cut(edges.select(F.col(a).alias("start"), F.col(b).alias("id")).where("start is not null and id is not null").distinct().withColumn("depth", F.lit(1)))
+    known, reach = _pairs(pairs), 1
+    while known[0]:
+        # the longest paths known go on; shorter ones did when they were the longest
+        onward = pairs.select(F.col("start").alias("id"), F.col("id").alias("further"), F.col("depth").alias("more"))
+        longer = pairs.where(F.col("depth") == reach).join(onward, "id").select("start", F.col("further").alias("id"), (F.col("depth") + F.col("more")).alias("depth"))
+        pairs = cut(pairs.unionByName(longer).groupBy("start", "id").agg(F.min("depth").alias("depth")))
+        found = _pairs(pairs)
+        if found == known:
+            break
+        known, reach = found, 2 * reach
+    return pairs.join(start.select(F.col("id").alias("start")).distinct(), "start", "left_semi").select("start", "id", "depth")
+
+
+def _pairs(pairs: DataFrame) -> tuple[int, int]:
+    n, steps = pairs.agg(F.count("*"), F.sum("depth")).first()
+    return n, steps or 0
+
+
+def tree_paths(edges: DataFrame, concepts: DataFrame, separator: str = " > ", checkpoint=None) -> DataFrame:
+    """(id, path, depth) of every concept under every chain of parents from a root, however deep; a concept of two parents comes
+    twice. A chain has no concept twice, so cycles end; concepts that no root leads to have no path.
+
+    Chains are doubled like pairs in ``closure``: those of the longest length known go on with all known."""
+    cut = checkpoint or (lambda df: stored(df, "tree"))
+    child = edges.select(F.col("concept_id").alias("child"), F.col("broader_id").alias("parent")).where("child is not null and parent is not null").distinct()
     ids = concepts.select("id").union(child.select("child")).union(child.select("parent")).distinct()
-    level = ids.join(child, ids.id == child.child, "left_anti").select("id", F.col("id").alias("path"), F.lit(1).alias("depth"), F.array("id").alias("trail"))
-    out = level
-    for d in range(2, depth + 1):
-        level = level.join(child, level.id == child.parent).where(~F.array_contains("trail", F.col("child"))).select(F.col("child").alias("id"), F.concat("path", F.lit(separator), "child").alias("path"), F.lit(d).alias("depth"), F.concat("trail", F.array("child")).alias("trail"))
-        out = out.unionByName(level)
-    return out.select("id", "path", "depth")
+    roots = ids.join(child, ids.id == child.child, "left_anti").select("id")
+    chains = cut(child.where("child <> parent").select(F.col("parent").alias("top"), F.col("child").alias("id"), F.array("child").alias("trail")))
+    reach, longest = 1, not chains.isEmpty()
+    while longest:
+        onward = chains.select(F.col("top").alias("id"), F.col("id").alias("further"), F.col("trail").alias("more"))
+        longer = chains.where(F.size("trail") == reach).join(onward, "id").where(~F.arrays_overlap(F.concat(F.array("top"), "trail"), "more"))
+        longer = cut(longer.select("top", F.col("further").alias("id"), F.concat("trail", "more").alias("trail")))
+        chains, reach = chains.unionByName(longer), 2 * reach
+        longest = not longer.where(F.size("trail") == reach).isEmpty()
+    whole = roots.select("id", F.array("id").alias("trail")).unionByName(chains.join(roots.select(F.col("id").alias("top")), "top").select("id", F.concat(F.array("top"), "trail").alias("trail")))
+    return whole.select("id", F.array_join("trail", separator).alias("path"), F.size("trail").alias("depth"))
 
 
 def search_text(concepts: DataFrame, query: str) -> DataFrame:

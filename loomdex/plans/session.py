@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
@@ -40,6 +41,13 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join([path, *sorted(seen)]).encode()).hexdigest()[:32]
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Written to the shared folder and read again: cuts lineage, and a lost executor costs nothing that was done."""
+    path = f"{shared_dir(df.sparkSession)}/loomdex-steps/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Adds the package to the session's Python files once, so executors need no copy of their own, and bounds Arrow batches."""
     if spark.conf.get(_BATCH[0], None) in (None, "10000"):

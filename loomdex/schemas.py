@@ -17,6 +17,7 @@ DDL = {
     "concept_embeddings": "concept_id string, embedding array<float>",
     "chunk_clusters": "chunk_id string, cluster_id int, distance double, created_at timestamp",
     "cluster_summaries": "id int, centroid array<float>, summary string, embedding array<float>, concept_id string, concept_confidence double, chunk_count int, created_at timestamp",
+    "ingest_failures": "path string, error string, source_hash string",
     "library_metadata": "key string, value string, updated_at timestamp",
 }
 FILE_TYPES = ("pdf", "markdown", "docx", "odt", "txt")

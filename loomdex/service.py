@@ -6,6 +6,7 @@ import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -60,6 +61,7 @@ KEYS = {
     "concept_embeddings": "concept_id",
     "chunk_clusters": "chunk_id",
     "cluster_summaries": "id",
+    "ingest_failures": "path",
     "library_metadata": "key",
 }
 #: Metadata that a refresh sets; the rest of a document's metadata stays.
@@ -132,6 +134,33 @@ class Library:
 
         return self.store.change(step)
 
+    def ingest(self, documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, failures: DataFrame, source: tuple[str, int] | None = None) -> Version:
+        """Adds the documents that are not there, with their chunks and embeddings, and notes the failed files, in one step.
+
+        Of rows that share an id the one of the least path is taken. Totals of the version grow with it: added, skipped, failed,
+        chunks. ``source`` (name, batch) makes a batch count once: sent again it changes nothing."""
+        for name, df in (("documents", documents), ("chunks", chunks), ("embeddings", embeddings), ("ingest_failures", failures)):
+            schemas.verify(df, name)
+        one = documents.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("path"))).where("_n = 1").drop("_n")
+
+        def step(change: Change) -> None:
+            if source:
+                change.once(*source)
+            there = self._seen(change, "documents", one.select("id")).select("id")
+            change.put("documents", one.join(there, "id", "left_anti").select(*schemas.schema("documents").names))
+            new = change.written("documents").select("id")
+            change.put("chunks", chunks.join(new.toDF("doc_id"), "doc_id", "left_semi").select(*schemas.schema("chunks").names), keys=new.toDF("doc_id"))
+            mine = change.written("chunks").select(F.col("id").alias("chunk_id"))
+            change.put("embeddings", embeddings.join(mine, "chunk_id", "left_semi").select(*schemas.schema("embeddings").names))
+            change.put("ingest_failures", failures.select(*schemas.schema("ingest_failures").names))
+            n = new.count()
+            change.add_to(added=n, skipped=one.count() - n, failed=change.written("ingest_failures").count(), chunks=mine.count())
+
+        return self.store.change(step)
+
+    def totals(self) -> dict:
+        return dict.fromkeys(("added", "skipped", "failed", "chunks"), 0) | self.store.latest().totals
+
     def _found(self, change: Change, text: str) -> DataFrame:
         rows = change.table("documents", lambda df: schemas.migrate(df, "documents"))
         found = L.lookup(rows, text) if rows is not None else None

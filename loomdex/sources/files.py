@@ -321,7 +321,12 @@ def read_documents(files: DataFrame, pdf: Callable[[bytes], list[str]] | None =
     paths = [r.path for r in files.select("path").toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], "id string, path string, file_type string, sha256 string, section int, heading string, text string, error string")
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return parsed(spark.read.format("binaryFile").load(paths), pdf)
+
+
+def parsed(raw: DataFrame, pdf: Callable[[bytes], list[str]] | None = None, empty: bool = False) -> DataFrame:
+    """What ``read_documents`` gives, of files already read (path, content), in a batch or a stream; with ``empty`` a row without a
+    section for each file without text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -331,9 +336,11 @@ def read_documents(files: DataFrame, pdf: Callable[[bytes], list[str]] | None =
                 try:
                     kind, parts = read_sections(content, path, pdf)
                     out += [(path, kind, digest, p["section"], p["heading"], p["text"], None) for p in parts]
+                    if empty and not parts:
+                        out.append((path, kind, digest, None, None, None, None))
                 except (SourceError, ElementTree.ParseError, UnicodeDecodeError) as e:
                     out.append((path, None, digest, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "file_type", "sha256", "section", "heading", "text", "error"]).astype({"section": "Int32"})
 
-    got = raw.mapInPandas(run, "path string, file_type string, sha256 string, section int, heading string, text string, error string")
+    got = raw.select("path", "content").mapInPandas(run, "path string, file_type string, sha256 string, section int, heading string, text string, error string")
     return got.select(document_id(F.col("path")).alias("id"), "path", F.coalesce("file_type", F.when(F.col("error").isNull(), file_type(F.col("path")))).alias("file_type"), "sha256", "section", "heading", "text", "error")

@@ -41,8 +41,8 @@ def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.unionByName(n)
 
 
-#: Edges besides nation -> region: a chain, a second parent and a cycle.
-EXTRA_EDGES = (("r0", "world"), ("r1", "world"), ("r2", "world"), ("world", "thing"), ("n0", "r1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"))
+#: Edges besides nation -> region: a second parent, a cycle and a chain of 40.
+EXTRA_EDGES = (("r0", "world"), ("r1", "world"), ("r2", "world"), ("world", "thing"), ("n0", "r1"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), *((f"d{i}", f"d{i + 1}") for i in range(1, 40)))
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
