@@ -323,9 +323,10 @@ def document_summary(spark, sf_dir):
     return d.select("id", "title", F.lit(1).alias("page_count"), F.array_join("tags", ",").alias("tags"), P.file_type(F.col("path")).alias("file_type"))
 
 
-@query(f"{T.with_sql('docs')} SELECT doc_id, size_bytes FROM docs WHERE source = 'src5' ORDER BY size_bytes DESC, doc_id")
+@query(f"{T.with_sql('docs')} SELECT doc_id, size_bytes, CAST(row_number() OVER (ORDER BY (doc_id * 7919) % 1000 DESC, id) AS INTEGER) AS place FROM docs WHERE source = 'src5'")
 def documents_newest_first(spark, sf_dir):
-    return L.by_tag(T.documents(spark, sf_dir), "src5").orderBy(F.desc("size_bytes"), "doc_id").select("doc_id", "size_bytes")
+    d = T.documents(spark, sf_dir).withColumn("added_at", F.timestamp_seconds(F.col("doc_id") * 7919 % 1000))
+    return L.newest_first(L.by_tag(d, "src5")).select("doc_id", "size_bytes", "place")
 
 
 @query(f"{T.with_sql('docs')} SELECT doc_id, title FROM docs WHERE path = '/src0/en/20.txt' OR doc_id = 17")
@@ -599,9 +600,12 @@ def concept_text_search(spark, sf_dir):
     return G.search_text(T.concepts(spark, sf_dir), "GION").select("id")
 
 
-@query(f"{T.with_sql('concepts')} SELECT id FROM concepts ORDER BY low, id")
+@query(f"{T.with_sql('concepts')}, l AS (SELECT id, CASE WHEN CAST(substring(id, 2) AS INTEGER) % 2 = 1 THEN low ELSE upper(low) END AS label FROM concepts) SELECT id, label, CAST(row_number() OVER (ORDER BY label, id) AS INTEGER) AS place FROM l")
 def concepts_by_label(spark, sf_dir):
-    return T.concepts(spark, sf_dir).orderBy(F.lower("pref_label"), "id").select("id")
+    """By code points, so capitals come before small letters."""
+    c = T.concepts(spark, sf_dir)
+    c = c.withColumn("pref_label", F.when(F.substring("id", 2, 9).cast("int") % 2 == 1, F.lower("pref_label")).otherwise(F.upper("pref_label")))
+    return G.by_label(c).select("id", F.col("pref_label").alias("label"), "place")
 
 
 @query(f"{T.with_sql('vecs')}, {_SCORED}, c AS (SELECT 'n' || CAST(vec_id AS VARCHAR) AS id, score FROM scored WHERE vec_id < 25 ORDER BY score DESC, id LIMIT 10) SELECT id, score FROM c WHERE score >= 0.45")
@@ -717,10 +721,13 @@ def path_tags(spark, sf_dir):
     return T.documents(spark, sf_dir).select("doc_id", F.array_join(X.path_tags(F.concat(F.lit("/Users/12/.git/Downloads"), "path")), ",").alias("tags"))
 
 
-@query("SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w = upper(w) AND length(w) <= 4 THEN w WHEN length(w) <= 2 THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), 'string_agg', ' ') AS title FROM part")
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(CASE WHEN p_partkey % 3 = 1 THEN p_name || 'x' ELSE p_name END, ' '), lambda w: CASE WHEN w = upper(w) AND length(w) <= 4 THEN w WHEN length(w) <= 2 THEN lower(w) ELSE upper(w[1]) || lower(w[2:]) END), 'string_agg', ' ') AS title FROM part")
 def clean_title(spark, sf_dir):
     p = T.read(spark, sf_dir, "part")
-    return p.select("p_partkey", X.clean_title(F.concat(F.replace("p_name", F.lit(" "), F.lit("_-")), F.lit(" (2nd edition).pdf"))).alias("title"))
+    dashed, kind = F.replace("p_name", F.lit(" "), F.lit("_-")), F.col("p_partkey") % 3
+    inside, before = F.concat(dashed, F.lit("(Vol. 3)x.md")), F.concat(F.lit("(ISBN 12-3)"), F.replace("p_name", F.lit(" "), F.lit("+")), F.lit(".EPUB"))
+    name = F.when(kind == 1, inside).when(kind == 2, before).otherwise(F.concat(dashed, F.lit(" (2nd edition).pdf")))
+    return p.select("p_partkey", X.clean_title(name).alias("title"))
 
 
 @query("SELECT doc_id, 'Smith' AS author FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id % 2 = 1")

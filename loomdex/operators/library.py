@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.session import stored
+
 
 #: What a refresh may set; title, path, tags and time of addition stay.
 REFRESH = ("page_count", "size_bytes", "file_type", "source_hash_algorithm", "source_hash")
@@ -34,6 +36,21 @@ def by_tag(documents: DataFrame, *tags: str) -> DataFrame:
     return documents.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
 
 
+def newest_first(documents: DataFrame) -> DataFrame:
+    """All documents of a listing by time of addition, the last first and the least id first of several, with their ``place``. A
+    listing is what a reader is shown: it is sorted as a whole, and numbered by the sort's own order."""
+    return numbered(documents, F.desc("added_at"), F.asc("id"))
+
+
+def numbered(rows: DataFrame, *order) -> DataFrame:
+    """Rows with ``place``, from 1, in a total order: range partitions are numbered each, and shifted by the sizes of those before."""
+    s = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    s = stored(s, "numbered")
+    sizes = s.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return s.join(F.broadcast(before), "_part").withColumn("place", (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_before")
+
+
 def lookup(documents: DataFrame, text: str, newest: str = "added_at") -> DataFrame:
     """The document of that id, else the newest whose title holds the text in any case or whose id starts with it."""
     exact = documents.where(F.col("id") == text).withColumn("__rank", F.lit(0))

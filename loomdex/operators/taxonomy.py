@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..plans.session import stored
+from .library import numbered
 
 
 def broader(edges: DataFrame, concept: str) -> DataFrame:
@@ -76,6 +77,11 @@ def tree_paths(edges: DataFrame, concepts: DataFrame, separator: str = " > ", ch
     return whole.select("id", F.array_join("trail", separator).alias("path"), F.size("trail").alias("depth"))
 
 
+def by_label(concepts: DataFrame) -> DataFrame:
+    """Concepts in order of their label's code points, with their ``place``."""
+    return numbered(concepts, F.asc("pref_label"), F.asc("id"))
+
+
 def search_text(concepts: DataFrame, query: str) -> DataFrame:
     """Concepts whose label, other label or definition holds the query, whatever the case."""
     q = query.lower()

@@ -84,6 +84,8 @@ def test_titles_and_lines(spark):
     assert not one(spark, X.is_section_title(t), t="This is a plain sentence.")
     assert one(spark, X.is_page_number(t), t="Page 3 of 9") and not one(spark, X.is_page_number(t), t="3 apples")
     assert one(spark, X.clean_title(t), t="my_great-book (2nd edition).pdf") == "my Great Book"
+    assert one(spark, X.clean_title(t), t="foo(2nd edition)bar.pdf") == "Foobar"
+    assert one(spark, X.clean_title(t), t="(ISBN 1_2)a b%20ISO (notes).epub") == "a b ISO (notes)"
     assert one(spark, X.author(t), t="Title - Smith.pdf") == "Smith"
     assert one(spark, X.normal_tag(t), t="C++ & Rust!") == "c-rust"
 
@@ -120,6 +122,53 @@ def test_closure_on_cycle(spark):
     assert {r.id for r in got.collect()} == {"a", "b", "c"}
 
 
+def hierarchy(edges):
+    """Fewest steps up between concepts, and all paths down from roots."""
+    up, down, steps, paths = {}, {}, {}, []
+    for a, b in set(edges):
+        up.setdefault(a, set()).add(b)
+        down.setdefault(b, set()).add(a)
+    for s in up:
+        front, seen, d = {s}, set(), 0
+        while front:
+            d += 1
+            front = {y for x in front for y in up.get(x, ())} - seen
+            seen |= front
+            steps |= {(s, y): d for y in front}
+
+    def walk(trail):
+        paths.append((trail[-1], " > ".join(trail), len(trail)))
+        for c in down.get(trail[-1], ()):
+            if c not in trail:
+                walk([*trail, c])
+
+    for r in {x for e in edges for x in e} - up.keys():
+        walk([r])
+    return steps, sorted(paths)
+
+
+def test_closures_and_trees_of_any_depth(spark):
+    chain = [(f"d{i:02}", f"d{i + 1:02}") for i in range(40)]
+    mixed = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("x", "r"), ("y", "r"), ("z", "x"), ("z", "y"), ("z", "r"), ("x", "y"), ("s", "s"), ("z", "x")]
+    e = spark.createDataFrame(chain + mixed, "concept_id string, broader_id string")
+    steps, paths = hierarchy(chain + mixed)
+    ids = e.select(F.col("concept_id").alias("id"))
+    assert {(r.start, r.id): r.depth for r in G.closure(e, ids).collect()} == steps
+    assert sorted(tuple(r) for r in G.tree_paths(e, ids).collect()) == paths
+    down = G.closure(e, spark.createDataFrame([("r",), ("none",)], "id string"), up=False)
+    assert {(r.id, r.start): r.depth for r in down.collect()} == {k: d for k, d in steps.items() if k[1] == "r"}
+    none = e.limit(0)
+    assert G.closure(none, ids).count() == 0 and G.tree_paths(none, ids.limit(1)).count() == 1
+
+
+def test_places_follow_the_whole_order(spark):
+    rows = [(f"{i % 97:03}-{i}", i % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "id string, n int").repartition(7)
+    got = [(r.n, r.id) for r in L.numbered(df, F.desc("n"), F.asc("id")).orderBy("place").collect()]
+    assert got == sorted(((n, i) for i, n in rows), key=lambda x: (-x[0], x[1]))
+    assert L.numbered(df.limit(0), F.asc("id")).count() == 0
+
+
 def test_concept_match_boundary_and_tie(spark):
     cl = spark.createDataFrame([(0, [1.0, 0.0], "First. More"), (1, [0.0, 1.0], "A" * 60 + ". Ignored")], "cluster_id int, centroid array<double>, summary string")
     co = spark.createDataFrame([("x", 0, [0.8, 0.6]), ("y", 1, [0.8, 0.6]), ("z", 2, [0.0, 0.0]), ("w", 3, [1.0])], "concept_id string, ordinal int, v array<double>")
