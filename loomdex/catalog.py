@@ -803,14 +803,14 @@ def page_number_lines(spark, sf_dir):
 
 _CLEAN = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 p AS (SELECT doc_id, i // 3 AS page, 'Quarterly  Report' || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) || 'Page ' || CAST(i // 3 AS VARCHAR) || ' of 9' AS text FROM l GROUP BY doc_id, i // 3),
-x AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM p),
+x AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM p),
 n AS (SELECT *, lower(trim(regexp_replace(replace(replace(raw, chr(0), ''), chr(160), ' '), '\s+', ' ', 'g'))) AS line FROM x),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY at) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY at DESC) AS down, count(*) OVER (PARTITION BY doc_id, page) AS n FROM n WHERE line <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS down, count(*) OVER (PARTITION BY doc_id, page) AS n FROM n WHERE line <> ''),
 e AS (SELECT *, CASE WHEN n <= 5 THEN up <= 1 OR down <= 2 ELSE up <= 3 OR down <= 3 END AS edge FROM f),
 k AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY doc_id),
 r AS (SELECT e.doc_id, e.line FROM e JOIN k USING (doc_id) WHERE edge AND length(e.line) <= 120 GROUP BY e.doc_id, e.line, k.pages HAVING count(DISTINCT page) >= greatest(2, ceil(k.pages / 2.0))),
-g AS (SELECT e.doc_id, e.page, e.at FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.line = e.line WHERE (edge AND r.line IS NOT NULL) OR ((up = 1 OR down = 1) AND regexp_full_match(trim(raw), '(?i)(page\s*)?\d+(\s*(/|of)\s*\d+)?'))),
-s AS (SELECT n.doc_id, n.page, string_agg(n.raw, chr(10) ORDER BY n.at) AS text FROM n LEFT JOIN g USING (doc_id, page, at) WHERE g.at IS NULL GROUP BY n.doc_id, n.page)"""
+g AS (SELECT e.doc_id, e.page, e.pos FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.line = e.line WHERE (edge AND r.line IS NOT NULL) OR ((up = 1 OR down = 1) AND regexp_full_match(trim(raw), '(?i)(page\s*)?\d+(\s*(/|of)\s*\d+)?'))),
+s AS (SELECT n.doc_id, n.page, string_agg(n.raw, chr(10) ORDER BY n.pos) AS text FROM n LEFT JOIN g USING (doc_id, page, pos) WHERE g.pos IS NULL GROUP BY n.doc_id, n.page)"""
 
 
 @query(f"{_CLEAN} SELECT p.doc_id, CAST(p.page AS BIGINT) AS page, md5(coalesce(s.text, '')) AS text_md5 FROM p LEFT JOIN s USING (doc_id, page)")
