@@ -194,6 +194,50 @@ def test_k_means_on_blobs(spark):
             C.k_means(n, k)
 
 
+def plain_k_means(x, k, seed):
+    """k-means++ and Lloyd's rounds in memory; the residual."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    c = x[[rng.integers(len(x))]]
+    for _ in range(k - 1):
+        d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+        c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum())]])
+    for _ in range(100):
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+    return ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_k_means_seeded_in_tasks_is_as_good_as_in_memory(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=8) * 6 + rng.normal(size=(n, 8)) for n in (300, 40, 40, 60, 80, 100)])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<double>").repartition(4)
+    c, a = C.k_means(v, 6, seed=3)
+    rss = C.residual(v, C.centroid_frame(spark, c), a).first().rss
+    assert rss <= 1.01 * min(plain_k_means(x, 6, s) for s in range(5))
+    assert len(C.initial(v, 6)) == 6 and C.initial(v, 6) == C.initial(v.repartition(2), 6)
+    # equal vectors: fewer distinct starts than clusters
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "vec_id long, v array<double>")
+    assert {r.distance for r in C.k_means(same, 3)[1].collect()} == {0.0}
+
+
+def test_the_number_of_soft_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.array([10.0 * j, 0.0, 0.0]) + rng.normal(size=(60, 3)) * 0.3 for j in range(3)])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    k, m = C.soft(v, most=5, seed=2)
+    assert k == 3
+    top = {r.vec_id: r.cluster_id for r in m.where("probability > 0.9").collect()}
+    assert len(top) == 180 and all(len({top[i] for i in range(60 * j, 60 * j + 60)}) == 1 for j in range(3))
+    with pytest.raises(C.ClusterError):
+        C.soft(v.union(spark.createDataFrame([(999, [1.0])], "vec_id long, v array<double>")))
+
+
 def test_images(spark):
     i = spark.createDataFrame([(1, 0, "a", 10), (1, 1, "a", 10), (1, 2, "b", 2000), (1, 3, "c", 10)], "doc_id int, seq int, hash string, byte_size int")
     assert [r.hash for r in L.cap_images(i, 1000, 1).collect()] == ["a"]
