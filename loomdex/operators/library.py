@@ -180,7 +180,6 @@ def rechunk_plan(docs: DataFrame, include_all: bool = False, include_missing: bo
     return docs.select("doc_id", (reason.isNotNull() | F.lit(include_all)).alias("include"), F.coalesce(reason, F.when(F.lit(include_all), "all"), F.lit("up_to_date")).alias("reason"))
 
 
-
 def health(checks: DataFrame) -> DataFrame:
     """One row from (name, ok): checks, failed, healthy."""
     return checks.agg(F.count("*").alias("checks"), F.count(F.when(~F.col("ok"), 1)).alias("failed"), F.every("ok").alias("healthy"))
