@@ -753,76 +753,78 @@ def plain_text_normalise(spark, sf_dir):
     return T.read(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(X.plain(t), "UTF-8")).alias("text_md5"))
 
 
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE NOT regexp_matches(text, '[A-Za-z]-\\n[A-Za-z]')")
+_CLOSED = r"regexp_replace({0}, '([A-Za-z])-\n([A-Za-z])', '\1\2', 'g')"
+
+
+@query(f"SELECT doc_id, md5({_CLOSED.format(_CLOSED.format('text'))}) AS text_md5 FROM documents")
 def dehyphenate(spark, sf_dir):
-    d = T.read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[A-Za-z]-\n[A-Za-z]"))
+    """Every document with line breaks put into its words, and closed again with its own."""
+    d = T.read(spark, sf_dir, "documents")
     broken = F.regexp_replace("text", "([A-Za-z])([A-Za-z])", "$1-\n$2")
     return d.select("doc_id", F.md5(F.encode(X.dehyphenate(X.dehyphenate(broken)), "UTF-8")).alias("text_md5"))
 
 
-@query()
+@query(f"SELECT doc_id, md5({_CLOSED.format('text')}) AS text_md5 FROM documents")
 def dehyphenate_all(spark, sf_dir):
     """Every document with its own line breaks inside words closed."""
     return T.read(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(X.dehyphenate(F.col("text")), "UTF-8")).alias("text_md5"))
 
 
 # pages of a document: its lines in threes, with a running head and a page number
-_PAGES = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE source = 'src1'),
-p AS (SELECT doc_id, i // 3 AS page, string_agg(line, chr(10) ORDER BY i) AS body FROM l GROUP BY doc_id, i // 3)"""
+_CLEAN = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+p AS (SELECT doc_id, i // 3 AS page, 'Quarterly  Report' || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) || 'Page ' || CAST(i // 3 AS VARCHAR) || ' of 9' AS text FROM l GROUP BY doc_id, i // 3),
+x AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM p),
+n AS (SELECT *, lower(trim(regexp_replace(replace(replace(raw, chr(0), ''), chr(160), ' '), '\s+', ' ', 'g'))) AS line FROM x),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS down, count(*) OVER (PARTITION BY doc_id, page) AS n FROM n WHERE line <> ''),
+e AS (SELECT *, CASE WHEN n <= 5 THEN up <= 1 OR down <= 2 ELSE up <= 3 OR down <= 3 END AS edge FROM f),
+k AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY doc_id),
+r AS (SELECT e.doc_id, e.line FROM e JOIN k USING (doc_id) WHERE edge AND length(e.line) <= 120 GROUP BY e.doc_id, e.line, k.pages HAVING count(DISTINCT page) >= greatest(2, ceil(k.pages / 2.0))),
+g AS (SELECT e.doc_id, e.page, e.pos FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.line = e.line WHERE (edge AND r.line IS NOT NULL) OR ((up = 1 OR down = 1) AND regexp_full_match(trim(raw), '(?i)(page\s*)?\d+(\s*(/|of)\s*\d+)?'))),
+s AS (SELECT n.doc_id, n.page, string_agg(n.raw, chr(10) ORDER BY n.pos) AS text FROM n LEFT JOIN g USING (doc_id, page, pos) WHERE g.pos IS NULL GROUP BY n.doc_id, n.page)"""
+_RUNNING = f"{_CLEAN} SELECT e.doc_id, e.line, count(DISTINCT page) AS n_pages FROM e JOIN k USING (doc_id) WHERE edge AND length(e.line) <= 120 GROUP BY e.doc_id, e.line, k.pages HAVING count(DISTINCT page) >= greatest(2, ceil(k.pages / 2.0))"
+_NUMBERS = _CLEAN + r" SELECT doc_id, CAST(page AS BIGINT) AS page, regexp_extract(line, '^page (\d+) of', 1) AS number FROM e WHERE down = 1 AND regexp_full_match(line, '(page\s*)?\d+(\s*(/|of)\s*\d+)?')"
 
 
-def _pages(spark, sf_dir, where: str = "source = 'src1'"):
-    l = T.read(spark, sf_dir, "documents").where(where).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+def _pages(spark, sf_dir):
+    l = T.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     p = l.groupBy("doc_id", F.floor(F.col("i") / 3).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), "\n").alias("body"))
     return p.select("doc_id", "page", F.concat(F.lit("Quarterly  Report\n"), "body", F.lit("\nPage "), "page", F.lit(" of 9")).alias("text"))
 
 
-@query(f"{_PAGES}, n AS (SELECT doc_id, count(*) AS n_pages FROM p GROUP BY doc_id) SELECT doc_id, 'quarterly report' AS line, n_pages FROM n WHERE n_pages >= 2")
+@query(_RUNNING)
 def repeated_edge_lines(spark, sf_dir):
-    return X.repeated_edge_lines(_pages(spark, sf_dir)).where("line = 'quarterly report'")
+    return X.repeated_edge_lines(_pages(spark, sf_dir))
 
 
-@query()
+@query(_RUNNING)
 def repeated_edge_lines_all(spark, sf_dir):
     """Every repeated edge line of every source."""
-    return X.repeated_edge_lines(_pages(spark, sf_dir, "true"))
+    return X.repeated_edge_lines(_pages(spark, sf_dir))
 
 
-@query()
+@query(_NUMBERS)
 def page_number_lines_all(spark, sf_dir):
     """Page numbers of every source."""
-    e = X.edge_lines(_pages(spark, sf_dir, "true")).where(X.is_page_number(F.col("line")) & (F.col("down") == 1))
+    e = X.edge_lines(_pages(spark, sf_dir)).where(X.is_page_number(F.col("line")) & (F.col("down") == 1))
     return e.select("doc_id", "page", F.regexp_extract("line", r"^page (\d+) of", 1).alias("number"))
 
 
-@query(f"{_PAGES} SELECT doc_id, CAST(page AS BIGINT) AS page, CAST(page AS VARCHAR) AS number FROM p")
+@query(_NUMBERS)
 def page_number_lines(spark, sf_dir):
     e = X.edge_lines(_pages(spark, sf_dir)).where(X.is_page_number(F.col("line")) & (F.col("down") == 1))
     return e.select("doc_id", "page", F.regexp_extract("line", r"^page (\d+) of", 1).alias("number"))
 
 
-_CLEAN = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-p AS (SELECT doc_id, i // 3 AS page, 'Quarterly  Report' || chr(10) || string_agg(line, chr(10) ORDER BY i) || chr(10) || 'Page ' || CAST(i // 3 AS VARCHAR) || ' of 9' AS text FROM l GROUP BY doc_id, i // 3),
-x AS (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM p),
-n AS (SELECT *, lower(trim(regexp_replace(replace(replace(raw, chr(0), ''), chr(160), ' '), '\s+', ' ', 'g'))) AS line FROM x),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos DESC) AS down, count(*) OVER (PARTITION BY doc_id, page) AS n FROM n WHERE line <> ''),
-e AS (SELECT *, CASE WHEN n <= 5 THEN up <= 1 OR down <= 2 ELSE up <= 3 OR down <= 3 END AS edge FROM f),
-k AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY doc_id),
-r AS (SELECT e.doc_id, e.line FROM e JOIN k USING (doc_id) WHERE edge AND length(e.line) <= 120 GROUP BY e.doc_id, e.line, k.pages HAVING count(DISTINCT page) >= greatest(2, ceil(k.pages / 2.0))),
-g AS (SELECT e.doc_id, e.page, e.pos FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND r.line = e.line WHERE (edge AND r.line IS NOT NULL) OR ((up = 1 OR down = 1) AND regexp_full_match(trim(raw), '(?i)(page\s*)?\d+(\s*(/|of)\s*\d+)?'))),
-s AS (SELECT n.doc_id, n.page, string_agg(n.raw, chr(10) ORDER BY n.pos) AS text FROM n LEFT JOIN g USING (doc_id, page, pos) WHERE g.pos IS NULL GROUP BY n.doc_id, n.page)"""
-
-
 @query(f"{_CLEAN} SELECT p.doc_id, CAST(p.page AS BIGINT) AS page, md5(coalesce(s.text, '')) AS text_md5 FROM p LEFT JOIN s USING (doc_id, page)")
 def pages_cleaned(spark, sf_dir):
     """Pages of all documents without running lines and page numbers."""
-    return PG.clean_pages(_pages(spark, sf_dir, "true")).select("doc_id", "page", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+    return PG.clean_pages(_pages(spark, sf_dir)).select("doc_id", "page", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 @query()
 def page_chunks(spark, sf_dir):
     """The whole chain of paged documents: cleaned, titles marked, paragraphs joined, cut. No SQL: packing is sequential."""
-    return PG.page_chunks(_pages(spark, sf_dir, "true"), 800, 80)
+    return PG.page_chunks(_pages(spark, sf_dir), 800, 80)
 
 
 @query("SELECT doc_id, doc_id % 5 = 0 AS binary FROM documents")
