@@ -853,10 +853,19 @@ def source_fingerprint(spark, sf_dir):
     return T.documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("sha256"), "size_bytes")
 
 
-@query("SELECT p_partkey, CAST(p_size * 1024 + 512 AS BIGINT) AS bytes, CAST(p_size * 1000 AS BIGINT) AS ms FROM part")
+@query(
+    "WITH v AS (SELECT p_partkey, p_partkey % 5 AS u, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE p_size + (p_partkey % 4) / 4.0 END AS x FROM part) "
+    "SELECT p_partkey, coalesce(CASE WHEN x > 0 AND u < 4 THEN CAST(floor(CAST(x AS DOUBLE) * ([1, 1024, 1048576, 1073741824])[u + 1]) AS BIGINT) END, -1) AS bytes, "
+    "coalesce(CASE WHEN x > 0 AND u < 3 THEN CAST(floor(CAST(x AS DOUBLE) * ([1, 1000, 60000])[u + 1]) AS BIGINT) END, -1) AS ms FROM v"
+)
 def size_parse(spark, sf_dir):
+    """Numbers with every unit in any case and blanks around them; other units and nothing at all are no sizes."""
+    k = F.col("p_partkey")
+    number = F.when(k % 11 == 0, "0").otherwise(F.concat(F.col("p_size").cast("string"), F.element_at(X.words_in(("", ".25", ".5", ".75")), (k % 4 + 1).cast("int"))))
+    unit = lambda *v: F.concat(number, F.element_at(X.words_in(v), (k % 5 + 1).cast("int")))
+    none = lambda c: F.coalesce(c, F.lit(-1).cast("long"))
     p = T.read(spark, sf_dir, "part")
-    return p.select("p_partkey", P.size_bytes(F.concat(F.col("p_size").cast("string"), F.lit(".5 KB"))).alias("bytes"), P.duration_ms(F.concat(F.col("p_size").cast("string"), F.lit("s"))).alias("ms"))
+    return p.select("p_partkey", none(P.size_bytes(unit("b", " KB", "mb ", "  Gb", "tb"))).alias("bytes"), none(P.duration_ms(unit("ms", " S", "m ", "h", ""))).alias("ms"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size + 3 <= 50 THEN CAST(p_size AS VARCHAR) || ',' || CAST(p_size + 1 AS VARCHAR) || ',' || CAST(p_size + 2 AS VARCHAR) || ',' || CAST(p_size + 3 AS VARCHAR) END AS pages FROM part")
@@ -866,11 +875,22 @@ def page_selector(spark, sf_dir):
     return T.read(spark, sf_dir, "part").select("p_partkey", F.array_join(P.pages_of(sel, F.lit(50)), ",").alias("pages"))
 
 
-@query("SELECT c_custkey, c_custkey % 256 IN (0, 10, 127) OR c_custkey % 256 >= 224 OR (c_custkey % 256 = 172 AND c_custkey % 64 BETWEEN 16 AND 31) OR (c_custkey % 256 = 192 AND c_custkey % 64 = 0 AND c_custkey % 7 IN (0, 2)) AS private FROM customer")
+_OCTETS = ((0, 10, 100, 127, 169, 172, 192, 192, 192, 198, 198, 203, 224, 240, 255, 8), (1, 2, 64, 3, 254, 16, 0, 0, 168, 18, 51, 0, 5, 6, 255, 8), (4, 5, 6, 7, 8, 9, 0, 2, 10, 11, 100, 113, 12, 13, 255, 8))
+
+
+@query(
+    f"WITH i AS (SELECT c_custkey, ({list(_OCTETS[0])})[c_custkey % 16 + 1] AS a, CASE WHEN c_custkey // 16 % 3 = 1 THEN c_custkey * 37 % 256 ELSE ({list(_OCTETS[1])})[c_custkey % 16 + 1] END AS b, "
+    f"CASE WHEN c_custkey // 48 % 2 = 1 THEN c_custkey * 11 % 256 ELSE ({list(_OCTETS[2])})[c_custkey % 16 + 1] END AS c FROM customer) "
+    "SELECT c_custkey, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND (b = 168 OR (b = 0 AND c IN (0, 2)))) "
+    "OR (a = 198 AND (b IN (18, 19) OR (b = 51 AND c = 100))) OR (a = 203 AND b = 0 AND c = 113) AS private FROM i"
+)
 def private_address(spark, sf_dir):
+    """Addresses in each network that is not public, and beside it."""
     k = F.col("c_custkey")
-    ip = F.concat_ws(".", (k % 256).cast("string"), (k % 64).cast("string"), (k % 7).cast("string"), F.lit("9"))
-    return T.read(spark, sf_dir, "customer").select("c_custkey", P.is_private_ipv4(ip).alias("private"))
+    at = lambda row: F.element_at(F.array(*map(F.lit, _OCTETS[row])), (k % 16 + 1).cast("int"))
+    b = F.when(F.floor(k / 16) % 3 == 1, k * 37 % 256).otherwise(at(1))
+    c = F.when(F.floor(k / 48) % 2 == 1, k * 11 % 256).otherwise(at(2))
+    return T.read(spark, sf_dir, "customer").select("c_custkey", P.is_private_ipv4(F.concat_ws(".", at(0), b, c, k % 256)).alias("private"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'markdown' WHEN 2 THEN 'txt' WHEN 3 THEN 'odt' ELSE 'markdown' END AS file_type FROM documents")

@@ -75,13 +75,16 @@ def ipv4_number(address: Column) -> Column:
 
 
 def is_private_ipv4(address: Column) -> Column:
-    n = ipv4_number(address)
-    out = F.lit(False)
-    for net in PRIVATE_NETWORKS:
-        if "." in net:
-            x = ipaddress.ip_network(net)
+    ranges = [ipaddress.ip_network(net) for net in PRIVATE_NETWORKS if "." in net]
+
+    def inside(n):
+        out = F.lit(False)
+        for x in ranges:
             out = out | n.between(int(x.network_address), int(x.broadcast_address))
-    return F.coalesce(out, F.lit(False))
+        return out
+
+    # the number is bound once: written out for every network its code would be too long to compile
+    return F.coalesce(F.get(F.transform(F.array(ipv4_number(address)), inside), F.lit(0)), F.lit(False))
 
 
 def is_private(address: str) -> bool:
