@@ -19,6 +19,7 @@ from .functions import vectors as V
 from .operators import clustering as C
 from .operators import library as L
 from .operators import pages as PG
+from .operators import proposals as PR
 from .operators import retrieval as R
 from .operators import taxonomy as G
 from .operators.fulltext import TextIndex
@@ -642,6 +643,40 @@ def concept_update(spark, sf_dir):
     return G.update_concept(T.concepts(spark, sf_dir), "r2", definition="changed", pref_label=None).select("id", "definition")
 
 
+_COSINE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
+_PROPOSED = f"""{T.with_sql('vecs', recursive=True)}, c AS (SELECT 'c' || CAST(vec_id AS VARCHAR) AS id, CAST(label AS VARCHAR) AS label, v FROM vecs WHERE vec_id % 10 = 0),
+p AS (SELECT row_number() OVER (ORDER BY ord) AS place, * FROM (SELECT 'p' || CAST(vec_id // 2 AS VARCHAR) AS id, CAST(label AS VARCHAR) AS label, v, vec_id AS ord FROM vecs WHERE vec_id % 10 <> 0 UNION ALL SELECT 'p' || CAST(vec_id // 2 AS VARCHAR), CAST(label AS VARCHAR), v, vec_id + 1000000000 FROM vecs WHERE vec_id % 5 = 1)),
+near AS MATERIALIZED (SELECT a.place, -1 AS q, b.id AS met, a.label = b.label AS same, round((1 + {_COSINE}) / 2, 6) AS s FROM p a, c b UNION ALL SELECT a.place, b.place, b.id, a.label = b.label, round((1 + {_COSINE}) / 2, 6) FROM p a JOIN p b ON b.place < a.place),
+work AS MATERIALIZED (SELECT p.place, p.id, list({{'q': q, 'met': met, 'same': same}} ORDER BY s DESC, q, met) FILTER (s >= 0.65) AS partners FROM p LEFT JOIN near ON near.place = p.place GROUP BY p.place, p.id),
+one AS (SELECT CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS matched, CAST([] AS BIGINT[]) AS places, CAST([] AS VARCHAR[]) AS ids
+ UNION ALL SELECT place, id, reason, CASE WHEN reason = 'duplicate' THEN best.met END, CASE WHEN reason = 'novel' THEN list_append(places, place) ELSE places END, CASE WHEN reason = 'novel' THEN list_append(ids, id) ELSE ids END
+ FROM (SELECT *, CASE WHEN list_contains(ids, id) THEN 'id_taken' WHEN best.same THEN 'duplicate' ELSE 'novel' END AS reason FROM (SELECT w.place, w.id, o.places, o.ids, list_filter(w.partners, lambda x: x.q = -1 OR list_contains(o.places, x.q))[1] AS best FROM one o JOIN work w ON w.place = o.place + 1)))"""
+
+
+@query(f"{_PROPOSED} SELECT place, id, reason = 'novel' AS accepted, reason, matched FROM one WHERE place > 0")
+def concept_proposals(spark, sf_dir):
+    """All vectors as proposals one after the other, a tenth of them as concepts, some proposed again at the end; the SQL goes one by one."""
+    v = T.embeddings(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("label"), F.lit(None).cast("string").alias("definition"), "v")
+    old = v.where("vec_id % 10 = 0").select(F.concat(F.lit("c"), "vec_id").alias("id"), "label", "definition", "v")
+    named = v.select(F.concat(F.lit("p"), F.expr("vec_id div 2")).alias("id"), "label", "definition", "v", F.col("vec_id").alias("ord"))
+    again = named.where("ord % 5 = 1").withColumn("ord", F.col("ord") + 1000000000)
+    return PR.accept(named.where("ord % 10 <> 0").unionByName(again), old, threshold=0.65)
+
+
+@query(f"{T.with_sql('vecs')}, s AS (SELECT a.vec_id, b.vec_id AS other, round((1 + {_COSINE}) / 2, 6) AS score FROM vecs a, vecs b WHERE a.vec_id % 20 <> 0 AND b.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS rank FROM s WHERE score >= 0.5) SELECT vec_id, CAST(rank AS INTEGER) AS rank, other AS concept_id, score FROM r WHERE rank <= 5")
+def concept_context(spark, sf_dir):
+    """Five concepts at most (a twentieth of the vectors) for each document (all other vectors)."""
+    v = T.embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), "v")
+    return PR.context(v.where("id % 20 <> 0"), v.where("id % 20 = 0")).withColumnRenamed("id", "vec_id")
+
+
+@query("WITH c AS (SELECT source || '/' || lang AS cluster_id, doc_id, text, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents), t AS (SELECT cluster_id, count(*) AS chunk_count, string_agg('[Chunk ' || CAST(n AS VARCHAR) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY n) FILTER (n <= 600) AS prompt FROM c GROUP BY cluster_id) SELECT cluster_id, chunk_count, md5(left(prompt, 6000)) AS prompt_md5, CAST(NULL AS VARCHAR) AS summary FROM t UNION ALL SELECT 'none', 0, NULL, 'Empty cluster with no documents.'")
+def cluster_summary_prompts(spark, sf_dir):
+    d = T.documents(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("cluster_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    clusters = d.select("cluster_id").unionByName(spark.createDataFrame([("none",)], "cluster_id string"))
+    return PR.summary_prompts(clusters, d).select("cluster_id", "chunk_count", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"), "summary")
+
+
 # ---- clustering ----------------------------------------------------------------------------------------------------
 
 _CENT = "cent AS (SELECT CAST(vec_id AS INTEGER) AS cluster_id, v AS c FROM vecs WHERE vec_id < 8)"
