@@ -27,6 +27,7 @@ from .operators.vector_index import VectorIndex
 from .plans.session import fingerprint, shared_dir
 from .service import REFRESHED, Library
 from .storage import Change
+from .streaming import stability as ST
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -989,6 +990,27 @@ def result_envelope(spark, sf_dir):
 # ---- event counts: an extension, batch form of the streaming job ----------------------------------------------------
 
 
+_SIGHTED = "s AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, doc_id % 3 <> 0 AS twice, doc_id % 5 = 0 AS other FROM documents)"
+
+
+@query(f"WITH {_SIGHTED} SELECT path, 'stable' AS status, size_bytes, 5 AS minutes FROM s WHERE twice AND NOT other UNION ALL SELECT path, 'changed', size_bytes + 1, 5 FROM s WHERE twice AND other UNION ALL SELECT path, 'unconfirmed', size_bytes + 1, 0 FROM s WHERE twice AND other UNION ALL SELECT path, 'unconfirmed', size_bytes, 0 FROM s WHERE NOT twice")
+def settled_sightings(spark, sf_dir):
+    """Each document sighted once or twice, some with other content the second time, then a clock that lets the timers run: a stream
+    over a table of sightings, with its outcomes as a table."""
+    at = f"{shared_dir(spark)}/loomdex-steps/sightings-{uuid.uuid4().hex}"
+    d = T.documents(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("path"), "size_bytes", F.sha2("text", 256).alias("digest"), F.expr("timestamp_seconds(1700000000)").alias("at"))
+    other = F.col("doc_id") % 5 == 0
+    again = d.where("doc_id % 3 <> 0").withColumns({"size_bytes": F.col("size_bytes") + other.cast("int"), "digest": F.when(other, F.sha2("digest", 256)).otherwise(F.col("digest")), "at": F.expr("at + interval 5 minutes")})
+    clock = spark.range(1).select(F.lit("clock").alias("path"), F.lit(0).cast("long").alias("size_bytes"), F.lit("").alias("digest"), F.expr("timestamp_seconds(1700000000) + interval 1 hour").alias("at"))
+    d.drop("doc_id").unionByName(again.drop("doc_id")).unionByName(clock).write.parquet(f"{at}/seen")
+    own = spark.newSession()
+    own.conf.set(*ST.STORE)
+    outcome = ST.settled(ST.sighting_stream(own, f"{at}/seen"))
+    outcome.writeStream.format("parquet").option("path", f"{at}/outcome").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    minutes = F.expr("cast((unix_millis(last) - unix_millis(first)) div 60000 as int)").alias("minutes")
+    return spark.read.schema(outcome.schema).parquet(f"{at}/outcome").select("path", "status", "size_bytes", minutes)
+
+
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def events_hourly(spark, sf_dir):
     e = T.read(spark, sf_dir, "events")
