@@ -5,10 +5,11 @@ three-word windows per 1000 words or lines, and mean word length (tested on
 both sides). A sketch of a rate is a map from bin to count; bins are log-linear
 (32 to each power of two, so a quantile is within 1/32 of the true one), and
 sketches merge by adding counts, which Spark does before its shuffle. The
-sketches of a language's source merge into the language's and the corpus's. A
-group of fewer than ``MIN_GROUP`` texts takes the sketch of its language, and a
-language that small takes the corpus's. A threshold lies ``SPREAD`` times the
-distance from median to upper (lower) quartile beyond that quartile, at least
+sketches of a language's sources merge into the language's and the corpus's. A
+language's distribution is its own sketch with the corpus's merged in at the
+weight of ``PRIOR`` texts, a source's is its own with its language's merged in at
+that weight: one law for groups of every size, in which a group counts the more
+the larger it is. A threshold lies ``SPREAD`` times the distance from median to upper (lower) quartile beyond that quartile, at least
 ``SLACK`` beyond the median. A text is kept if it passes the two fixed base
 rules and no rate is beyond its group's threshold.
 
@@ -28,7 +29,7 @@ from . import textkit as tk
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"[#*$%&|<>]"[1:-1])] = True
-MIN_GROUP, SPREAD = 200, 4
+PRIOR, SPREAD = 200, 4
 #: rate -> least distance of its threshold from the median
 SLACK = {"symbol_rate": 60, "line_rate": 150, "repeat_rate": 150, "long_words": 250}
 RATES = ("symbol_rate", "line_rate", "repeat_rate", "word_length")
@@ -99,8 +100,22 @@ def sketches(feats: DataFrame) -> DataFrame:
     return feats.where("n_words >= 50").select("lang", "source", pairs).groupBy("lang", "source", F.col("x.rate").alias("rate"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quantile(sketch: dict[int, int], q: float) -> int:
-    need, seen = q * sum(sketch.values()), 0
+Sketch = dict[str, dict[int, float]]
+
+
+def merged(own: Sketch, prior: Sketch) -> Sketch:
+    """``own`` with the distribution of ``prior`` merged in as ``PRIOR`` texts; the prior where there is nothing of its own."""
+    out = {}
+    for rate in RATES:
+        mine, base = own.get(rate, {}), prior.get(rate, {})
+        each = PRIOR / (sum(base.values()) or 1)
+        out[rate] = {b: mine.get(b, 0) + each * base.get(b, 0) for b in sorted(mine.keys() | base.keys())}
+    return out
+
+
+def quantile(sketch: dict[int, float], q: float) -> int:
+    # a hair less, as the weights of a merged sketch are rounded
+    need, seen = q * sum(sketch.values()) * (1 - 1e-9), 0.0
     for b in sorted(sketch):
         seen += sketch[b]
         if seen >= need:
@@ -108,7 +123,7 @@ def quantile(sketch: dict[int, int], q: float) -> int:
     return 0
 
 
-def limits(sketch: dict[str, dict[int, int]]) -> dict[str, int]:
+def limits(sketch: Sketch) -> dict[str, int]:
     out = {}
     for rate in RATES:
         s = sketch.get(rate, {})
@@ -125,26 +140,30 @@ LIMITS = ("symbol_rate", "line_rate", "repeat_rate", "word_length_low", "word_le
 
 
 def thresholds(feats: DataFrame) -> DataFrame:
-    """One row per (lang, source): its limits. Each group's sketch is at most a few hundred bins, merged in one task per language."""
-    sk = sketches(feats)
+    """One row per (lang, source): its limits. A sketch has at most a few hundred bins, so it is one value of a row, and each row of a
+    source is joined with its language's and the corpus's and solved by itself."""
+    # rows become few: written once, read for three levels
+    sk = tk.stored(sketches(feats), "sketches")
+    bins = lambda name: F.collect_list(F.struct("rate", "bin", "n")).alias(name)
     by_lang = sk.groupBy("lang", "rate", "bin").agg(F.sum("n").alias("n"))
-    corpus = by_lang.groupBy("rate", "bin").agg(F.sum("n").alias("n"))
-
-    def solve(pdf):
-        import pandas as pd
-
-        s: dict[str, dict[int, int]] = {}
-        for r, b, n in zip(pdf["rate"], pdf["bin"], pdf["n"]):
-            s.setdefault(r, {})[int(b)] = int(n)
-        first = pdf.iloc[0]
-        return pd.DataFrame([{"lang": first["lang"], "source": first["source"], "size": sum(s.get(RATES[0], {}).values()), **limits(s)}])
-
-    schema = "lang string, source string, size long, " + ", ".join(f"{x} long" for x in LIMITS)
-    own = sk.groupBy("lang", "source").applyInPandas(solve, schema)
-    lang = by_lang.withColumn("source", F.lit(None).cast("string")).groupBy("lang").applyInPandas(solve, schema).drop("source")
-    all_ = corpus.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}).groupBy("lang").applyInPandas(solve, schema).drop("lang", "source", "size")
-    pick = lambda x: F.when(F.col("o.size") >= MIN_GROUP, F.col(f"o.{x}")).when(F.col("l.size") >= MIN_GROUP, F.col(f"l.{x}")).otherwise(F.col(f"c.{x}")).alias(f"max_{x}")
-    return own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(all_).alias("c"), F.lit(True), "left").select("o.lang", "o.source", *[pick(x) for x in LIMITS])
+    corpus = by_lang.groupBy("rate", "bin").agg(F.sum("n").alias("n")).agg(bins("corpus"))
+    langs = by_lang.groupBy("lang").agg(bins("language")).withColumnRenamed("lang", "l_lang")
+    own = sk.groupBy("lang", "source").agg(bins("own"))
+    rows = own.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(corpus), F.lit(True), "left")
+
+    def sketch(cell) -> Sketch:
+        out: Sketch = {}
+        for x in cell:
+            out.setdefault(x["rate"], {})[x["bin"]] = x["n"]
+        return out
+
+    def solve(batches):
+        for b in batches:
+            cols = [b["own"].to_pylist(), b["language"].to_pylist(), b["corpus"].to_pylist()]
+            found = [limits(merged(sketch(o), merged(sketch(lang), sketch(c)))) for o, lang, c in zip(*cols)]
+            yield pa.RecordBatch.from_arrays([b["lang"], b["source"], *[pa.array([f[x] for f in found], pa.int64()) for x in LIMITS]], ["lang", "source", *[f"max_{x}" for x in LIMITS]])
+
+    return rows.select("lang", "source", "own", "language", "corpus").mapInArrow(solve, "lang string, source string, " + ", ".join(f"max_{x} long" for x in LIMITS))
 
 
 def judged(docs: DataFrame) -> DataFrame:

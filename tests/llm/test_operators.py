@@ -244,6 +244,57 @@ def test_quality_sketch_and_verdict(spark):
     assert m[m.quality == 1].kept.mean() > 0.9
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """Thresholds of each group from exact fractions of all texts, in groups of one text and of hundreds, one of them a third of all."""
+    from fractions import Fraction
+
+    rng = random.Random(8)
+    groups = [("en", "a"), ("en", "a"), ("en", "b"), ("de", None), (None, "a"), ("fr", "c"), ("en", "d")]
+    rows = []
+    for i in range(420):
+        lang, source = groups[rng.randrange(6)] if i else groups[6]
+        w = words_of(rng, rng.randrange(50, 90)).split()
+        for _ in range(rng.choice([0, 0, 1, 4, 30])):
+            w[rng.randrange(len(w))] = rng.choice(["###", "$$", "wordwordwordwordword", "&"])
+        rows.append((i, " ".join(w) + "\nsame line of text" * rng.choice([1, 1, 2, 9]), lang, source))
+    feats = [r.asDict() for r in quality.features(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()]
+
+    def top(v):
+        return v if v < 64 else ((v >> (v.bit_length() - 6)) + 1 << (v.bit_length() - 6)) - 1
+
+    def share(some, rate):
+        c = collections.Counter(top(r[rate]) for r in some)
+        return {v: Fraction(n) for v, n in c.items()}
+
+    def blend(own, prior):
+        each = Fraction(quality.PRIOR) / sum(prior.values())
+        return {v: own.get(v, 0) + each * prior.get(v, 0) for v in own.keys() | prior.keys()}
+
+    def at(dist, q):
+        seen = 0
+        for v in sorted(dist):
+            seen += dist[v]
+            if seen >= q * sum(dist.values()):
+                return v
+
+    used = [r for r in feats if r["n_words"] >= 50]
+    want = {}
+    for r in feats:
+        mine = [x for x in used if x["lang"] == r["lang"]]
+        fine = not r["base_failed"]
+        for rate in quality.RATES:
+            d = blend(share([x for x in mine if x["source"] == r["source"]], rate), blend(share(mine, rate), share(used, rate)))
+            lo, mid, hi = (at(d, Fraction(k, 4)) for k in (1, 2, 3))
+            slack = quality.SLACK["long_words" if rate == "word_length" else rate]
+            fine &= r[rate] <= max(hi + quality.SPREAD * (hi - mid), mid + slack)
+            if rate == "word_length":
+                fine &= r[rate] >= min(lo - quality.SPREAD * (mid - lo), mid - slack)
+        want[r["doc_id"]] = fine
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id: r.kept for r in got} == want
+    assert 0 < sum(not r.kept and not r.base_failed for r in got) < 200
+
+
 # ---- 6
 
 def test_bpe_equals_the_library(docs, cases):
