@@ -52,11 +52,12 @@ def accept(proposals: DataFrame, concepts: DataFrame, judge: Callable[[Column, C
     there = concepts.select("id", "label", "definition", F.col("v").cast("array<double>").alias("v"))
 
     vectors = classes.select(F.col("cls").alias("id"), "v")
-    names = classes.select("cls", F.col("id").alias("name"))
+    names = classes.join(members.groupBy("cls").agg(F.max("place").alias("last")), "cls").select("cls", F.col("id").alias("name"), "last")
     old = similar(vectors, there.select("id", "v"), threshold).select(F.col("left_id").alias("cls"), F.lit(None).cast("long").alias("other"), F.col("right_id").alias("met"), "score")
     new = similar(vectors, vectors, threshold).where("left_id <> right_id")
     # two classes of one id never meet: the id alone decides between them
-    new = new.join(names.toDF("left_id", "a"), "left_id").join(names.toDF("right_id", "b"), "right_id").where("a <> b")
+    # and a class can meet only one that has a place before its last
+    new = new.join(names.toDF("left_id", "a", "a_last"), "left_id").where("right_id < a_last").join(names.toDF("right_id", "b", "b_last"), "right_id").where("a <> b")
     # of the concepts that are there from the start only the best can be met
     old = old.groupBy("cls").agg(F.min(F.struct((-F.col("score")).alias("s"), "met")).alias("m")).select("cls", F.lit(None).cast("long").alias("other"), F.col("m.met").alias("met"), (-F.col("m.s")).alias("score"))
     edges = stored(old.unionByName(new.select(F.col("left_id").alias("cls"), F.col("right_id").alias("other"), F.col("b").alias("met"), "score")), "partners")

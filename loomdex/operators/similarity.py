@@ -32,6 +32,8 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, top: int | None
     low, high = left.select("v").union(right.select("v")).agg(F.min(F.size("v")), F.max(F.size("v"))).first()
     if low != high:
         raise ValueError(f"vectors of {low} and {high} numbers")
+    # no more cells than blocks: where angles rule nothing out, a left vector is sent no more often than blocks ask for
+    cells = min(cells, -(-right.count() // block)) or 1
     picked = right.orderBy(F.xxhash64("id"), "id").limit(cells).select("v").collect()
     if not picked:
         return spark.createDataFrame([], out)
