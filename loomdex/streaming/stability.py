@@ -9,6 +9,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 SIGHTING = "path string, size_bytes long, digest string, at timestamp"
 OUTCOME = "path string, status string, size_bytes long, digest string, first long, last long"
+#: Groups of paths that are kept together.
+BUCKETS = 1024
 #: State of this kind lives in RocksDB, so it does not take an executor's memory.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -26,67 +28,72 @@ def sighting_stream(spark: SparkSession, sightings: str, files_per_trigger: int
 
 
 class Settling(StatefulProcessor):
-    """One pending sighting for each path; a timer for those that no second one follows."""
+    """The pending sightings of a bucket of paths, one for each path; a timer for each time at which some of them are given up."""
 
     def __init__(self, wait_ms: int):
         self.wait = wait_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", "size_bytes long, digest string, at_ms long, timer long")
+        self.pending = handle.getListState("pending", "path string, size_bytes long, digest string, at_ms long")
+
+    def _held(self) -> dict:
+        return {path: (size, digest, at) for path, size, digest, at in self.pending.get()} if self.pending.exists() else {}
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.pending.get() if self.pending.exists() else None
-        out = []
-        for frame in rows:
-            for size, digest, at in frame.sort_values("at_ms")[["size_bytes", "digest", "at_ms"]].itertuples(index=False):
-                if held is None:
-                    held = (int(size), digest, int(at), None)
-                    continue
-                same = held[0] == size and held[1] == digest
-                out.append((key[0], "stable" if same else "changed", size, digest, held[2], int(at)))
-                # a file that changed is looked at again from how it is now
-                held = self._forget(held) if same else (int(size), digest, int(at), held[3])
-        if held is not None:
-            self._keep(held)
+        held, out = self._held(), []
+        timers = {at for _, _, at in held.values()}
+        # all of a bucket's rows: those of a path may lie in several frames
+        frame = pd.concat(list(rows)).sort_values(["path", "at_ms"], kind="stable")
+        for path, size, digest, at in zip(*(frame[c].tolist() for c in ("path", "size_bytes", "digest", "at_ms")), strict=True):
+            had = held.get(path)
+            if had is None:
+                held[path] = (size, digest, at)
+                continue
+            same = had[:2] == (size, digest)
+            out.append((path, "stable" if same else "changed", size, digest, had[2], at))
+            # a file that changed is looked at again from how it is now
+            if same:
+                del held[path]
+            else:
+                held[path] = (size, digest, at)
+        self._keep(held, timers)
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = []
-        if self.pending.exists():
-            size, digest, at, timer = self.pending.get()
-            if timer == expiredTimerInfo.getExpiryTimeInMs():
-                out.append((key[0], "unconfirmed", size, digest, at, at))
-                self.pending.clear()
+        held = self._held()
+        due = expiredTimerInfo.getExpiryTimeInMs() - self.wait
+        out = [(path, "unconfirmed", size, digest, at, at) for path, (size, digest, at) in held.items() if at == due]
+        self._keep({path: x for path, x in held.items() if x[2] != due}, {at for _, _, at in held.values()} - {due})
         yield _frame(out)
 
-    def _keep(self, held) -> None:
-        timer = held[2] + self.wait
-        if held[3] != timer:
-            if held[3] is not None:
-                self.handle.deleteTimer(held[3])
-            self.handle.registerTimer(timer)
-        self.pending.update((int(held[0]), held[1], held[2], timer))
-
-    def _forget(self, held) -> None:
-        if held[3] is not None:
-            self.handle.deleteTimer(held[3])
-        self.pending.clear()
+    def _keep(self, held: dict, timers: set) -> None:
+        """``timers``: the times of pending sightings that have a timer."""
+        now = {at for _, _, at in held.values()}
+        for at in timers - now:
+            self.handle.deleteTimer(at + self.wait)
+        for at in now - timers:
+            self.handle.registerTimer(at + self.wait)
+        if held:
+            self.pending.put([(path, *x) for path, x in held.items()])
+        else:
+            self.pending.clear()
 
 
 def _frame(rows) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "status", "size_bytes", "digest", "first", "last"])
 
 
-def settled(sightings: DataFrame, wait_minutes: int = 10, late: str = "1 minute") -> DataFrame:
+def settled(sightings: DataFrame, wait_minutes: int = 10, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """(path, status, size_bytes, digest, first, last) of a stream of ``SIGHTING`` rows.
 
     Two sightings of a path one after the other that agree in size and hash release it (stable); if they differ it fails (changed) and
     waits from its new content; a path that is seen only once within ``wait_minutes`` of the stream's time is given up (unconfirmed).
     A path that was released starts anew when it is seen again. Sightings without path, hash or time, and those later than ``late``
-    behind, are left out. A path has one pending row as its state, however many sightings it has. The session must use ``STORE``.
+    behind, are left out. A path has one pending row as its state, however many sightings it has; paths are kept in ``buckets`` by hash,
+    so a batch asks for state once a bucket, not once a path. A checkpoint keeps its number of buckets. The session must use ``STORE``.
     """
     good = sightings.where("path is not null and digest is not null and at is not null").select("path", F.coalesce("size_bytes", F.lit(-1)).cast("long").alias("size_bytes"), "digest", "at", F.unix_millis("at").alias("at_ms"))
-    keyed = good.withWatermark("at", late).groupBy("path")
+    keyed = good.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(buckets))).withWatermark("at", late).groupBy("bucket")
     out = keyed.transformWithStateInPandas(Settling(wait_minutes * 60000), OUTCOME, "Append", "EventTime")
     return out.withColumns({"first": F.timestamp_millis("first"), "last": F.timestamp_millis("last")})

@@ -36,3 +36,21 @@ def test_sightings_must_agree(rocks, tmp_path):
     # gone.txt has its timer at minute 10; later sightings move the time on
     got = step(20) + step(22)
     assert ("gone.txt", "unconfirmed", 3, 0, 0) in got and not [x for x in got if x[:2] == ("gone.txt", "stable")]
+
+
+def test_paths_of_a_bucket_do_not_mix_and_each_has_its_time(rocks, tmp_path):
+    spark, out = rocks, []
+    rows = [(f"p{i}", i, "x", i % 3) for i in range(30)] + [(f"p{i}", i + (i % 4 == 0), "x", 4) for i in range(0, 30, 2)]
+
+    def step(rows):
+        made = spark.createDataFrame(rows, "path string, size_bytes long, digest string, minute int")
+        made.selectExpr("path", "size_bytes", "digest", "timestamp_seconds(1700000000 + 60 * minute) as at").write.mode("append").parquet(f"{tmp_path}/seen")
+        take = lambda df, i: out.extend((r.path, r.status, (r.last - r.first).seconds) for r in df.collect())
+        S.settled(S.sighting_stream(spark, f"{tmp_path}/seen"), late="1 hour", buckets=2).writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+        got, out[:] = sorted(out), []
+        return got
+
+    twice = range(0, 30, 2)
+    assert step(rows) == sorted((f"p{i}", "changed" if i % 4 == 0 else "stable", 60 * (4 - i % 3)) for i in twice)
+    # the clock's own pending sighting stays; all that is pending for ten minutes goes
+    assert step([("clock", 0, "", 200)]) == sorted((f"p{i}", "unconfirmed", 0) for i in range(30) if i % 2 or i % 4 == 0)
