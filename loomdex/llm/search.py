@@ -38,7 +38,8 @@ K1, B, TOP = 1.2, 0.75, 10
 BLOCK, SEGMENT = 512, 8 << 20
 #: Terms in at least this share of all documents are scored densely, the first so many by frequency.
 DENSE_FROM, DENSE = 0.05, 256
-QUERIES, TERMS = 4096, 4_000_000
+#: Each block of queries reads and splits all texts again, so blocks are as large as what is broadcast may be.
+QUERIES, TERMS = 16_384, 4_000_000
 #: All ASCII bytes but letters and digits stand between terms.
 BETWEEN = np.ones(256, bool)
 BETWEEN[128:] = False
