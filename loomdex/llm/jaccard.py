@@ -47,6 +47,12 @@ K = 5
 #: Counters of a task's summary; shingles of the broadcast order, at most; least count to be in it; share of all shingles whose counts are exact.
 COUNTERS, FREQUENT, FREQUENT_FROM, SHARE = 1 << 16, 1_000_000, 4, 256
 MOST_BOUNDARY = 40
+#: Bytes of text whose shingles are made at once: the arrays of a step stay in a core's cache.
+SLICE = 1 << 18
+#: Shingles that a summary takes at once.
+COUNTED = 1 << 19
+#: Lower bits that a table of the hashes of frequent shingles leaves out: it answers for most others without a search.
+MARK = np.uint64(42)
 #: Fewest bins to a shingle for parities, and binary logarithm of the fewest and the most bins. With d the difference of two
 #: sets over their size, 2 bins rule a pair out from d of about 0.34, 4 bins from 0.31; sets that link have at most 0.29.
 PER, LEVELS = 2, (9, 15)
@@ -75,8 +81,12 @@ class Sets:
                 w = words.hash[words.first[f] : words.first[f + 1]]
                 extra[i] = np.uint64((int((w * tk._SHINGLE[: len(w)]).sum(dtype=np.uint64)) + len(w) * 0x632BE59BD9B4E019) % 2**64)
             h, r = np.concatenate((h, tk.mix(extra))), np.concatenate((r, few))
-        order = np.lexsort((h, r))
-        h, r = h[order], r[order]
+        if len(few):
+            order = np.argsort(r, kind="stable")
+            h, r = h[order], r[order]
+        edge = np.searchsorted(r, np.arange(words.rows + 1)).tolist()
+        for x, y in zip(edge, edge[1:]):
+            h[x:y].sort()
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
         self.hash, self.row = h[fresh], r[fresh]
@@ -155,7 +165,7 @@ def described(docs: DataFrame) -> DataFrame:
         s = Sets(batch.column(0))
         return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits"])
 
-    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary", 1 << 20)
+    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary", SLICE)
 
 
 def with_narrow(classes: DataFrame) -> DataFrame:
@@ -194,18 +204,26 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Frequent shingles by hash, the rank of each (1 is the least frequent), and the mean length of the others' lists."""
 
     def run(batches):
-        seen = Summary()
+        seen, held = Summary(), []
         for batch in batches:
             offsets = tk.string_buffer(batch.column(0))[1]
-            for a, b in tk.slices(offsets, 1 << 20):
-                h, n = np.unique(Sets(batch.column(0).slice(a, b - a)).hash, return_counts=True)
-                seen.add(h, n)
-                part = h % np.uint64(SHARE) == 0
-                yield rows(h[part], n[part], True)
+            for a, b in tk.slices(offsets, SLICE):
+                held.append(Sets(batch.column(0).slice(a, b - a)).hash)
+                if sum(map(len, held)) > COUNTED:
+                    yield count(seen, held)
+                    held = []
+        if held:
+            yield count(seen, held)
         some = seen.n > 1
         yield rows(seen.hash[some], seen.n[some], False)
         tk.trim()
 
+    def count(seen, held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        seen.add(h, n)
+        part = h % np.uint64(SHARE) == 0
+        return rows(h[part], n[part], True)
+
     def rows(h, n, exact):
         return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(h), exact))], ["h", "n", "exact"])
 
@@ -219,6 +237,21 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return h[order], n[order], float(r.nn) / float(r.n) if r.n else 1.0
 
 
+def counted(h: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shingles that are in ``heavy`` (hash, count and ``marked`` hashes), and their counts."""
+    may = np.flatnonzero(heavy[2][h >> MARK])
+    at = np.minimum(np.searchsorted(heavy[0], h[may]), max(0, len(heavy[0]) - 1))
+    hit = np.flatnonzero(heavy[0][at] == h[may]) if len(may) else may
+    return may[hit], heavy[1][at[hit]]
+
+
+def marked(h: np.ndarray) -> np.ndarray:
+    """Which upper bits some of the hashes have."""
+    out = np.zeros(1 << 64 - int(MARK), bool)
+    out[h >> MARK] = True
+    return out
+
+
 def need(n: np.ndarray) -> np.ndarray:
     """Least overlap with any set that links: with one of 3/4 the size."""
     return -(-3 * n // 4)
@@ -251,28 +284,34 @@ def keys(docs: DataFrame, frequent_hash: np.ndarray, frequent_n: np.ndarray, lig
     shared = spark.sparkContext.broadcast((frequent_hash, frequent_n))
 
     def run(batches):
-        heavy = shared.value
+        heavy = (*shared.value, marked(shared.value[0]))
         seen: set[int] = set()
         for batch in batches:
             offsets = tk.string_buffer(batch.column(0))[1]
-            for a, b in tk.slices(offsets, 1 << 20):
+            for a, b in tk.slices(offsets, SLICE):
                 out = emit(Sets(batch.column(0).slice(a, b - a)), heavy, seen)
                 if len(out):
                     yield out
         tk.trim()
 
-    def emit(s: Sets, heavy: tuple[np.ndarray, np.ndarray], seen: set[int]):
+    def emit(s: Sets, heavy: tuple[np.ndarray, np.ndarray, np.ndarray], seen: set[int]):
         new = np.zeros(len(s.size), bool)
         for i, c in enumerate(s.cls.tolist()):
             if s.size[i] > 1 and c not in seen:
                 seen.add(c)
                 new[i] = True
-        late = np.zeros(len(s.hash), np.int64)
-        if len(heavy[0]):
-            at = np.minimum(np.searchsorted(heavy[0], s.hash), len(heavy[0]) - 1)
-            late = np.where(heavy[0][at] == s.hash, heavy[1][at], 0)
-        order = np.lexsort((s.hash, late, s.row))
-        h = s.hash[order]  # rows keep their places, shingles within a row are in the global order
+        # rows keep their places, shingles within a row are in the global order: by hash, as they are, and then those with counts
+        found, count = counted(s.hash, heavy)
+        late = np.zeros(len(s.hash), bool)
+        late[found] = True
+        end = found[np.lexsort((count, s.row[found]))]
+        h = np.empty_like(s.hash)
+        ahead = np.cumsum(late) - late  # with counts before each shingle
+        ahead -= np.append(ahead, len(found))[s.first[:-1]][s.row]
+        at = np.flatnonzero(~late)
+        h[at - ahead[at]] = s.hash[at]
+        behind = np.bincount(s.row[found], minlength=len(s.size))
+        h[s.first[1:][s.row[end]] - behind[s.row[end]] + np.arange(len(end)) - (np.cumsum(behind) - behind)[s.row[end]]] = s.hash[end]
         place = np.arange(len(h)) - s.first[s.row]
         n = s.size
         single = new & (n >= 0.75 * (light + 1))
@@ -397,7 +436,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         out = pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), pa.array(s.hash.astype(np.int64)))], ["c", "set"])
         return out.filter(pa.array(s.cls == batch.column(1).to_numpy()))
 
-    return tk.per_batch(docs.select("text", "c"), run, "c long, set array<long>", 1 << 20)
+    return tk.per_batch(docs.select("text", "c"), run, "c long, set array<long>", SLICE)
 
 
 def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> DataFrame:

@@ -24,15 +24,18 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    x = 1
-    for i in range(n):
-        out[i] = x
-        x = x * base & (2**64 - 1)
+    out = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:
+        m = min(done, n - done)
+        out[done : done + m] = out[:m] * U64(step)
+        step = step * step % 2**64
+        done += m
     return out
 
 
-_POW = _powers(0x9E3779B97F4A7C15, 65536)
+_BASE, _STRETCH = 0x9E3779B97F4A7C15, 65536
+_POW, _DOWN = _powers(_BASE, _STRETCH), _powers(pow(_BASE, -1, 2**64), _STRETCH)
 _POW_HIGH = 0xD1342543DE82EF95
 _SHINGLE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -97,17 +100,32 @@ class Words:
         stop[inner[inner > 0] - 1] = True
         stop &= ~white
         self.end = np.flatnonzero(stop) + 1
-        ordinal = np.cumsum(begin[:n], dtype=np.int32) - 1
-        rel = np.arange(n, dtype=np.int64) - self.start[np.maximum(ordinal, 0)]
-        vals = _BYTE[LOWER[data] if lower else data]
-        vals[white] = 0
-        long = int(rel.max()) >> 16 if n else 0
-        vals *= _POW[rel & 0xFFFF]
-        if long:
-            vals *= _powers(_POW_HIGH, long + 1)[np.maximum(rel, 0) >> 16]
-        self.hash = mix(np.add.reduceat(vals, self.start) + (self.end - self.start).astype(np.uint64))
+        self.hash = mix(self._sums(data, _BYTE[LOWER] if lower else _BYTE) + (self.end - self.start).astype(np.uint64))
         self.first = np.searchsorted(self.start, offsets)
 
+    def _sums(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Of each word, the sum of its bytes' values times the powers of their places: differences of sums over a stretch of the data."""
+        out = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):
+            a = self.start[i]
+            j = int(np.searchsorted(self.end, a + _STRETCH, "right"))
+            if j > i:
+                vals = values[data[a : self.end[j - 1]]]
+                vals *= _POW[: len(vals)]
+                sums = np.empty(len(vals) + 1, np.uint64)
+                sums[0] = 0
+                np.cumsum(vals, out=sums[1:])
+                first = self.start[i:j] - a
+                out[i:j] = (sums[self.end[i:j] - a] - sums[first]) * _DOWN[first]
+            else:  # a word longer than a stretch
+                j = i + 1
+                at = np.arange(self.end[i] - a)
+                vals = values[data[a : self.end[i]]] * _POW[at % _STRETCH]
+                out[i] = (vals * _powers(_POW_HIGH, len(at) // _STRETCH + 1)[at // _STRETCH]).sum(dtype=np.uint64)
+            i = j
+        return out
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and whether they lie in one row."""
         m = len(self.hash)
