@@ -50,7 +50,7 @@ PERIOD = 64
 #: Every difference modulo 64 is a multiple of 8 less a number under 8, so it is one of two members of this cover.
 COVER = np.array(sorted({*range(8), *range(7, 64, 8)}))
 HOT, STEP = 2000, 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(97))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,6 +128,7 @@ def runs(docs: DataFrame, window: int) -> DataFrame:
                     parts, held = [], 0
             if parts:
                 yield table(batch, parts)
+        tk.trim()
 
     def table(batch, parts):
         row = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
@@ -184,6 +185,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                         out, held = [], 0
             if out:
                 yield batch_of(out)
+        tk.trim()
 
     def batch_of(rows):
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary())
@@ -211,10 +213,10 @@ def repeated(texts: list[bytes], n: np.ndarray, g: np.ndarray, key: np.ndarray,
     first = np.concatenate(([0], np.cumsum(size)))
     total = int(first[-1])
     words = np.lib.stride_tricks.sliding_window_view(text, 8)
-    ctx = np.repeat(np.arange(len(texts)), size)
-    place = np.arange(total) - first[ctx]
+    ctx = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    place = np.arange(total, dtype=np.int32) - first.astype(np.int32)[ctx]
     # residues count from the gram of the bucket, so that equal windows have equal ones
-    residue = (place - g[ctx]) % PERIOD
+    residue = ((place - g.astype(np.int32)[ctx]) % PERIOD).astype(np.int8)
     inside = np.zeros(PERIOD, bool)
     inside[COVER] = True
     step = np.array([next(d for d in range(PERIOD) if inside[(r + d) % PERIOD]) for r in range(PERIOD)])
@@ -224,9 +226,10 @@ def repeated(texts: list[bytes], n: np.ndarray, g: np.ndarray, key: np.ndarray,
 
     # names of the sample: of blocks of 64, doubled, then to as many whole blocks as fit after the way to a sample place
     sample = np.flatnonzero(inside[residue] & (place + 64 <= size[ctx]))
-    slot = np.full(total + window + 1, len(sample), np.int64)
+    slot = np.full(total + window + 1, len(sample), np.int32)
     slot[sample] = np.arange(len(sample))
     end = first[ctx[sample]] + size[ctx[sample]]
+    del ctx, place, residue
 
     def doubled(names, depth, more, more_depth):
         right = sample + depth
@@ -279,6 +282,8 @@ def marks(cuts: DataFrame, window: int) -> DataFrame:
                 size += len(row[7])
         if held:
             yield from solve(held)
+        held = []
+        tk.trim()
 
     def solve(rows):
         # pieces of a bucket that are equal: one stands for all, and all repeat
