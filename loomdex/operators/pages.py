@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -44,15 +45,17 @@ def running_lines(pages: DataFrame) -> DataFrame:
     mine = F.array_distinct(F.filter(F.transform("_edge", lambda i: F.get("_normal", i)), lambda x: F.char_length(x) <= LONGEST))
     # the row of a page itself, under an empty line, counts the document's pages
     each = p.select("doc_id", F.explode(F.array_append(mine, F.lit(""))).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
-    total = each.where("line = ''").select("doc_id", F.col("n").alias("_pages"))
-    often = each.where("line <> ''").join(total, "doc_id").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") * SHARE)))
+    # over the counts, not by a join with them, for which all pages would be read and cut into lines once more
+    total = F.max(F.when(F.col("line") == "", F.col("n"))).over(W.partitionBy("doc_id"))
+    often = each.withColumn("_pages", total).where((F.col("line") != "") & F.col("doc_id").isNotNull() & (F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") * SHARE))))
     return often.groupBy("doc_id").agg(F.collect_list("line").alias("running"))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Pages (doc_id, page, text) without running lines at their edges and without page numbers as first or last line."""
     names = pages.columns
-    p = lined(pages).join(running_lines(pages), "doc_id", "left")
+    # texts are moved, not their lines
+    p = lined(pages.join(running_lines(pages), "doc_id", "left"))
     running = F.coalesce("running", F.array().cast("array<string>"))
     ends = F.array(F.element_at("_filled", 1), F.element_at("_filled", -1))
 
@@ -78,10 +81,10 @@ def paragraphs(text: Column) -> Column:
     parts = F.split(F.array_join(lines, "\n"), r"\n\s*\n+")
 
     def whole(p):
-        p = F.regexp_replace(p, r"^\s+|\s+$", "")
         table = p.rlike(r"(?m)^\|[^\n]+\|\n\|[-:\s|]+\|")
-        return F.regexp_replace(F.when(table, p).otherwise(F.regexp_replace(p, r"\n+", " ")), r"[ \t]+", " ")
+        return F.regexp_replace(F.when(table, p).otherwise(F.regexp_replace(p, r"\n+", " ")), r"[ \t]{2,}|\t", " ")
 
+    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.array_join(F.filter(F.transform(parts, whole), lambda p: p != ""), "\n\n")
 
 

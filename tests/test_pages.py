@@ -92,3 +92,12 @@ def test_chunks_of_pages_keep_all_words(spark, documents):
     with pytest.raises(ValueError):
         PG.page_chunks(pages, 100, 100)
     assert K.render_table([]) == ""
+
+
+def test_running_lines_read_the_pages_once(spark, tmp_path):
+    rows = [(d, p, f"Report {d}\nbody {d} {p}\nPage {p}") for d in (1, 2) for p in range(4)] + [(None, 0, "x\ny"), (None, 1, "x\ny"), (3, 0, "alone")]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(rows, "doc_id long, page long, text string").write.parquet(path)
+    found = PG.running_lines(spark.read.parquet(path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert {(r.doc_id, *r.running) for r in found.collect()} == {(1, "report 1"), (2, "report 2")}
