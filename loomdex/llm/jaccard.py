@@ -24,7 +24,8 @@ that is if they share at least ceil(3 (|A| + |B|) / 7) shingles.
    between components is lost; long lists are cut into blocks, so that no task holds more than two.
 5. A pair goes no further if the parities of its shingles in bins (at least four to a shingle) differ in more bins than two sets that link can
    differ in shingles: a proof, not an estimate, made in few bins first, for all but the first pairs before they become rows,
-   and then, once for each pair, in more bins.
+   and then, once for each pair, in more bins. Large sets fill few bins so evenly that parities in them prove nothing; for
+   these the first proof is by counts (modulo 16) of the shingles of a bin, whose differences are as well no more than those of the sets.
    What is left is verified on whole sets of 64-bit shingles.
 
 Null and empty texts have size 0 and are linked with nothing. Documents of
@@ -58,8 +59,13 @@ MARK = np.uint64(42)
 PER, LEVELS = 2, (9, 15)
 #: The same for the parities that members of lists carry: sets of up to 1024 shingles have no wider ones.
 NARROW = (PER, 11)
+#: Sets of more shingles than this have counts instead of those (from 3/4 of it on both, as partners may be larger): at most so
+#: many shingles to a bin, and binary logarithm of the fewest and the most bins.
+COARSE, IN_BIN, COUNT_LEVELS = 2048, 8, (9, 13)
 #: Rows of a block of a long list; a list up to SHORT long is scanned without joining what it finds.
 ROWS, SHORT = 4096, 24
+#: Pairs that a task remembers, so as to give each once however many lists have it.
+REMEMBERED = 1 << 17
 #: Most classes whose names are broadcast to find their texts; beyond it texts and names meet in a shuffle.
 BROADCAST = 500_000
 
@@ -115,16 +121,40 @@ class Sets:
                     out[r] = x.tobytes()
         return out
 
+    def counts(self) -> list[bytes]:
+        """Of each row that is large enough, in 2 ** count_levels() bins by hash: how many of its shingles are there, modulo 16."""
+        out: list[bytes] = [b""] * len(self.size)
+        large = np.flatnonzero(counted_too(self.size))
+        for r, e in zip(large.tolist(), count_levels(self.size[large]).tolist()):
+            c = np.bincount((self.hash[self.first[r] : self.first[r + 1]] & np.uint64((1 << e) - 1)).astype(np.int64), minlength=1 << e) & 15
+            out[r] = (c[::2] | c[1::2] << 4).astype(np.uint8).tobytes()
+        return out
+
+
+def counted_too(n: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes have counts."""
+    return 4 * n > 3 * COARSE
+
+
+def count_levels(n: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the bins of counts."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / IN_BIN)).astype(np.int64), *COUNT_LEVELS)
+
 
 def levels(n: np.ndarray, per: int = PER, most: int = LEVELS[1]) -> np.ndarray:
     """Binary logarithm of the bins for sets of these sizes: at least ``per`` to a shingle, within bounds."""
     return np.clip(np.ceil(np.log2(np.maximum(per * n, 1))).astype(np.int64), LEVELS[0], most)
 
 
+def narrow_widths(n: np.ndarray) -> np.ndarray:
+    """Bytes of parities that list members carry: none beyond ``COARSE``."""
+    return np.where(n > COARSE, 0, 1 << levels(n, *NARROW) - 3)
+
+
 def narrowed(raw: list[bytes], n: np.ndarray) -> list[bytes]:
     """Parities folded to the width that list members carry."""
-    width = 1 << levels(n, *NARROW) - 3
-    return [x if len(x) <= w else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, w), axis=0).tobytes() for x, w in zip(raw, width.tolist())]
+    fold = lambda x, w: x if len(x) <= w else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, w), axis=0).tobytes()
+    return [fold(x, w) if w else b"" for x, w in zip(raw, narrow_widths(n).tolist())]
 
 
 class Parities:
@@ -158,26 +188,79 @@ class Parities:
         return ok
 
 
+class Counts:
+    """Counts of sets in bins, compared pair by pair; the wider ones of a pair are folded to the other's width."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.raw, self.n, self.level = raw, n, np.where(counted_too(n), count_levels(n), -1)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets of level e and of the next one, in 2 ** e bins, and where each set is in it."""
+        if e not in self.tables:
+            own, next_ = np.flatnonzero(self.level == e), np.flatnonzero(self.level == e + 1)
+            wide = self._read(next_, e + 1).reshape(len(next_), 2, 1 << e)
+            place = np.zeros(len(self.n), np.int64)
+            place[own], place[next_] = np.arange(len(own)), len(own) + np.arange(len(next_))
+            self.tables[e] = np.concatenate((self._read(own, e), (wide[:, 0] + wide[:, 1]) & 15)), place
+        return self.tables[e]
+
+    def _read(self, rows: np.ndarray, e: int) -> np.ndarray:
+        packed = np.frombuffer(b"".join([self.raw[r] for r in rows.tolist()]), np.uint8).reshape(len(rows), (1 << e) // 2)
+        return np.stack((packed & 15, packed >> 4), 2).reshape(len(rows), 1 << e)
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """As of ``Parities``: sets differ in no fewer shingles than their counts do, also around modulo 16."""
+        ok = np.zeros(len(x), bool)
+        for e in np.unique(self.level[x]).tolist():
+            counts, place = self.table(e)
+            here, step = np.flatnonzero(self.level[x] == e), max(1, (1 << 20) >> e)
+            for a in range(0, len(here), step):
+                p = here[a : a + step]
+                up = (counts[place[x[p]]] - counts[place[y[p]]]) & 15
+                differ = np.minimum(up, 16 - up).sum(1, dtype=np.int64)
+                ok[p] = 7 * differ <= self.n[x[p]] + self.n[y[p]]
+        return ok
+
+
+class Carried:
+    """What members of lists carry of their sets: parities in few bins, or counts, compared pair by pair."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        width = narrow_widths(n)
+        self.n, self.parities = n, Parities([x[:w] for x, w in zip(raw, width.tolist())], n, *NARROW)
+        self.parities.level[width == 0] = -1
+        self.counts = Counts([x[w:] for x, w in zip(raw, width.tolist())], n)
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """As of ``Parities``."""
+        ok, large = np.zeros(len(x), bool), self.n[y] > COARSE
+        ok[large] = self.counts.may_link(x[large], y[large])
+        ok[~large] = self.parities.may_link(x[~large], y[~large])
+        return ok
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), n, c (class), h1, h2 and bits (parities) of each row."""
+    """doc_id, th (text hash), n, c (class), h1, h2, bits (parities) and counts of each row."""
 
     def run(batch):
         s = Sets(batch.column(0))
-        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits"])
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(s.size), pa.array(s.cls), pa.array(s.h1.astype(np.int64)), pa.array(s.h2.astype(np.int64)), pa.array(s.parities(), pa.binary()), pa.array(s.counts(), pa.binary())], ["doc_id", "th", "n", "c", "h1", "h2", "bits", "counts"])
 
-    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary", SLICE)
+    return tk.per_batch(docs.select("text", "doc_id", F.xxhash64("text").alias("th")), run, "doc_id long, th long, n long, c long, h1 long, h2 long, bits binary, counts binary", SLICE)
 
 
 def with_narrow(classes: DataFrame) -> DataFrame:
-    """(rep, th, n, c, h1, h2, bits) of classes with their parities in fewer bins as ``narrow``."""
+    """(rep, th, n, c, h1, h2, bits) of classes with what ``Carried`` reads as ``narrow``."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 narrow = narrowed(batch.column(6).to_pylist(), batch.column(2).to_numpy())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(narrow, pa.binary())], [*batch.schema.names, "narrow"])
+                narrow = [x + y for x, y in zip(narrow, batch.column(7).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(narrow, pa.binary())], [*batch.schema.names[:7], "narrow"])
 
-    return classes.select("rep", "th", "n", "c", "h1", "h2", "bits").mapInArrow(run, "rep long, th long, n long, c long, h1 long, h2 long, bits binary, narrow binary")
+    return classes.select("rep", "th", "n", "c", "h1", "h2", "bits", "counts").mapInArrow(run, "rep long, th long, n long, c long, h1 long, h2 long, bits binary, narrow binary")
 
 
 class Summary:
@@ -351,6 +434,7 @@ def lists_of(rows: DataFrame) -> DataFrame:
                 held = ([key[-1], c[-1], cols[2][-1], cols[3][last:].any()], bool(before))
         if held is not None:
             yield from emit([np.array([x]) for x in held[0]], held[1], True)
+        tk.trim()
 
     def emit(cols, before, end):
         """``before``: the row before the first one has its key. The last class waits unless it is the ``end``."""
@@ -376,16 +460,17 @@ def wider(n: np.ndarray) -> pa.Array:
 
 
 def possible(pairs: DataFrame, reps: DataFrame, bits: str) -> DataFrame:
-    """The pairs (a, b, wide) of classes, smaller one first, whose parities in the column ``bits`` allow a link; wide: a has wider ones."""
-    width = NARROW if bits == "narrow" else ()
+    """The pairs (a, b, wide) of classes, smaller one first, that the column ``bits`` allows to link; wide: a has wider parities."""
+    kind = Carried if bits == "narrow" else Parities
 
     def run(batches):
         for batch in batches:
             k = batch.num_rows
             if k:
-                sets = Parities(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.concatenate([batch.column(i).to_numpy() for i in (4, 5)]), *width)
+                sets = kind(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.concatenate([batch.column(i).to_numpy() for i in (4, 5)]))
                 keep = sets.may_link(np.arange(k), k + np.arange(k))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wider(sets.n[:k])], ["a", "b", "wide"]).filter(pa.array(keep))
+        tk.trim()
 
     x = pairs.join(reps.select(F.col("c").alias("a"), F.col(bits).alias("x"), F.col("n").alias("m")), "a").join(reps.select(F.col("c").alias("b"), F.col(bits).alias("y"), F.col("n").alias("n")), "b")
     return x.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a long, b long, wide boolean")
@@ -421,6 +506,7 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
             if any(keep):
                 m = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(m), batch.column(1).filter(m)], ["a", "b"])
+        tk.trim()
 
     x = pairs.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
     found = tk.stored(x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct(), "links")
@@ -458,27 +544,29 @@ def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> D
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             g = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
             cut = np.flatnonzero((g[:, 1:] != g[:, :-1]).any(0)) + 1
             if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(4)):
-                yield from solve(held)
+                yield from solve(held, seen)
                 held = []
             if len(cut):
-                yield from solve([*held, batch.slice(0, int(cut[-1]))])
+                yield from solve([*held, batch.slice(0, int(cut[-1]))], seen)
                 held = []
                 batch = batch.slice(int(cut[-1]))
             held.append(batch)
         if held:
-            yield from solve(held)
+            yield from solve(held, seen)
+        tk.trim()
 
-    def solve(held):
+    def solve(held, seen):
         t = pa.Table.from_batches(held).combine_chunks()
         key, kind, i, j, c, n, idx, comp_, own, block = (t.column(k).to_numpy() for k in range(10))
         n = n.astype(np.int64)
-        sets = Parities(t.column(10).to_pylist(), n, *NARROW)
+        sets = Carried(t.column(10).to_pylist(), n)
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         size = np.diff(np.append(start, len(key)))
 
@@ -516,6 +604,14 @@ def across(lists: DataFrame, comp: DataFrame, reps: DataFrame, every: bool) -> D
                     out.append((np.full(len(y), x), y))
         if out:
             x, y = (np.concatenate(v) for v in zip(*out))
+            new = []
+            for at, pair in enumerate(zip(c[x].tolist(), c[y].tolist())):
+                if pair not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(pair)
+                    new.append(at)
+            x, y = x[new], y[new]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(c[y]), wider(n[x])], ["a", "b", "wide"])
 
@@ -526,8 +622,8 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     told = tk.stored(described(docs), "told")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    classes = told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(first, F.min("bits").alias("bits"))
-    reps = tk.stored(with_narrow(classes.select("n", "h1", "h2", "c", F.col("first.doc_id").alias("rep"), "first.th", "bits")), "reps")
+    classes = told.where("n > 0").groupBy("n", "h1", "h2", "c").agg(first, F.min("bits").alias("bits"), F.min("counts").alias("counts"))
+    reps = tk.stored(with_narrow(classes.select("n", "h1", "h2", "c", F.col("first.doc_id").alias("rep"), "first.th", "bits", "counts")), "reps")
     late, rank, length = frequent(docs)
     hist = {int(r.n): int(r.k) for r in reps.where(f"n <= {2 * MOST_BOUNDARY}").groupBy("n").agg(F.count("*").alias("k")).collect()}
     raw = tk.stored(lists_of(keys(docs, late, rank, boundary(hist, length))), "raw")
