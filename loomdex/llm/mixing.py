@@ -38,6 +38,8 @@ SHARD_SLOTS = 4096
 BUCKET_WORDS = 1 << 20
 #: Shards of a task that fills slots, and the most such tasks.
 TASK_SHARDS, MOST_TASKS = 8, 20_000
+#: Bytes of text that are cut into words at once.
+SLICE = 1 << 20
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = Fraction(3, 2), 2
 SEED = 11
@@ -45,14 +47,14 @@ ROUND = tk.mix(np.arange(1, 7, dtype=np.uint64))
 
 
 def count_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-    words = tk.Words(*tk.string_buffer(batch.column(0)), lower=False)
+    words = tk.Words(*tk.string_buffer(batch.column(0)), lower=False, hashed=False)
     return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(words.first).astype(np.int64))], [*batch.schema.names[1:], "size"])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     row = F.col("row") if "row" in docs.columns else F.lit(None).cast("long").alias("row")
     src = docs.select("text", "doc_id", "source", F.xxhash64("text").alias("th"), row)
-    return tk.per_batch(src, count_words, "doc_id long, source string, th long, row long, size long")
+    return tk.per_batch(src, count_words, "doc_id long, source string, th long, row long, size long", SLICE)
 
 
 def targets(source_sizes: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, most=MOST) -> dict[str | None, Fraction]:
@@ -174,6 +176,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD_SLOTS, seed: int
                             j = np.arange(first, first + n)
                             idx = permuted(j % blocks, np.full(n, blocks), np.full(n, seed * 1000003 + k * 8191) + j // blocks)
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(idx)], ["k", "block"])
+        tk.trim()
 
     slots = plan.mapInArrow(fill, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
     placed = sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", "buckets"))
@@ -205,7 +208,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batch):
         data, offsets = tk.string_buffer(batch.column(0))
-        words = tk.Words(data, offsets, lower=False)
+        words = tk.Words(data, offsets, lower=False, hashed=False)
         row, texts = [], []
         for i, (begin, blocks, times) in enumerate(zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)])):
             a, b = words.first[i], words.first[i + 1]
@@ -221,7 +224,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         at = pa.array(row, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(4).take(at), pa.array(texts, pa.string())], ["row__", "text"])
 
-    out = tk.per_batch(src, run, f"row__ {src.schema['row__'].dataType.simpleString()}, text string")
+    out = tk.per_batch(src, run, f"row__ {src.schema['row__'].dataType.simpleString()}, text string", SLICE)
     put = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         put["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)

@@ -73,9 +73,9 @@ def slices(offsets: np.ndarray, limit: int = 4 << 20):
 
 
 class Words:
-    """Words of consecutive rows, by default ``[^\\x20\\x09-\\x0D]+``: start, end and 64-bit hash of each, and each row's first."""
+    """Words of consecutive rows, by default ``[^\\x20\\x09-\\x0D]+``: start, end and 64-bit hash (if ``hashed``) of each, and each row's first."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = WHITE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = WHITE, hashed: bool = True):
         self.rows = len(offsets) - 1
         n = len(data)
         white = between[data]
@@ -100,7 +100,8 @@ class Words:
         stop[inner[inner > 0] - 1] = True
         stop &= ~white
         self.end = np.flatnonzero(stop) + 1
-        self.hash = mix(self._sums(data, _BYTE[LOWER] if lower else _BYTE) + (self.end - self.start).astype(np.uint64))
+        if hashed:
+            self.hash = mix(self._sums(data, _BYTE[LOWER] if lower else _BYTE) + (self.end - self.start).astype(np.uint64))
         self.first = np.searchsorted(self.start, offsets)
 
     def _sums(self, data: np.ndarray, values: np.ndarray) -> np.ndarray:

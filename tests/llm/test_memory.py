@@ -48,3 +48,8 @@ def test_counted_finds_frequent_shingles_only():
     assert np.array_equal(at, np.arange(0, 5000, 7)) and np.array_equal(n, heavy[1])
     none = np.zeros(0, np.uint64)
     assert len(J.counted(h, (none, none.astype(np.int64), J.marked(none)))[0]) == 0
+
+
+def test_words_that_are_only_counted_take_less():
+    data, offsets = tk.string_buffer(pa.array(["some words here " * 70_000]))
+    assert _peak(lambda: tk.Words(data, offsets, lower=False, hashed=False)) < 8 * len(data)
